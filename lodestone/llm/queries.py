@@ -14,6 +14,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
