@@ -29,6 +29,6 @@ def byte_level_words(text: str, specials: dict[str, int]) -> list[str]:
     return [w for x in segments(text, specials) for w in ([x] if x in specials else BYTE_LEVEL.findall(x))]
 
 
-def white_dropped_words(text: str) -> list[str]:
+def white_dropped_words(text: str, specials: dict[str, int]) -> list[str]:
     """Cuts at spaces and line feeds only; other white space stays inside words, for the tokenizer to drop."""
     return text.replace("\n", " ").split(" ")

@@ -12,14 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors don't force earlier stages to run again.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is used.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that lost executors don't force earlier stages to run again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
