@@ -39,6 +39,28 @@ def op8_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id AS doc_id", "start", "n_ids AS n_tokens", "ids_crc32")
 
 
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.kd_shards import shard
+
+    found = shard(table(spark, sf_dir, "documents"), leaves=8)
+    return found.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import mixing
+    from lodestone.llm.common import cut
+
+    rows = cut(mixing.light(table(spark, sf_dir, "documents")))
+    found = mixing.realise(rows, cut(mixing.plan(rows)))
+    return found.selectExpr("id AS doc_id", "source", "n_tokens", "weight", "epoch", "start", "position", "block")
+
+
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.merkle import edit_probe
+
+    return edit_probe(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
