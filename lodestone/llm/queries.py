@@ -61,6 +61,12 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_probe(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
