@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import url_filter as u
 
