@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -99,16 +99,21 @@ def word_tables(path: str, split: Callable[[str, dict[str, int]], list[str]] = b
     return WordTable(path, split)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (array of int) of each row."""
-    source = docs.select(F.col(id_col), whole_text(text_col).alias("text"))
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """id, the kept columns, n_tokens and ids (array of int) of each row."""
+    names = [id_col, *keep, "n_tokens", "ids"]
+    if len(set(names)) < len(names):
+        raise ValueError("kept columns must differ from the id, n_tokens and ids")
+    kept = docs.select(id_col, *keep)
+    source = docs.select(id_col, *keep, whole_text(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tables(tokenizer_path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(table.encode(batch.column(1).to_pylist())), pa.list_(pa.int32()))], [id_col, "ids"])
+            ids = list(table.encode(batch.column(batch.num_columns - 1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names)
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return source.mapInArrow(run, kept.schema.add("n_tokens", "long").add("ids", "array<int>"))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
