@@ -36,7 +36,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def _with_repeated_ids(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """As above for tables that repeat an id or lack some: one row of each text of an id is kept, and all rows without an id."""
+    """As above, for tables that repeat an id or lack some: of an id that heads a group one row of each text is kept, and all rows without an id."""
     heads = groups.where("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(heads, "doc_id", "left_semi").select(docs.columns)
     order = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
