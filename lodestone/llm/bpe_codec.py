@@ -29,7 +29,9 @@ from lodestone.llm.byte_words import byte_level_words
 from lodestone.llm.common import whole_text
 
 #: Distinct words that a worker keeps from one batch to the next. Bounds memory, never results.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
+#: Texts that are Python strings at a time.
+ROWS = 512
 
 
 def byte_pieces(path: str) -> list[bytes]:
@@ -110,7 +112,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tables(tokenizer_path)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids = list(table.encode(batch.column(batch.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names)
 

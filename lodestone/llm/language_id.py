@@ -28,6 +28,8 @@ DIMENSIONS = 1_024
 #: More languages than this mean that the column holds no languages.
 MOST_LANGUAGES = 4_096
 KEPT_GRAMS = 60_000
+#: Texts that are Python strings at a time.
+ROWS = 512
 
 
 class Encoder:
@@ -108,13 +110,14 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", n
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for i, v in encoder(n, dimensions).encode(batch.column(1).to_pylist()):
-                if (held := found.get(langs[i])) is None:
-                    found[langs[i]] = v.astype(np.float64)
-                else:
-                    held += v
+        for whole in batches:
+            langs = whole.column(0).to_pylist()
+            for k in range(0, whole.num_rows, ROWS):
+                for i, v in encoder(n, dimensions).encode(whole.column(1).slice(k, ROWS).to_pylist()):
+                    if (held := found.get(langs[k + i])) is None:
+                        found[langs[k + i]] = v.astype(np.float64)
+                    else:
+                        held += v
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
@@ -133,18 +136,22 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
     if len(set(kept.columns) | {"lang_pred", "score", "margin", "__text"}) < len(kept.columns) + 4:
         raise ValueError("kept columns must differ from lang_pred, score and margin")
     dimensions, model, names = prototypes.shape[1], prototypes.astype(np.float32), [*kept.columns, "lang_pred", "score", "margin"]
-    source = docs.select(*keep, whole_text(text_col).alias("__text"))
+    # A text that is kept as it is goes to Python once.
+    at = kept.columns.index(text_col) if text_col in keep else len(kept.columns)
+    source = kept if text_col in keep else docs.select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            lang, score, margin = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-            for i, v in encoder(n, dimensions).encode(texts) if languages else ():
-                cosines = np.clip(model @ v, 0, 1)
-                k = int(cosines.argmax())
-                lang[i], score[i] = languages[k], float(cosines[k])
-                margin[i] = float(cosines[k] - np.delete(cosines, k).max(initial=0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names)
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                lang, score, margin = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+                for i, v in encoder(n, dimensions).encode(texts) if languages else ():
+                    cosines = np.clip(model @ v, 0, 1)
+                    best = int(cosines.argmax())
+                    lang[i], score[i] = languages[best], float(cosines[best])
+                    margin[i] = float(cosines[best] - np.delete(cosines, best).max(initial=0.0))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept.columns)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names)
 
     schema = kept.schema.add("lang_pred", "string").add("score", "double").add("margin", "double")
     return source.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from lodestone.llm.shingles import mix, set_digest, shingle_batches
 
 TREES, DEPTH = 32, 8
 #: Rows of a trie node, and sets and shingles of a cluster, in one block.
-NODE_BLOCK, SET_BLOCK, SHINGLE_BLOCK = 4_000, 1_500, 2_000_000
+NODE_BLOCK, SET_BLOCK, SHINGLE_BLOCK = 4_000, 1_500, 1_000_000
 #: Small nodes and clusters share tasks' groups of about so many rows.
 CELL_ROWS, CELL_SHINGLES = 5_000, 250_000
 #: Shingles in more sets of a block pair than this are counted by matrix products, others pair by pair.

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time (one longer text is hashed alone).
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 IN_WORD = np.zeros(256, dtype=bool)
