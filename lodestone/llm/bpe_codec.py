@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer
 
 from lodestone.llm.byte_words import byte_level_words
@@ -116,7 +116,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             ids = list(table.encode(batch.column(batch.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names)
 
-    return source.mapInArrow(run, kept.schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())))
+    return source.mapInArrow(run, StructType(list(kept.schema.fields)).add("n_tokens", "long").add("ids", ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.llm.common import whole_text
 
@@ -153,7 +154,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
                     margin[i] = float(cosines[best] - np.delete(cosines, best).max(initial=0.0))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept.columns)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names)
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double").add("margin", "double")
+    schema = StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double").add("margin", "double")
     return source.mapInArrow(run, schema)
 
 
