@@ -136,9 +136,9 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
     kept = docs.select(*keep)
     if len(set(kept.columns) | {"lang_pred", "score", "margin", "__text"}) < len(kept.columns) + 4:
         raise ValueError("kept columns must differ from lang_pred, score and margin")
-    dimensions, model, names = prototypes.shape[1], prototypes.astype(np.float32), [*kept.columns, "lang_pred", "score", "margin"]
+    dimensions, model, n_kept, names = prototypes.shape[1], prototypes.astype(np.float32), len(kept.columns), [*kept.columns, "lang_pred", "score", "margin"]
     # A text that is kept as it is goes to Python once.
-    at = kept.columns.index(text_col) if text_col in keep else len(kept.columns)
+    at = kept.columns.index(text_col) if text_col in keep else n_kept
     source = kept if text_col in keep else docs.select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
                     best = int(cosines.argmax())
                     lang[i], score[i] = languages[best], float(cosines[best])
                     margin[i] = float(cosines[best] - np.delete(cosines, best).max(initial=0.0))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept.columns)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names)
 
     schema = StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double").add("margin", "double")
     return source.mapInArrow(run, schema)
