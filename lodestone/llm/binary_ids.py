@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe_codec import word_tables
+from lodestone.llm.bpe_codec import ROWS, word_tables
 from lodestone.llm.byte_words import white_dropped_words
 from lodestone.llm.common import shared_folder, whole_text
 
@@ -65,7 +65,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tables(tokenizer_path, white_dropped_words)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             id_ = batch.column(0)
             shard = np.searchsorted(edges, id_.to_numpy(zero_copy_only=False).astype(np.float64), side="left")
             shard[np.asarray(id_.is_null())] = 0

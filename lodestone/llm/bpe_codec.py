@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer
 
 from lodestone.llm.byte_words import byte_level_words
-from lodestone.llm.common import whole_text
+from lodestone.llm.common import held, whole_text
 
 #: Distinct words that a worker keeps from one batch to the next. Bounds memory, never results.
 KEPT_WORDS = 250_000
@@ -49,6 +50,7 @@ class WordTable:
     """Distinct words and their ids, grown batch by batch."""
 
     def __init__(self, path: str, split: Callable[[str, dict[str, int]], list[str]] = byte_level_words):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -72,12 +74,16 @@ class WordTable:
         words = [self.split(t, self.specials) for t in texts]
         new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.place))
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            ids = self.ids_of(new)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(list(map(len, ids)))])
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32)])
         return words
 
+    def ids_of(self, words: list[str], at_once: int = 2_000) -> list[list[int]]:
+        """The library's own ids of each word; a few words at a time, as its results are large."""
+        return [e.ids for k in range(0, len(words), at_once) for e in self.tokenizer.encode_batch_fast(words[k : k + at_once], add_special_tokens=False)]
+
     def gather(self, words: list[str]) -> np.ndarray:
         """The ids of a text from its words' places."""
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
@@ -96,10 +102,9 @@ class WordTable:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@functools.cache
 def word_tables(path: str, split: Callable[[str, dict[str, int]], list[str]] = byte_level_words) -> WordTable:
     """One for each Python worker, which serves several tasks."""
-    return WordTable(path, split)
+    return held(WordTable, path, split)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -148,7 +153,7 @@ def _with_ids(words: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tables(tokenizer_path)
         for batch in batches:
-            ids = [e.ids for e in table.tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
+            ids = table.ids_of(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     return words.mapInArrow(run, "word string, n long, ids array<int>")
@@ -161,7 +166,7 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tables(tokenizer_path)
         digits = [str(i) for i in range(len(table.pieces))]
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             n, of_ids, of_text = [], [], []
             for ids in table.encode(batch.column(1).to_pylist()):
                 n.append(len(ids))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: dict = {}
+
+
+def held(make: Callable, *args):
+    """make(*args), kept for later tasks of this Python worker. Only the last thing made is kept, so that stages don't add up in memory."""
+    if (make, args) not in _HELD:
+        _HELD.clear()
+        _HELD[make, args] = make(*args)
+    return _HELD[make, args]
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

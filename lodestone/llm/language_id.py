@@ -14,7 +14,6 @@ With no training rows every text is `und`. Repeated rows are judged alike; an em
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.llm.common import whole_text
+from lodestone.llm.common import held, whole_text
 
 DIMENSIONS = 1_024
 #: More languages than this mean that the column holds no languages.
@@ -100,9 +99,8 @@ class Encoder:
                 yield i, v
 
 
-@functools.cache
 def encoder(n: int, dimensions: int) -> Encoder:
-    return Encoder(n, dimensions)
+    return held(Encoder, n, dimensions)
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 3, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
@@ -138,8 +136,9 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
         raise ValueError("kept columns must differ from lang_pred, score and margin")
     dimensions, model, n_kept, names = prototypes.shape[1], prototypes.astype(np.float32), len(kept.columns), [*kept.columns, "lang_pred", "score", "margin"]
     # A text that is kept as it is goes to Python once.
-    at = kept.columns.index(text_col) if text_col in keep else n_kept
-    source = kept if text_col in keep else docs.select(*keep, F.col(text_col).alias("__text"))
+    as_it_is = any(isinstance(k, str) and k == text_col for k in keep)
+    at = kept.columns.index(text_col) if as_it_is else n_kept
+    source = kept if as_it_is else docs.select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

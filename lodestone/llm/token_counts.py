@@ -14,7 +14,6 @@ gives none; other columns of the input are not read unless named.
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
@@ -25,10 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.byte_words import BYTE_LEVEL, WHITE_CHARS, byte_level_words
+from lodestone.llm.common import held
 
 #: How many solved words a task keeps; then it starts anew. Bounds memory, never results.
 KEPT_WORDS = 250_000
 
+#: Texts that are Python strings at a time.
+ROWS = 512
+
 #: Prefixes up to this many bytes are kept for other words that share them.
 KEPT_PREFIX = 24
 
@@ -216,10 +219,9 @@ def as_array(counts: np.ndarray | bytes) -> np.ndarray:
     return np.frombuffer(counts, dtype=np.uint8).astype(np.int32) if isinstance(counts, bytes) else counts
 
 
-@functools.cache
 def prefix_table(path: str) -> PrefixTable:
     """One for each Python worker, which serves several tasks."""
-    return PrefixTable(path)
+    return held(PrefixTable, path)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, with_table: bool = False) -> DataFrame:
@@ -233,7 +235,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(tokenizer_path)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             texts = batch.column(1).to_pylist()
             found = [table.summary(t, limit) for t in texts]
             n = pa.array([x[0] for x in found], pa.int64())
