@@ -29,7 +29,7 @@ LONG = 400
 PARAGRAPH = re.compile(r"[^\n]*\n+|[^\n]+")
 SENTENCE = re.compile(r"(?s).{1,399}?[.!?]+\s+|.{1,400}")
 #: At most so many ranges of ids, whatever the input.
-MOST_RANGES = 2_000
+MOST_RANGES = 8_000
 
 
 def leaves(text: str) -> list[str]:
@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_chars long, fingerprint string")
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 2 << 20) -> DataFrame:
     """Rows (id, text, range, halo) dealt by ranges of descending id and sorted within them.
 
     The first row of the range that follows is a halo row at the end of each range, so every row's next one is behind it in its
