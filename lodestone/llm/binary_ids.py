@@ -26,10 +26,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestone.llm.bpe_codec import ROWS, word_tables
 from lodestone.llm.byte_words import white_dropped_words
-from lodestone.llm.common import shared_folder, whole_text
+from lodestone.llm.common import cut, shared_folder, whole_text
+
+#: More text than this many shards of the wanted size makes larger shards; they are streamed through, chunk by chunk.
+MOST_SHARDS = 4_096
+#: Chunks that are read back together.
+TOGETHER = 8
 
 LAYOUT = "id long, shard int, chunk int, first long, n_ids int, planes array<binary>, part string"
 
@@ -54,22 +60,25 @@ def from_planes(planes: list[bytes], n: int, kind: str = "byte") -> np.ndarray:
     return (np.packbits(rows, axis=1, bitorder="little") if kind == "bit" else rows).reshape(-1).view("<u4")
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", chunk_ids: int = 65_536, shard_bytes: int = 32 << 20) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", chunk_ids: int = 65_536, shard_bytes: int = 8 << 20) -> None:
     """Encode every text, append end_id to each, and write the dataset to path."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    shards = min(MOST_SHARDS, max(1, -(-size // shard_bytes)))
     bounds = sorted(set(source.approxQuantile("id", [k / shards for k in range(1, shards)], 0.1 / shards))) if shards > 1 else []
     edges = np.array(bounds, dtype=np.float64)
+    narrow = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tables(tokenizer_path, white_dropped_words)
+        if max(table.n_ids, end_id + 1) > 1 << 8 * np.dtype(narrow).itemsize:
+            raise ValueError("the ids don't fit the shuffled type")
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             id_ = batch.column(0)
             shard = np.searchsorted(edges, id_.to_numpy(zero_copy_only=False).astype(np.float64), side="left")
             shard[np.asarray(id_.is_null())] = 0
-            ids = [np.append(x, end_id).astype("<u4").tobytes() for x in table.encode(batch.column(1).to_pylist())]
+            ids = [np.append(x, end_id).astype(narrow).tobytes() for x in table.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([id_, pa.array(shard, pa.int32()), pa.array(ids, pa.binary())], ["id", "shard", "ids"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +101,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
                 if s != shard:
                     out += rows(last=True) if shard is not None else []
                     shard, chunk, first, rest, held = s, 0, 0, [], 0
-                rest.append(np.frombuffer(ids, dtype="<u4"))
-                out.append({"id": id_, "shard": s, "chunk": None, "first": first, "n_ids": len(ids) // 4, "planes": None, "part": "document"})
-                first, held = first + len(ids) // 4, held + len(ids) // 4
+                rest.append(own := np.frombuffer(ids, dtype=narrow).astype("<u4"))
+                out.append({"id": id_, "shard": s, "chunk": None, "first": first, "n_ids": len(own), "planes": None, "part": "document"})
+                first, held = first + len(own), held + len(own)
                 if held >= chunk_ids:
                     out += rows(last=False)
                     held = 0
@@ -128,18 +137,36 @@ def checksums(spark: SparkSession, path: str, planes: str = "byte") -> DataFrame
 
 
 def _by_document(spark: SparkSession, path: str, planes: str, column: str, value) -> DataFrame:
+    """A few chunks at a time meet the documents that lie in them; a document that goes on is put together from its parts."""
     dataset = open_dataset(spark, path)
     name = column.split(" ")[0]
+    of_chunk = dataset.where("part = 'chunk'")
+    span = (of_chunk.agg(F.max("n_ids")).first()[0] or 1) * TOGETHER  # all chunks but the last of a shard have the most ids
+    schema = f"shard int, first long, id long, n_ids long, span long, {column}, ids_part binary"
 
     def cut_out(documents: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         chunks = chunks.sort_values("chunk")
         stream = np.concatenate([from_planes(list(p), n, planes) for p, n in zip(chunks["planes"], chunks["n_ids"], strict=True)] or [np.zeros(0, dtype="<u4")])
-        found = [value(stream[a : a + n]) for a, n in zip(documents["first"], documents["n_ids"], strict=True)]
-        return pd.DataFrame({"id": documents["id"].astype("Int64"), "shard": documents["shard"], "first": documents["first"], "n_ids": documents["n_ids"], name: found})
-
-    documents = dataset.where("part = 'document'").select("id", "shard", "first", "n_ids").groupBy("shard")
-    chunks = dataset.where("part = 'chunk'").select("shard", "chunk", "n_ids", "planes").groupBy("shard")
-    found = documents.cogroup(chunks).applyInPandas(cut_out, f"id long, shard int, first long, n_ids long, {column}")
+        low = int(documents["span"].iat[0]) * span if len(documents) else 0
+        found, parts = [], []
+        for a, n in zip((documents["first"] - low).tolist(), documents["n_ids"].tolist(), strict=True):
+            whole = a >= 0 and a + n <= span
+            own = stream[max(a, 0) : min(a + n, span)]
+            found.append(value(own) if whole else None)
+            parts.append(None if whole else own.astype("<u4").tobytes())
+        found = pd.Series(found, dtype="Int64" if column.endswith(" long") else object, index=documents.index)
+        return pd.DataFrame({"shard": documents["shard"], "first": documents["first"], "id": documents["id"].astype("Int64"), "n_ids": documents["n_ids"], "span": documents["span"], name: found, "ids_part": pd.Series(parts, dtype=object, index=documents.index)})
+
+    def put_together(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = np.frombuffer(b"".join(rows.sort_values("span")["ids_part"]), dtype="<u4")
+        return rows.iloc[:1].assign(id=rows["id"].iloc[:1].astype("Int64"), ids_part=None, **{name: pd.Series([value(ids)], index=rows.index[:1], dtype=None if column.endswith(" long") else object)})
+
+    documents = dataset.where("part = 'document'").select("id", "shard", "first", F.col("n_ids").cast("long").alias("n_ids"))
+    documents = documents.withColumn("span", F.explode(F.expr(f"sequence(first div {span}, (first + n_ids - 1) div {span})")))
+    chunks = of_chunk.select("shard", "chunk", "n_ids", "planes", F.expr(f"CAST(chunk div {TOGETHER} AS BIGINT)").alias("span"))
+    cut_up = cut(documents.groupBy("shard", "span").cogroup(chunks.groupBy("shard", "span")).applyInPandas(cut_out, schema))
+    rest = cut_up.where("ids_part IS NOT NULL").groupBy("shard", "first").applyInPandas(put_together, schema)
+    found = cut_up.where("ids_part IS NULL").unionByName(rest)
     return found.join(offsets(dataset), "shard").select("id", (F.col("offset") + F.col("first")).alias("start"), "n_ids", name)
 
 

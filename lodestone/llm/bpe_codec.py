@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 from collections.abc import Callable, Iterator, Sequence
@@ -31,6 +32,8 @@ from lodestone.llm.common import held, whole_text
 
 #: Distinct words that a worker keeps from one batch to the next. Bounds memory, never results.
 KEPT_WORDS = 250_000
+#: Marks that are cut off behind letters and digits.
+MARKS = ".,;:!?"
 #: Texts that are Python strings at a time.
 ROWS = 512
 
@@ -46,8 +49,25 @@ def byte_pieces(path: str) -> list[bytes]:
     return [pieces.get(i, b"") for i in range(max(pieces) + 1)]
 
 
+class Places(dict):
+    """The place of each word; a word that is met for the first time gets the next place and waits in fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.fresh.append(word)
+        return at
+
+
 class WordTable:
-    """Distinct words and their ids, grown batch by batch."""
+    """Distinct words and their ids, grown batch by batch.
+
+    A word that ends in marks behind a letter or digit is encoded as two, as the pre-tokenizers always cut there; so each
+    word is encoded once, whatever mark follows it.
+    """
 
     def __init__(self, path: str, split: Callable[[str, dict[str, int]], list[str]] = byte_level_words):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
@@ -56,10 +76,12 @@ class WordTable:
         self.tokenizer.no_padding()
         self.path, self.split = path, split
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.n_ids = self.tokenizer.get_vocab_size()
+        self.known: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.starts = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
 
@@ -67,35 +89,42 @@ class WordTable:
     def pieces(self) -> list[bytes]:
         return byte_pieces(self.path)
 
-    def add(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text, all of them in the table."""
-        if len(self.place) > KEPT_WORDS:
-            self._forget()
-        words = [self.split(t, self.specials) for t in texts]
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.place))
-        if new:
-            ids = self.ids_of(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(list(map(len, ids)))])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32)])
-        return words
-
     def ids_of(self, words: list[str], at_once: int = 2_000) -> list[list[int]]:
         """The library's own ids of each word; a few words at a time, as its results are large."""
         return [e.ids for k in range(0, len(words), at_once) for e in self.tokenizer.encode_batch_fast(words[k : k + at_once], add_special_tokens=False)]
 
-    def gather(self, words: list[str]) -> np.ndarray:
-        """The ids of a text from its words' places."""
+    @staticmethod
+    def without_marks(word: str) -> tuple[str, ...]:
+        stem = word.rstrip(MARKS)
+        return (stem, word[len(stem) :]) if len(stem) < len(word) and stem and stem[-1].isascii() and stem[-1].isalnum() else (word,)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The places of words in the table; new ones are encoded first, each once."""
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        lengths = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(lengths)
-        if not len(ends):
-            return np.zeros(0, dtype=np.int32)
-        return self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1])]
+        if fresh := self.place.fresh:
+            parts = list(map(self.without_marks, fresh))
+            if len(self.known) > KEPT_WORDS:
+                self.known = {}
+            new = list({p: None for ps in parts for p in ps if p not in self.known})
+            self.known.update(zip(new, self.ids_of(new), strict=True))
+            ids = [self.known[ps[0]] if len(ps) == 1 else self.known[ps[0]] + self.known[ps[1]] for ps in parts]
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(list(map(len, ids)))])
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32)])
+            fresh.clear()
+        return at
 
     def encode(self, texts: list[str], rows: int = 256) -> Iterator[np.ndarray]:
+        """The ids of each text, gathered from its words' places."""
         for i in range(0, len(texts), rows):
-            yield from map(self.gather, self.add(texts[i : i + rows]))
+            if len(self.place) > KEPT_WORDS:
+                self._forget()
+            words = [self.split(t, self.specials) for t in texts[i : i + rows]]
+            at = self.places(list(itertools.chain.from_iterable(words)))
+            lengths = self.starts[at + 1] - self.starts[at]
+            ends = np.append(0, np.cumsum(lengths))
+            ids = self.flat[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+            bounds = ends[np.append(0, np.cumsum(list(map(len, words))))].tolist()
+            yield from (ids[x:y] for x, y in itertools.pairwise(bounds))
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False): bytes that aren't UTF-8 become replacement characters."""
