@@ -27,13 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer
 
-from lodestone.llm.byte_words import byte_level_words
+from lodestone.llm.byte_words import PLAIN, byte_level_words
 from lodestone.llm.common import held, whole_text
 
 #: Distinct words that a worker keeps from one batch to the next. Bounds memory, never results.
-KEPT_WORDS = 250_000
-#: Marks that are cut off behind letters and digits.
-MARKS = ".,;:!?"
+KEPT_WORDS = 350_000
 #: Texts that are Python strings at a time.
 ROWS = 512
 
@@ -63,11 +61,7 @@ class Places(dict):
 
 
 class WordTable:
-    """Distinct words and their ids, grown batch by batch.
-
-    A word that ends in marks behind a letter or digit is encoded as two, as the pre-tokenizers always cut there; so each
-    word is encoded once, whatever mark follows it.
-    """
+    """Distinct words and their ids, grown batch by batch."""
 
     def __init__(self, path: str, split: Callable[[str, dict[str, int]], list[str]] = byte_level_words):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
@@ -77,7 +71,6 @@ class WordTable:
         self.path, self.split = path, split
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.n_ids = self.tokenizer.get_vocab_size()
-        self.known: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -89,25 +82,22 @@ class WordTable:
     def pieces(self) -> list[bytes]:
         return byte_pieces(self.path)
 
-    def ids_of(self, words: list[str], at_once: int = 2_000) -> list[list[int]]:
-        """The library's own ids of each word; a few words at a time, as its results are large."""
-        return [e.ids for k in range(0, len(words), at_once) for e in self.tokenizer.encode_batch_fast(words[k : k + at_once], add_special_tokens=False)]
-
-    @staticmethod
-    def without_marks(word: str) -> tuple[str, ...]:
-        stem = word.rstrip(MARKS)
-        return (stem, word[len(stem) :]) if len(stem) < len(word) and stem and stem[-1].isascii() and stem[-1].isalnum() else (word,)
+    def ids_of(self, words: list[str], at_once: int = 500) -> list[list[int]]:
+        """The library's own ids of each word: plain words go straight to its BPE model, the others through all of it."""
+        plain, model = PLAIN[self.split], self.tokenizer.model
+        out: list = [None if (form := plain(w)) is None else [t.id for t in model.tokenize(form)] for w in words]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k in range(0, len(rest), at_once):  # a few words at a time, as the results are large
+            some = rest[k : k + at_once]
+            for at, e in zip(some, self.tokenizer.encode_batch_fast([words[x] for x in some], add_special_tokens=False), strict=True):
+                out[at] = e.ids
+        return out
 
     def places(self, words: list[str]) -> np.ndarray:
         """The places of words in the table; new ones are encoded first, each once."""
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         if fresh := self.place.fresh:
-            parts = list(map(self.without_marks, fresh))
-            if len(self.known) > KEPT_WORDS:
-                self.known = {}
-            new = list({p: None for ps in parts for p in ps if p not in self.known})
-            self.known.update(zip(new, self.ids_of(new), strict=True))
-            ids = [self.known[ps[0]] if len(ps) == 1 else self.known[ps[0]] + self.known[ps[1]] for ps in parts]
+            ids = self.ids_of(fresh)
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(list(map(len, ids)))])
             self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32)])
             fresh.clear()

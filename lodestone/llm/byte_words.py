@@ -11,8 +11,13 @@ import re
 #: White space as the tokenizers' patterns have it (Unicode's White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WHITE_CHARS = frozenset(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-#: A word with the space before it; white space but for the last before a word; the last white space before a word.
-BYTE_LEVEL = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Letters that every tokenizer here takes as letters, that are composed already, and whose lower case is one letter.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: A run of such letters before white space, the end or one of these marks are a word of its own: all pre-tokenizers cut there.
+MARKS = ".,;:!?"
+#: A run of letters with the space before it; a word with it; white space but for the last before a word; that last.
+BYTE_LEVEL = re.compile(f" ?[{LETTERS}]++(?![^{WHITE}{MARKS}])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+WHITE_DROPPED = re.compile(rf"[{LETTERS}]++(?![^ \n{MARKS}])|[^ \n]+")
 
 
 def segments(text: str, specials: dict[str, int]) -> list[str]:
@@ -30,5 +35,27 @@ def byte_level_words(text: str, specials: dict[str, int]) -> list[str]:
 
 
 def white_dropped_words(text: str, specials: dict[str, int]) -> list[str]:
-    """Cuts at spaces and line feeds only; other white space stays inside words, for the tokenizer to drop."""
-    return text.replace("\n", " ").split(" ")
+    """Cuts at spaces and line feeds only; other white space stays inside words, for the tokenizer to drop.
+
+    ASCII texts are lower-cased here, as the tokenizer would, so that words are the same in either case; but not where a
+    special string may stand, as those are found in the text as it is.
+    """
+    return WHITE_DROPPED.findall(text.lower() if text.isascii() and "<|" not in text else text)
+
+
+#: How byte-level models write the space and the two bytes of each letter beyond ASCII: bytes 128 to 160 and 173 as 256 + 34 on.
+AS_BYTES = {32: "\u0120"} | {c: "\u00c3" + (chr(x + 162) if (x := (c & 63) + 128) < 161 else "\u0143" if x == 173 else chr(x)) for c in range(0xC0, 0x100)}
+PLAIN_WORD = re.compile(f" ?[{LETTERS}]+")
+
+
+def byte_level_plain(word: str) -> str | None:
+    """The word as the BPE model itself takes it, if it is letters with or without a space before them."""
+    return word.translate(AS_BYTES) if PLAIN_WORD.fullmatch(word) else None
+
+
+def white_dropped_plain(word: str) -> str | None:
+    return word.lower().translate(AS_BYTES) if PLAIN_WORD.fullmatch(word) else None
+
+
+#: How each way of splitting gives plain words to the model.
+PLAIN = {byte_level_words: byte_level_plain, white_dropped_words: white_dropped_plain}
