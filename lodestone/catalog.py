@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lodestone.plans import tables
+
 
 def queries() -> dict:
-    return {}
+    return dict(tables.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(tables.SQL)
