@@ -10,8 +10,8 @@ Vectors are indexed in blocks (by a hash of their ids), every one of them, and q
 blocks is a group, so memory is bounded by the block sizes, and each query brings at most k rows from each block.
 
 Defined cases: vectors that are null or zero, or hold null or non-finite components, take no part, nor do rows without an id.
-Vectors are compared with vectors of equal length only. Rows that repeat an id are separate candidates, and a query with such
-an id searches once for each of its rows, all but its own id. With at most k candidates all are returned. Ties go to the
+Vectors are compared with vectors of equal length only. Rows that repeat an id are separate candidates; as queries, repeated
+rows are one, and rows that share an id but not the vector have ranks of their own. A query passes over all rows of its id. With at most k candidates all are returned. Ties go to the
 smaller id. An empty table gives none; other columns are unread.
 """
 
@@ -32,7 +32,7 @@ CACHED = 2_048
 class CollisionIndex:
     """The sorted arrays of one block. ranks holds each vector's place in every array: it lies in a window if its place does."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, hashes: int = 64, share: float = 0.57, budget: float = 0.25, widen: float = 1.1, seed: int = 11):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, hashes: int = 96, share: float = 0.57, budget: float = 0.3, widen: float = 1.1, seed: int = 11):
         in_order = np.lexsort((*vectors.T[::-1], ids))  # so that results don't depend on how rows arrive
         self.ids, self.vectors, self.widen = ids[in_order], vectors[in_order], widen
         n, squares = len(ids), np.einsum("ij,ij->i", self.vectors, self.vectors)
@@ -98,18 +98,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     place = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     data = rows.select("id", "v", "length", place("data", blocks).alias("block")).withColumn("query_block", every(query_blocks))
-    asked = rows.where("query").select("id", "v", "length", place("query", query_blocks).alias("query_block")).withColumn("block", every(blocks))
+    asked = rows.where("query").dropDuplicates(["id", "v"]).select("id", "v", "length", F.xxhash64("v").alias("twin"), place("query", query_blocks).alias("query_block")).withColumn("block", every(blocks))
 
     def pair(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if here.empty or there.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "twin": [], "vec_id": [], "score": []})
         made = CollisionIndex(here["id"].to_numpy(), np.stack(here["v"].to_numpy()), **index)
         own = there["id"].to_numpy()
         rows, ids, scores = zip(*made.search(np.stack(there["v"].to_numpy()), own, k), strict=True)
         of = np.repeat(rows, list(map(len, ids)))
-        return pd.DataFrame({"query_id": own[of], "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+        return pd.DataFrame({"query_id": own[of], "twin": there["twin"].to_numpy()[of], "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     key = ["block", "query_block", "length"]
-    found = data.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(pair, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = data.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(pair, "query_id long, twin long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
