@@ -78,7 +78,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
             id_ = batch.column(0)
             shard = np.searchsorted(edges, id_.to_numpy(zero_copy_only=False).astype(np.float64), side="left")
             shard[np.asarray(id_.is_null())] = 0
-            ids = [np.append(x, end_id).astype(narrow).tobytes() for x in table.encode(batch.column(1).to_pylist())]
+            ids = [np.append(x, end_id).astype(narrow).tobytes() for x in table.encode_column(batch.column(1))]
             yield pa.RecordBatch.from_arrays([id_, pa.array(shard, pa.int32()), pa.array(ids, pa.binary())], ["id", "shard", "ids"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

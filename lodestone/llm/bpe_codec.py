@@ -22,16 +22,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer
 
-from lodestone.llm.byte_words import PLAIN, byte_level_words
+from lodestone.llm.byte_words import COLUMNS, PLAIN, byte_level_words
 from lodestone.llm.common import held, whole_text
 
 #: Distinct words that a worker keeps from one batch to the next. Bounds memory, never results.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 400_000
 #: Texts that are Python strings at a time.
 ROWS = 512
 
@@ -103,18 +104,32 @@ class WordTable:
             fresh.clear()
         return at
 
+    def gather(self, at: np.ndarray, n_words: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each text, from the places of all texts' words and how many words each text has."""
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.append(0, np.cumsum(lengths))
+        ids = self.flat[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        bounds = ends[np.append(0, np.cumsum(n_words))].tolist()
+        return (ids[x:y] for x, y in itertools.pairwise(bounds))
+
     def encode(self, texts: list[str], rows: int = 256) -> Iterator[np.ndarray]:
-        """The ids of each text, gathered from its words' places."""
         for i in range(0, len(texts), rows):
             if len(self.place) > KEPT_WORDS:
                 self._forget()
             words = [self.split(t, self.specials) for t in texts[i : i + rows]]
-            at = self.places(list(itertools.chain.from_iterable(words)))
-            lengths = self.starts[at + 1] - self.starts[at]
-            ends = np.append(0, np.cumsum(lengths))
-            ids = self.flat[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
-            bounds = ends[np.append(0, np.cumsum(list(map(len, words))))].tolist()
-            yield from (ids[x:y] for x, y in itertools.pairwise(bounds))
+            yield from self.gather(self.places(list(itertools.chain.from_iterable(words))), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """As encode(), for an Arrow column without nulls; where the split can do columns, only distinct words become strings."""
+        words = COLUMNS[self.split](texts) if self.split in COLUMNS else None
+        if words is None:
+            yield from self.encode(texts.to_pylist())
+            return
+        if len(self.place) > KEPT_WORDS:
+            self._forget()
+        coded = words.flatten().dictionary_encode()
+        at = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
+        yield from self.gather(at, pc.list_value_length(words).to_numpy())
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False): bytes that aren't UTF-8 become replacement characters."""

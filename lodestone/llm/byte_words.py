@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space as the tokenizers' patterns have it (Unicode's White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WHITE_CHARS = frozenset(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -50,12 +53,28 @@ PLAIN_WORD = re.compile(f" ?[{LETTERS}]+")
 
 def byte_level_plain(word: str) -> str | None:
     """The word as the BPE model itself takes it, if it is letters with or without a space before them."""
+    if word.isascii():
+        return word if word.isalpha() else "\u0120" + word[1:] if word[:1] == " " and word[1:].isalpha() else None
     return word.translate(AS_BYTES) if PLAIN_WORD.fullmatch(word) else None
 
 
 def white_dropped_plain(word: str) -> str | None:
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
     return word.lower().translate(AS_BYTES) if PLAIN_WORD.fullmatch(word) else None
 
 
 #: How each way of splitting gives plain words to the model.
 PLAIN = {byte_level_words: byte_level_plain, white_dropped_words: white_dropped_plain}
+
+
+def white_dropped_column(texts: pa.Array) -> pa.Array | None:
+    """white_dropped_words of a whole column without a Python string for any word; None where a special string may stand."""
+    if pc.any(pc.match_substring(texts, "<|")).as_py():
+        return None
+    spaced = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+    return pc.split_pattern(pc.replace_substring_regex(spaced, f"([a-z])([{MARKS}])", r"\1 \2"), " ")
+
+
+#: Ways of splitting that can do whole columns.
+COLUMNS = {white_dropped_words: white_dropped_column}

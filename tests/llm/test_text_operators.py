@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -119,6 +120,9 @@ def test_words_give_the_library_ids():
         library = Tokenizer.from_file(path)
         for t, ids in zip(texts, bpe_codec.WordTable(path, split).encode(texts), strict=True):
             assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+        plain = [t for t in texts if "<|" not in t]
+        for t, ids in zip(plain, bpe_codec.WordTable(path, split).encode_column(pa.array(plain)), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_codec_round_trip(odd, none):
