@@ -80,6 +80,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
             shard[np.asarray(id_.is_null())] = 0
             ids = [np.append(x, end_id).astype(narrow).tobytes() for x in table.encode_column(batch.column(1))]
             yield pa.RecordBatch.from_arrays([id_, pa.array(shard, pa.int32()), pa.array(ids, pa.binary())], ["id", "shard", "ids"])
+        table.forget()  # an idle worker holds no words
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunk, first, rest = None, 0, 0, []

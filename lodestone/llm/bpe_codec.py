@@ -31,8 +31,8 @@ from tokenizers import Tokenizer
 from lodestone.llm.byte_words import COLUMNS, PLAIN, byte_level_words
 from lodestone.llm.common import held, whole_text
 
-#: Distinct words that a worker keeps from one batch to the next. Bounds memory, never results.
-KEPT_WORDS = 400_000
+#: Distinct words that a task keeps from one batch to the next. Bounds memory, never results.
+KEPT_WORDS = 250_000
 #: Texts that are Python strings at a time.
 ROWS = 512
 
@@ -72,9 +72,9 @@ class WordTable:
         self.path, self.split = path, split
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.n_ids = self.tokenizer.get_vocab_size()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.place = Places()
         self.starts = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
@@ -115,7 +115,7 @@ class WordTable:
     def encode(self, texts: list[str], rows: int = 256) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), rows):
             if len(self.place) > KEPT_WORDS:
-                self._forget()
+                self.forget()
             words = [self.split(t, self.specials) for t in texts[i : i + rows]]
             yield from self.gather(self.places(list(itertools.chain.from_iterable(words))), np.fromiter(map(len, words), np.int64, len(words)))
 
@@ -126,7 +126,7 @@ class WordTable:
             yield from self.encode(texts.to_pylist())
             return
         if len(self.place) > KEPT_WORDS:
-            self._forget()
+            self.forget()
         coded = words.flatten().dictionary_encode()
         at = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
         yield from self.gather(at, pc.list_value_length(words).to_numpy())
@@ -154,6 +154,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids = list(table.encode(batch.column(batch.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names)
+        table.forget()  # an idle worker holds no words
 
     return source.mapInArrow(run, StructType(list(kept.schema.fields)).add("n_tokens", "long").add("ids", ArrayType(IntegerType())))
 
@@ -207,5 +208,6 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
                 of_ids.append(hashlib.sha256(",".join(map(digits.__getitem__, ids.tolist())).encode()).hexdigest())
                 of_text.append(hashlib.sha256(table.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        table.forget()
 
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
