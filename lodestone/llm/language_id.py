@@ -157,6 +157,31 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
     return source.mapInArrow(run, schema)
 
 
+def length_class(text: Column) -> Column:
+    """The whole part of log2 of a text's letters; null without letters. Scores grow with length, so texts are compared within a class."""
+    return F.floor(F.log2(F.nullif(F.length(F.regexp_replace(text, r"\P{L}+", "")), F.lit(0)))).cast("int")
+
+
+def cutoffs(judged: DataFrame, clean: Column, class_col: str, share: float = 0.01, slack: float = 0.5) -> list[tuple[int, float, float]]:
+    """(class, least score, least margin): of each length class, slack times the quantile `share` among clean labelled rows.
+
+    One aggregation; a row a class comes to the driver, some 30 at most. The same rule holds at every size of the table.
+    """
+    part = judged.where(clean).groupBy(class_col).agg(F.percentile_approx("score", share).alias("s"), F.percentile_approx("margin", share).alias("m"))
+    return sorted((r[class_col], r["s"] * slack, r["m"] * slack) for r in part.where(F.col(class_col).isNotNull()).collect())
+
+
+def accepted(cuts: list[tuple[int, float, float]], class_col: str) -> Column:
+    """Whether score and margin reach the cut-offs of the row's class; a class that no clean row has takes those of the next shorter one, else of the shortest."""
+    reach = lambda s, m: (F.col("score") >= s) & (F.col("margin") >= m)
+    if not cuts:
+        return F.lit(False)
+    found = reach(*cuts[0][1:])
+    for k, s, m in cuts[1:]:
+        found = F.when(F.col(class_col) >= k, reach(s, m)).otherwise(found)
+    return (F.col("lang_pred") != "und") & found
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from lodestone.llm import nearest, url_filter
+from lodestone.llm import language_id, nearest, url_filter
 from tests.llm.test_text_operators import ODD, SCHEMA, brute_groups
 
 RULES = [url_filter.rule("allow", "org/"), url_filter.rule("block", "example.org/es/"), url_filter.rule("block", "com/de/")]
@@ -80,6 +80,18 @@ def test_pipeline_stages(spark, sf):
     assert kept == {c for _, c, _ in brute_groups([(r["doc_id"], r["text"]) for r in first.collect()])}
 
 
+def test_language_stage_rejects_unlearnt_languages_and_noise(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = np.random.default_rng(5)
+    alphabets = [[*"абвгдежзийклмнопрстуфхцчшщыьэюя    "], [*"αβγδεζηθικλμνξοπρστυφχψω    "], [chr(c) for c in range(0x4E00, 0x5E00)], [*"abcdefghijklmnopqrstuvwxyz    "]]
+    bad = ["".join(draw.choice(letters, n)) for letters in alphabets for n in (100, 300, 1_000, 5_000) for _ in range(5)]
+    added = spark.createDataFrame([(10_000_000 + k, t, None, "x", len(t)) for k, t in enumerate(bad)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs.unionByName(added), "").select("doc_id").collect()}
+    assert not [k for k in range(len(bad)) if 10_000_000 + k in kept]
+    clean = {r["doc_id"]: r["h"] for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", language_id.held_out().alias("h")).collect()}
+    assert sum(i in kept for i in clean) >= 0.99 * len(clean) and sum(i in kept for i, h in clean.items() if h) >= 0.98 * sum(clean.values())
+
+
 def test_pipeline_stages_on_odd_rows(spark, sf):
     odd, none = spark.createDataFrame(ODD, SCHEMA), spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES[:-1]:
