@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.common import settled
+
 
 def capped(rows: DataFrame, group: list[str], order: list[Column], cap: int) -> DataFrame:
     """The first `cap` rows of each group; Spark limits each task's groups before the shuffle."""
@@ -74,3 +76,30 @@ def split_windows(events: DataFrame, at: str, seconds: int, leaf: int) -> DataFr
     width = F.ceil(F.lit(seconds) / F.col("parts")).cast("long")
     own = per_second.join(parts, "start").withColumn("width", width).withColumn("low", F.col("start") + F.floor((F.col("second") - F.col("start")) / F.col("width")) * F.col("width"))
     return own.groupBy("start", "low", "width").agg(F.sum("n").alias("n"))
+
+
+def split_until(events: DataFrame, at: str, seconds: int, leaf: int, least: int = 1) -> DataFrame:
+    """Windows as by split_windows, but each part is counted again and split on until it holds at most leaf rows or is at most `least` seconds wide.
+
+    A window of w seconds and n rows is cut into p = min(ceil(n / leaf), w) parts, the i-th from i * w // p, as the reference's
+    splitWindow does. Windows without rows aren't listed. Rounds are over distinct seconds and each is written; windows only get
+    narrower, so the loop ends.
+    """
+    second = F.unix_seconds(F.col(at).cast("timestamp"))
+    start = (F.floor(second / seconds) * seconds).cast("long")
+    counted = events.groupBy(second.alias("second"), start.alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    left = settled(counted.withColumns({"low": F.col("start"), "width": F.lit(seconds).cast("long")}))
+    done = []
+    while True:
+        windows = settled(left.groupBy("start", "low", "width").agg(F.sum("n").alias("n")))
+        full = (F.col("n") > leaf) & (F.col("width") > least)
+        done.append(windows.where(~full))
+        if windows.where(full).isEmpty():
+            break
+        cuts = windows.where(full).select("low", F.least(F.ceil(F.col("n") / leaf), F.col("width")).cast("long").alias("parts"))
+        i = "(((second - low + 1) * parts - 1) div width)"
+        left = settled(left.join(cuts, "low").selectExpr("second", "start", "n", f"low + {i} * width div parts AS low", f"({i} + 1) * width div parts - {i} * width div parts AS width"))
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found

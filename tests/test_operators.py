@@ -92,6 +92,17 @@ def test_discovery(spark):
     assert {r["id"] for r in kept.where("kept").collect()} == {1, 2, 3}
 
 
+def test_windows_split_until_they_fit(spark):
+    # A hot second, a hot hour and some single rows of one day.
+    at = [1_000] * 120 + [7_200 + k * 36 // 10 for k in range(1_000)] + [50_000, 70_000, 86_399]
+    events = spark.createDataFrame([(x,) for x in at], "x long").select(F.timestamp_seconds("x").alias("ts"))
+    found = discovery.split_until(events, "ts", 86_400, 50).collect()
+    assert all(r["n"] <= 50 or r["width"] == 1 for r in found) and sum(r["n"] for r in found) == len(at)
+    assert [(r["low"], r["n"]) for r in found if r["n"] > 50] == [(1_000, 120)]
+    assert all(sum(r["low"] <= x < r["low"] + r["width"] for r in found) == 1 for x in set(at))
+    assert all(r["n"] == sum(r["low"] <= x < r["low"] + r["width"] for x in at) for r in found)
+
+
 def test_views(spark):
     rows = spark.createDataFrame([("py", 1), ("py", 5), ("rs", 1), (None, 1)], "lang string, stars int")
     counts = {(r["facet"], r["value"]): r["n"] for r in views.facet_counts(rows, {"lang": (F.col("lang"), F.col("lang") == "py"), "stars": (F.col("stars"), F.col("stars") == 1)}).collect()}
