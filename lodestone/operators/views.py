@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.common import settled
+
 
 def all_terms(hay: Column, query: str) -> Column:
     """Whether every term of the query stands in the text, in either case."""
@@ -57,31 +59,43 @@ def taste_terms(facets: DataFrame, tastes: DataFrame, key: str) -> DataFrame:
     return joined.groupBy(key).agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.avg("affinity"), F.lit(0.0)))).alias("taste"))
 
 
+def _running(rows: DataFrame, band: str, order: list[Column], sums: dict[str, Column], low: tuple[str, Column] | None = None) -> DataFrame:
+    """rows with running sums within each band in the order, and (low) the running minimum over the rows before.
+
+    No band is one task's: rows are dealt by ranges of band and order, added up within each range, and the ranges' sums set end
+    to end. The order must be unique, or equal rows share a range.
+    """
+    dealt = settled(rows.repartitionByRange(F.col(band), *order).withColumn("__part", F.spark_partition_id()))
+    here = Window.partitionBy("__part", band).orderBy(*order)
+    upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    least = {low[0]: low[1]} if low else {}
+    parts = dealt.groupBy("__part", band).agg(*[F.sum(e).alias(f"__{k}") for k, e in sums.items()], *[F.min(e).alias(f"__{k}") for k, e in least.items()])
+    ahead = Window.partitionBy(band).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.select(F.col("__part").alias("__p"), F.col(band).alias("__b"), *[F.coalesce(F.sum(f"__{k}").over(ahead), F.lit(0)).alias(f"__{k}") for k in sums], *[F.min(f"__{k}").over(ahead).alias(f"__{k}") for k in least])
+    local = dealt.withColumns({k: F.sum(e).over(upto) for k, e in sums.items()} | {k: F.min(e).over(before) for k, e in least.items()})
+    joined = local.join(ends, (F.col("__part") == F.col("__p")) & F.col(band).eqNullSafe(F.col("__b")))
+    return joined.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums} | {k: F.least(k, f"__{k}") for k in least}).drop("__part", "__p", "__b", *[f"__{k}" for k in [*sums, *least]])
+
+
 def for_you(rows: DataFrame, band: str, order: list[Column], taste_col: str, every: int = 10) -> DataFrame:
     """Adds place: within each band the order, but every tenth place holds the best row of negative taste still left.
 
-    A row of negative taste that its own rank has placed before its turn is not moved. rows is the bounded index.
+    A row of negative taste that its own rank has placed before its turn is not moved. The order should be unique.
+
+    The rows of negative taste that are placed are always the first ones, so the j-th, of rank w(j), stands at the lesser of
+    w(j) and the next tenth place after the (j-1)-th. That unrolls to min(w(j), every * (j + min(0, w(i) // every - i over
+    i < j))), a running minimum; the others fill what is left, so one more count in the merged order gives all places.
     """
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(band).orderBy(*order)))
-
-    def place(pdf):
-        pdf = pdf.sort_values("__rank", ignore_index=True)
-        wild = [i for i, t in enumerate(pdf[taste_col]) if t < 0]
-        used, out, at, w = [False] * len(pdf), [], 0, 0
-        while len(out) < len(pdf):
-            while at < len(pdf) and used[at]:
-                at += 1
-            pick = at
-            if (len(out) + 1) % every == 0:
-                while w < len(wild) and used[wild[w]]:
-                    w += 1
-                pick = wild[w] if w < len(wild) else at
-            used[pick] = True
-            out.append(pick)
-        return pdf.iloc[out].assign(place=range(1, len(out) + 1)).drop(columns="__rank")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", place long"
-    return ranked.groupBy(band).applyInPandas(place, schema)
+    wild = F.coalesce(F.col(taste_col) < 0, F.lit(False))
+    names = rows.columns
+    ranked = _running(rows, band, order, {"__rank": F.lit(1), "__wilds": wild.cast("int")})
+    lead = F.when(wild, F.floor(F.col("__rank") / every) - F.col("__wilds"))
+    turned = _running(ranked, band, [F.col("__rank")], {}, ("__low", lead))
+    slot = F.least(F.col("__rank"), every * (F.col("__wilds") + F.least(F.lit(0), F.coalesce("__low", F.lit(0)))))
+    # Others before it: of a row of negative taste its slot less those of its kind up to it, of another one its own count less one.
+    others = F.when(wild, slot - F.col("__wilds")).otherwise(F.col("__rank") - F.col("__wilds") - 1)
+    merged = turned.withColumns({"__others": others, "__plain": (~wild).cast("int")})
+    return _running(merged, band, [F.col("__others"), F.col("__plain"), F.col("__rank")], {"place": F.lit(1)}).select(*names, F.col("place").cast("long").alias("place"))
 
 
 def sampled(rows: DataFrame, group: str, draw: Column, most: int) -> DataFrame:

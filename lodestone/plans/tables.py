@@ -301,8 +301,8 @@ def taste_term(spark, d):
 def for_you(spark, d):
     facets, tastes = _taste(spark, d)
     rows = t(spark, d, "part").join(views.taste_terms(facets, tastes, "p_partkey"), "p_partkey").withColumn("band", F.when(F.col("p_size") > 25, "high").otherwise("low"))
-    best = rows.select("p_partkey", "band", "taste", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20_000)
-    return views.for_you(best, "band", [F.desc(F.col("p_retailprice") / 200 + F.col("taste")), F.col("p_partkey")], "taste")
+    index = rows.select("p_partkey", "band", "taste", "p_retailprice")
+    return views.for_you(index, "band", [F.desc(F.col("p_retailprice") / 200 + F.col("taste")), F.col("p_partkey")], "taste")
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('2024-W01:' || source || ':' || doc_id)) AS n FROM documents) WHERE n <= 10")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as s
 from lodestone.operators import discovery, folds, joins, metrics, rules, scoring, views
+from lodestone.plans import tables
 from lodestone.sources import events_log
 from lodestone.streaming import streams
 
@@ -113,6 +114,36 @@ def test_views(spark):
     assert views.shelf_counts(rows, {"none": F.lit(False)}).first()["n"] == 0
 
 
+def places_one_by_one(rows, every):
+    """id to place, for (id, taste) in order: the definition, slot by slot."""
+    left, places = list(rows), {}
+    while left:
+        turn = (len(places) + 1) % every == 0
+        pick = next((r for r in left if r[1] is not None and r[1] < 0), left[0]) if turn else left[0]
+        left.remove(pick)
+        places[pick[0]] = len(places) + 1
+    return places
+
+
+def test_for_you_by_brute_force(spark):
+    draw = random.Random(8)
+    shares = {"none": 0, "few": 0.03, "some": 0.15, "many": 0.6, "all": 1, None: 0.1}
+    rows = [(k, band, draw.choice([-0.5, -0.1]) if draw.random() < share else draw.choice([0.0, 0.5, None])) for k, (band, share) in enumerate(x for x in shares.items() for _ in range(150))]
+    rows += [(10_000 + k, "late", -0.5 if k >= 70 else 0.5) for k in range(100)] + [(20_000 + k, "early", -0.5 if k < 30 else 0.5) for k in range(100)]
+    table = spark.createDataFrame(rows, "id long, band string, taste double").repartition(5)
+    for every in (10, 3):
+        found = {r["id"]: r["place"] for r in views.for_you(table, "band", [F.col("id")], "taste", every).collect()}
+        assert found == {i: p for band in {r[1] for r in rows} for i, p in places_one_by_one([(i, t) for i, b, t in rows if b == band], every).items()}
+
+
+def test_for_you_places_all_parts(spark, tmp_path):
+    n = 20_050
+    part = spark.range(1, n + 1).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") % 7).alias("p_brand"), (F.col("id") % 50 + 1).cast("int").alias("p_size"), (F.col("id") % 997 + 900.0).alias("p_retailprice"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(500).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, "purchase").otherwise("error").alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    assert tables.for_you(spark, str(tmp_path)).count() == n
+
+
 def test_auc_by_counting_pairs(spark):
     draw = random.Random(2)
     rows = [(draw.randint(0, 8), draw.random() < 0.4) for _ in range(200)]
