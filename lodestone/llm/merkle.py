@@ -1,6 +1,7 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are paragraphs (lines with their line ends; a paragraph over LONG characters is cut at sentence ends). Sections are
+Leaves are runs of words of some tens of characters: paragraphs (lines with their line ends) are cut at sentence ends, and
+sentences behind words whose digest says so, so that short texts and long lines have leaves in their unchanged parts. Sections are
 runs of leaves that end at a blank line or at a leaf whose digest says so, so that an insertion moves no later border. The
 root is the digest of the sections' digests. Equal roots mean equal texts; else equal sections are passed over and the
 leaves of the others compared, which locates edits.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,17 +27,40 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import whole_text
 
-LONG = 400
-PARAGRAPH = re.compile(r"[^\n]*\n+|[^\n]+")
-SENTENCE = re.compile(r"(?s).{1,399}?[.!?]+\s+|.{1,400}")
+#: A leaf ends once it has so many characters; longer words are cut within.
+LONG = 48
+WORD = re.compile(r"\S+[^\S\n]*\n*|[^\S\n]+\n*|\n+")
+SENTENCE_END = (".", "!", "?")
+#: Texts that are Python strings at a time.
+ROWS = 512
 #: At most so many ranges of ids, whatever the input.
 MOST_RANGES = 8_000
 
 
+def pieces(word: str) -> list[str]:
+    """A word of more than LONG characters, cut behind pairs of characters whose digest says so, and at LONG."""
+    out, start = [], 0
+    for k in range(2, len(word) + 1):
+        if k - start >= LONG or k == len(word) or not zlib.crc32(word[k - 2 : k].encode()) & 15:
+            out.append(word[start:k])
+            start = k
+    return out
+
+
 def leaves(text: str) -> list[str]:
+    """Paragraphs, in sentences, in runs of words that end where a word's digest says so: some tens of characters each."""
     out: list[str] = []
-    for paragraph in PARAGRAPH.findall(text):
-        out += [paragraph] if len(paragraph) <= LONG else SENTENCE.findall(paragraph)
+    run, size = [], 0
+    for token in WORD.findall(text):
+        long = len(token) > LONG
+        for word in pieces(token) if long else (token,):
+            run.append(word)
+            size += len(word)
+            if long or size >= LONG or word[-1] == "\n" or word.rstrip().endswith(SENTENCE_END) or not zlib.crc32(word.encode()) & 3:
+                out.append("".join(run))
+                run, size = [], 0
+    if run:
+        out.append("".join(run))
     return out
 
 
@@ -162,7 +187,7 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             out = []
             for id_, text, range_, halo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = (id_, text, range_, None)

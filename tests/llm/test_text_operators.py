@@ -236,6 +236,24 @@ def test_merkle(odd, none):
     assert merkle.fingerprints(odd).count() == len(ODD)
 
 
+def test_merkle_sees_the_kept_half_of_short_texts():
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 9))) for _ in range(400)]
+    mark = merkle.fingerprint
+    for size in (150, 300, 700, 3_000):
+        for joiner in (" ", ", ", "", ". "):
+            found = []
+            for _ in range(20):
+                a, b = (joiner.join(draw.choices(words, k=size))[:size] for _ in range(2))
+                for share in (0.5, 0.8):
+                    kept = int(size * share)
+                    found.append(merkle.likeness(mark(a), mark(a[:kept] + b[kept:])) - share)
+                assert merkle.likeness(mark(a), mark(a)) == 1 and "".join(merkle.leaves(a)) == a
+            assert min(found) > -0.4 and abs(sum(found) / len(found)) < 0.15, (size, joiner, sum(found) / len(found), min(found))
+    half = "漢字仮名交じり文" * 3 + "東京都千代田区永田町一丁目七番一号" * 3
+    assert merkle.likeness(mark(half + "甲" * len(half)), mark(half + "乙" * len(half))) > 0.3
+
+
 def test_shards(spark, odd, none, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = kd_shards.shard(docs, leaves=8).toPandas()
