@@ -16,16 +16,17 @@ text's digest. With one row, the next document is itself. An empty table gives n
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import whole_text
+from lodestone.llm.common import tasks, whole_text
 
 #: A leaf ends once it has so many characters; longer words are cut within.
 LONG = 48
@@ -142,34 +143,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(fingerprint, texts), pa.string())], [id_col, "n_chars", "fingerprint"])
 
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_chars long, fingerprint string")
 
 
+def passed(bounds: list[int]) -> Column:
+    """How many of the bounds (descending) are at or over the id: first among every so many of them, then among those between."""
+    if not bounds:
+        return F.lit(0)
+    wide = max(1, math.isqrt(len(bounds)))
+    rows = [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
+    heads = F.array(*[F.lit(r[0]) for r in rows]).cast("array<bigint>")
+    inner = F.array(*[F.array(*[F.lit(b) for b in r]).cast("array<bigint>") for r in rows])
+    at_least = lambda xs: F.size(F.filter(xs, lambda b: b >= F.col("id")))
+    over = at_least(heads)
+    return F.when(over == 0, 0).otherwise((over - 1) * wide + at_least(F.element_at(inner, F.greatest(over, F.lit(1)))))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20) -> DataFrame:
-    """Rows (id, text, range, halo) dealt by ranges of descending id and sorted within them.
+    """Rows (id, text, range, halo) dealt by ranges of descending id, a range a task, and sorted within them.
 
-    The first row of the range that follows is a halo row at the end of each range, so every row's next one is behind it in its
-    own partition. Texts are shuffled once.
+    There are as many ranges as the session has shuffle partitions, or more where they would pass range_bytes. The first row of the
+    range that follows is a halo row at the end of each range, so every row's next one is behind it in its own partition. Rows
+    without an id come last, in ranges by their text's digest. Texts are shuffled once.
     """
+    digest = F.md5(F.col("text").cast("binary"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(MOST_RANGES, max(1, -(-size // range_bytes)))
+    size, idless = source.agg(F.sum(F.octet_length("text")), F.sum(F.when(F.col("id").isNull(), F.octet_length("text") + 1))).first()
+    n = min(MOST_RANGES, max(tasks(docs.sparkSession), 1, -(-(size or 0) // range_bytes)))
     bounds = sorted({int(x) for x in source.approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n)}, reverse=True) if n > 1 else []
-    passed = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b >= F.col("id"))) if bounds else F.lit(0)
-    ranged = source.withColumn("range", F.coalesce(F.when(F.col("id").isNull(), len(bounds)), passed).cast("int"))
-    # One row a range, MOST_RANGES at most: its largest id.
-    firsts = [(r["range"], r["id"]) for r in ranged.groupBy("range").agg(F.max("id").alias("id")).orderBy("range").collect()]
-    halo = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
-    spark = docs.sparkSession
-    copies = spark.createDataFrame(halo or [(0, -1)], "halo_id long, halo_range int")
-    doubled = ranged.join(F.broadcast(copies), F.col("id").eqNullSafe(F.col("halo_id")), "left")
+    tail = max(1, min(n, -(-n * (idless or 0) // ((size or 0) + 1))))
+    by_digest = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * tail / F.lit(1 << 32)).cast("int")
+    ranged = source.withColumn("range", F.when(F.col("id").isNull(), F.lit(len(bounds) + 1) + by_digest).otherwise(passed(bounds)).cast("int"))
+    # One row a range: its first row, by its id and its text's digest.
+    firsts = ranged.groupBy("range").agg(F.min(F.struct(F.bitwise_not("id").alias("down"), digest.alias("digest"))).alias("first")).orderBy("range").collect()
+    halo = [(None if (at := r["first"]["down"]) is None else ~at, r["first"]["digest"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)]
+    copies = F.broadcast(docs.sparkSession.createDataFrame(halo, "halo_id long, halo_digest string, halo_range int"))
+    doubled = ranged.join(copies, F.col("id").eqNullSafe(F.col("halo_id")) & (digest == F.col("halo_digest")), "left")
     doubled = doubled.withColumn("at", F.explode(F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("halo")), F.when(F.col("halo_range").isNotNull(), F.struct(F.col("halo_range").alias("range"), F.lit(True).alias("halo")))))))
-    order = ["range", "halo", F.col("id").desc_nulls_last(), F.md5(F.col("text").cast("binary"))]
-    return doubled.select("id", "text", "at.range", "at.halo").repartition(len(bounds) + 1, "range").sortWithinPartitions(*order)
+    order = ["range", "halo", F.col("id").desc_nulls_last(), digest]
+    return doubled.select("id", "text", "at.range", "at.halo").repartitionById(len(bounds) + 1 + tail, "range").sortWithinPartitions(*order)
 
 
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
