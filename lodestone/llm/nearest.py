@@ -1,18 +1,20 @@
 """Approximate nearest neighbours by inner product, with collision-counting hashing that is aware of the query.
 
 Each of m hashes is one random projection, kept as a sorted array. A query opens a window around its own projection in
-every array; a vector collides in an array where it lies in the window. Virtual rehashing widens all windows by a factor and
-only looks at what they gain. Once enough vectors have collided in at least `threshold` arrays, all that have are verified
-by exact inner products in double precision. Largest inner product is made nearest distance by one more coordinate, which
-lifts all vectors of a block to its largest norm.
+every array; a vector collides in an array where it lies in the window. Virtual rehashing widens all windows by a factor, and
+only the places that the windows gain at either end are walked and counted. Once enough vectors have collided in `share` of the
+arrays, a query spends its budget (`budget` of the block, `least` vectors at least) on them, most collisions first: each is verified once, by its exact
+inner product in double precision. Largest inner product is made nearest distance by one more coordinate, which lifts all vectors of a block
+to its largest norm.
 
 Vectors are indexed in blocks (by a hash of their ids), every one of them, and queries are dealt in blocks too; each pair of
 blocks is a group, so memory is bounded by the block sizes, and each query brings at most k rows from each block.
 
 Defined cases: vectors that are null or zero, or hold null or non-finite components, take no part, nor do rows without an id.
-Vectors are compared with vectors of equal length only. Rows that repeat an id are separate candidates; as queries, repeated
-rows are one, and rows that share an id but not the vector have ranks of their own. A query passes over all rows of its id. With at most k candidates all are returned. Ties go to the
-smaller id. An empty table gives none; other columns are unread.
+Vectors are compared with vectors of equal length only. Rows that repeat an id are separate candidates; a query passes over one
+row of its own id and vector, itself. As queries, rows of equal id and vector are one, and rows that share an id but not the
+vector have ranks of their own. With at most k candidates all are returned. Equal vectors have equal scores to the last bit,
+and ties go to the smaller id. An empty table gives none; other columns are unread.
 """
 
 from __future__ import annotations
@@ -25,63 +27,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Vectors whose places are compared at a time, so that they stay in a core's cache.
-CACHED = 2_048
-
-
 class CollisionIndex:
-    """The sorted arrays of one block. ranks holds each vector's place in every array: it lies in a window if its place does."""
+    """The sorted arrays of one block: values in order, and the vector that each value belongs to."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, hashes: int = 96, share: float = 0.57, budget: float = 0.3, widen: float = 1.1, seed: int = 11):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, hashes: int = 320, share: float = 0.57, budget: float = 0.1, least: int = 300, widen: float = 1.3, seed: int = 11):
         in_order = np.lexsort((*vectors.T[::-1], ids))  # so that results don't depend on how rows arrive
         self.ids, self.vectors, self.widen = ids[in_order], vectors[in_order], widen
         n, squares = len(ids), np.einsum("ij,ij->i", self.vectors, self.vectors)
         lift = np.sqrt(np.maximum(squares.max() - squares, 0.0))
         self.norm = float(np.sqrt(squares.max()))
-        self.need, self.enough = int(np.ceil(share * hashes)), int(budget * n)
+        self.need, self.enough = int(np.ceil(share * hashes)), max(least, int(np.ceil(budget * n)))
         self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, hashes))
-        projected = np.column_stack([self.vectors, lift]) @ self.directions
-        order = projected.argsort(axis=0, kind="stable").T
-        self.sorted = np.ascontiguousarray(np.sort(projected, axis=0).T)
-        ranks = np.empty((hashes, n), dtype=np.uint16 if n < 65_536 else np.uint32)
-        np.put_along_axis(ranks, order, np.arange(n, dtype=ranks.dtype)[None, :], axis=1)
-        self.ranks = [np.ascontiguousarray(ranks[:, i : i + CACHED]) for i in range(0, n, CACHED)]
+        projected = np.ascontiguousarray((np.column_stack([self.vectors, lift]) @ self.directions).T)
+        self.order = projected.argsort(axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(projected, self.order, axis=1)
         # The first radius is one at which no sampled vector has enough neighbours, so that windows start narrow but not empty.
-        self.start = 0.1 * self.norm
-        sample = self.vectors[:: max(1, n // 12)]
-        if 0 < self.enough < n:
-            self.start = min(radius for _, _, radius in self.expand(sample, self.enough)) / widen
-
-    def expand(self, queries: np.ndarray, enough: int) -> Iterator[tuple[int, np.ndarray, float]]:
-        """Widens the windows of all queries, step by step; yields (query, places, radius) where enough vectors collide often enough."""
-        at = (queries * (self.norm / np.linalg.norm(queries, axis=1, keepdims=True)) @ self.directions[:-1]).T
-        radius, active = self.start, np.arange(len(queries))
-        while len(active):
-            low, high = (np.stack([s.searchsorted(x[active] + r, side) for s, x in zip(self.sorted, at, strict=True)]) for r, side in ((-radius, "left"), (radius, "right")))
-            low, width, left = low.astype(self.ranks[0].dtype).T[:, :, None], (high - low).astype(self.ranks[0].dtype).T[:, :, None], []
-            for i, q in enumerate(active.tolist()):
-                # Places below a window wrap round to large numbers, as they are unsigned.
-                counts = np.concatenate([np.add.reduce((r - low[i] < width[i]).view(np.uint8), axis=0, dtype=np.uint8) for r in self.ranks])
-                found = np.flatnonzero(counts >= self.need)
-                if len(found) >= enough:
-                    yield q, found, radius
-                else:
-                    left.append(q)
-            active = np.array(left, dtype=np.int64)
+        self.start, at_once = 0.02 * self.norm, max(1, self.enough)
+        if at_once < n:
+            self.start = min(self.candidates(v, at_once)[1] for v in self.vectors[:: max(1, n // 8)]) / widen
+
+    def candidates(self, query: np.ndarray, enough: int) -> tuple[np.ndarray, float]:
+        """Places of the `enough` vectors that collide most often with the query, by the time so many collide often enough; the radius."""
+        at = (query * (self.norm / np.linalg.norm(query))) @ self.directions[:-1]
+        counts = np.zeros(len(self.ids), dtype=np.uint16)
+        low = high = None
+        radius, n = self.start, len(self.ids)
+        while True:
+            to_low = [int(s.searchsorted(x, "left")) for s, x in zip(self.sorted, at - radius, strict=True)]
+            to_high = [int(s.searchsorted(x, "right")) for s, x in zip(self.sorted, at + radius, strict=True)]
+            for own, a, b, c, d in zip(self.order, to_low, low or to_low, high or to_low, to_high, strict=True):
+                counts[own[a:b]] += 1  # a vector stands once in each array
+                counts[own[c:d]] += 1
+            low, high = to_low, to_high
+            found = np.flatnonzero(counts >= self.need)
+            if len(found) >= enough or (max(low) == 0 and min(high) == n):
+                return found[np.argsort(-counts[found].astype(np.int32), kind="stable")[:enough]], radius
             radius *= self.widen
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, ids, scores) of the k best of each query's candidates."""
-        enough = k + 1 + self.enough
-        everything = np.arange(len(self.ids))
-        for q, places, _ in ((q, everything, 0.0) for q in range(len(queries))) if enough >= len(self.ids) else self.expand(queries, enough):
-            places = places[self.ids[places] != own[q]]
-            scores = self.vectors[places] @ queries[q]
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(ids, scores, how many were verified) of the k best of each query's candidates."""
+        enough = max(k + 1, self.enough)
+        for query, id_ in zip(queries, own.tolist(), strict=True):
+            places = np.arange(len(self.ids)) if enough >= len(self.ids) else self.candidates(query, enough)[0]
+            itself = places[(self.ids[places] == id_) & (self.vectors[places] == query).all(axis=1)]
+            places = places[places != itself[0]] if len(itself) else places
+            scores = (self.vectors[places] * query).sum(axis=1)
+            verified = len(places)
             if len(places) > 4 * k:
                 near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                 places, scores = places[near], scores[near]
             best = np.lexsort((self.ids[places], -scores))[:k]
-            yield q, self.ids[places[best]], scores[best]
+            yield self.ids[places[best]], scores[best], verified
 
 
 def usable(vector: Column) -> Column:
@@ -89,8 +85,8 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8_192, query_block: int = 2_048, **index) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k nearest found."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 16_384, query_block: int = 2_048, **index) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k nearest found, and verified: the candidates of its that were scored, of all."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("length", F.size("v"))
     n, queries = rows.agg(F.count(F.lit(1)), F.count_if("query")).first()
@@ -102,14 +98,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def pair(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if here.empty or there.empty:
-            return pd.DataFrame({"query_id": [], "twin": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "twin": [], "vec_id": [], "score": [], "verified": []})
         made = CollisionIndex(here["id"].to_numpy(), np.stack(here["v"].to_numpy()), **index)
         own = there["id"].to_numpy()
-        rows, ids, scores = zip(*made.search(np.stack(there["v"].to_numpy()), own, k), strict=True)
-        of = np.repeat(rows, list(map(len, ids)))
-        return pd.DataFrame({"query_id": own[of], "twin": there["twin"].to_numpy()[of], "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+        ids, scores, verified = zip(*made.search(np.stack(there["v"].to_numpy()), own, k), strict=True)
+        of = np.repeat(np.arange(len(own)), list(map(len, ids)))
+        return pd.DataFrame({"query_id": own[of], "twin": there["twin"].to_numpy()[of], "vec_id": np.concatenate(ids), "score": np.concatenate(scores), "verified": np.array(verified)[of]})
 
     key = ["block", "query_block", "length"]
-    found = data.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(pair, "query_id long, twin long, vec_id long, score double")
+    found = data.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(pair, "query_id long, twin long, vec_id long, score double, verified long")
     rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")
