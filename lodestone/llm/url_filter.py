@@ -11,7 +11,6 @@ Without labelled URLs every unmatched URL is allowed; with labels of one class o
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -60,46 +59,62 @@ def match_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumns({"rule": name, "rule_verdict": verdict})
 
 
+#: A part of an address and the statistic that the model takes of it: its smoothed share of blocks, or its share of rows.
+SUFFIXES = (("suffix1", "s1", "block"), ("suffix2", "s2", "block"), ("suffix1_share", "s1", "share"), ("segment_rate", "s3", "block"))
+
+
+def lexical(urls: DataFrame) -> DataFrame:
+    """Adds what the features are made of to rows with url, host and path: counts by Spark's own functions, and the keys s1, s2, s3.
+
+    s1 and s2 are the last label and the last two labels of the host, s3 is the path's first segment.
+    """
+    url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
+    segments = F.filter(F.split(path, "/"), lambda x: x != "")
+    query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+    labels = F.split(host, r"\.")
+    return urls.withColumns({
+        "length": F.char_length(url), "host_length": F.char_length(host), "path_length": F.char_length(path), "depth": F.size(segments),
+        "digit_ratio": F.coalesce(F.try_divide(F.regexp_count(url, F.lit(r"\p{Nd}")), F.char_length(url)), F.lit(0.0)),
+        "parameters": F.size(F.filter(F.split(query, "&"), lambda x: x != "")), "host_labels": F.when(host == "", 0).otherwise(F.size(labels)),
+        "longest_segment": F.coalesce(F.array_max(F.transform(segments, lambda x: F.char_length(x))), F.lit(0)), "hyphens": F.regexp_count(url, F.lit("-")),
+        "s1": F.concat(F.lit("1"), F.substring_index(host, ".", -1)), "s2": F.concat(F.lit("2"), F.substring_index(host, ".", -2)), "s3": F.concat(F.lit("3/"), F.regexp_extract(path, "^/([^/]*)", 1)),
+    })
+
+
+COUNTED = ("length", "host_length", "path_length", "depth", "digit_ratio", "parameters", "host_labels", "longest_segment", "hyphens")
+
+
+def entropy(urls: pd.Series) -> np.ndarray:
+    """Bits a byte of each text, from one table of (text, byte) counts."""
+    raw = [x.encode() for x in urls]
+    size = np.array(list(map(len, raw)), dtype=np.int64)
+    at = np.repeat(np.arange(len(raw)), size) * 256 + np.frombuffer(b"".join(raw), dtype=np.uint8)
+    cells, n = np.unique(at, return_counts=True)
+    share = n / size[cells >> 8]
+    return np.bincount(cells >> 8, -share * np.log2(share), len(raw))
+
+
 @dataclass
 class Suffixes:
-    """Statistics of host suffixes and first path segments in the training sample: share of rows, smoothed share of blocks."""
+    """Statistics of suffix keys in the training sample: share of rows, smoothed share of blocks."""
 
     base: float = 0.0
-    rows: int = 0
     block: dict[str, float] = field(default_factory=dict)
     share: dict[str, float] = field(default_factory=dict)
 
-    @staticmethod
-    def keys(host: str, path: str) -> tuple[str, str, str]:
-        labels = host.rsplit(".", 2)
-        return labels[-1], ".".join(labels[-2:]), "/" + path.split("/", 2)[1] if "/" in path else "/"
-
     @classmethod
-    def fit(cls, hosts: list[str], paths: list[str], y: np.ndarray, strength: float = 20.0) -> Suffixes:
-        seen, blocked = Counter(), Counter()
-        for h, p, b in zip(hosts, paths, y, strict=True):
-            for k in zip("123", cls.keys(h, p), strict=True):
-                seen["".join(k)] += 1
-                blocked["".join(k)] += b
+    def fit(cls, sample: pd.DataFrame, y: np.ndarray, strength: float = 20.0) -> Suffixes:
+        keys = pd.concat([sample["s1"], sample["s2"], sample["s3"]])
+        by = pd.Series(np.tile(y, 3), dtype=float).groupby(keys.to_numpy()).agg(["sum", "count"])
         base = float(np.mean(y)) if len(y) else 0.0
-        return cls(base, len(y), {k: (blocked[k] + strength * base) / (n + strength) for k, n in seen.items()}, {k: n / len(y) for k, n in seen.items()})
-
-
-def lexical(urls: list[str], hosts: list[str], paths: list[str], suffixes: Suffixes) -> np.ndarray:
-    """A row of FEATURES for each URL."""
-    out = np.zeros((len(urls), len(FEATURES)))
-    for i, (u, h, p) in enumerate(zip(urls, hosts, paths, strict=True)):
-        n = len(u)
-        segments = [x for x in p.split("/") if x]
-        query = u.partition("#")[0].partition("?")[2]
-        k1, k2, k3 = suffixes.keys(h, p)
-        out[i] = (
-            n, len(h), len(p), len(segments), sum(c.isdigit() for c in u) / n if n else 0.0,
-            -sum(c / n * math.log2(c / n) for c in Counter(u).values()) if n else 0.0,
-            sum(bool(x) for x in query.split("&")), h.count(".") + bool(h), max(map(len, segments), default=0), u.count("-"),
-            suffixes.block.get("1" + k1, suffixes.base), suffixes.block.get("2" + k2, suffixes.base), suffixes.share.get("1" + k1, 0.0), suffixes.block.get("3" + k3, suffixes.base),
-        )
-    return out
+        return cls(base, ((by["sum"] + strength * base) / (by["count"] + strength)).to_dict(), (by["count"] / max(len(y), 1)).to_dict())
+
+    def features(self, rows: pd.DataFrame) -> np.ndarray:
+        """A row of FEATURES for each row of lexical()."""
+        made = {"entropy": entropy(rows["url"].fillna(""))} | {c: rows[c].to_numpy(dtype=float) for c in COUNTED}
+        for name, key, of in SUFFIXES:
+            made[name] = rows[key].map(getattr(self, of)).fillna(self.base if of == "block" else 0.0).to_numpy(dtype=float)
+        return np.column_stack([made[c] for c in FEATURES]) if len(rows) else np.zeros((0, len(FEATURES)))
 
 
 class BoostedTrees:
@@ -163,21 +178,26 @@ def train(labelled: DataFrame, max_train: int = 20_000) -> tuple[BoostedTrees, S
     """labelled: url, host, path, label (allow or block). Of each label the max_train / 2 URLs with the smallest hashes, each URL once."""
     keyed = labelled.select("url", "host", "path", "label").distinct().withColumn("h", F.xxhash64("url", "label"))
     halves = [keyed.where(F.col("label") == x).orderBy("h", "url").limit(max_train // 2) for x in ("allow", "block")]
-    sample = halves[0].unionByName(halves[1]).collect()
-    y = np.array([r["label"] == "block" for r in sample], dtype=float)
-    urls, hosts, paths = ([r[k] or "" for r in sample] for k in ("url", "host", "path"))
-    suffixes = Suffixes.fit(hosts, paths, y)
-    return BoostedTrees().fit(lexical(urls, hosts, paths, suffixes), y), suffixes
+    sample = lexical(halves[0].unionByName(halves[1])).toPandas()  # max_train rows at most
+    y = (sample["label"] == "block").to_numpy(dtype=float)
+    suffixes = Suffixes.fit(sample, y)
+    return BoostedTrees().fit(suffixes.features(sample), y), suffixes
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", max_train: int = 20_000, cut_at: float = 0.5) -> DataFrame:
-    """Every row's id, host, path, rule (null where none fits), verdict and block_score (the trees' probability of a block)."""
+    """Every row's id, host, path, rule (null where none fits), verdict and block_score (the trees' probability of a block; null under a rule)."""
     urls = match_rules(pages.select(F.col(id_col), F.col(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
     model, suffixes = train(urls.where(F.col("rule").isNotNull()).withColumn("label", F.col("rule_verdict")), max_train)
+    keys = ["s1", "s2", "s3"]
 
     @F.pandas_udf("double")
-    def block_score(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(lexical(url.fillna("").tolist(), host.tolist(), path.tolist(), suffixes)))
-
-    scored = urls.withColumn("block_score", block_score("url", "host", "path"))
+    def block_score(url: pd.Series, counts: pd.DataFrame) -> pd.Series:
+        out, free = np.full(len(url), np.nan), counts["free"].to_numpy(dtype=bool)
+        if free.any():
+            rows = counts[free].assign(url=url[free])
+            out[free] = model.probability(suffixes.features(rows))
+        return pd.Series(out)
+
+    free = F.col("rule").isNull().alias("free")
+    scored = lexical(urls).withColumn("block_score", F.nanvl(block_score("url", F.struct(free, *COUNTED, *keys)), F.lit(None).cast("double")))
     return scored.select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("block_score") >= cut_at, "block").otherwise("allow")).alias("verdict"), "block_score")
