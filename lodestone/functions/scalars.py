@@ -134,3 +134,18 @@ def safe_link(url: Column) -> Column:
     host = F.try_parse_url(url, F.lit("HOST"))
     fine = url.rlike("^https?://") & host.isNotNull() & ~url.rlike("[\\x00-\\x20]") & F.try_parse_url(url, F.lit("USERINFO")).isNull()
     return F.when(fine, url)
+
+
+def detected_script(text: Column) -> Column:
+    """The writing system that prevails in a README's prose: over 30 percent of its letters, the largest of those; other for the rest beyond Latin; latin under ten letters."""
+    from lodestone.functions.readers import BARE_URL, prose
+
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(prose(without_comments(text)), "<[^>]*>", " "), r"\]\([^)]*\)", "]"), BARE_URL, " ")
+    classes = {"cjk": SCRIPTS["cjk"], "cyrillic": SCRIPTS["cyrillic"], "arabic": SCRIPTS["arabic"], "devanagari": "\\p{IsDevanagari}"}
+    counts = [(k, F.regexp_count(body, F.lit(f"[\\p{{L}}&&[{v}]]"))) for k, v in classes.items()]
+    letters, latin = F.regexp_count(body, F.lit("\\p{L}")), F.regexp_count(body, F.lit("[\\p{L}&&[\\p{IsLatin}]]"))
+    most = F.greatest(*[n for _, n in counts])
+    out = F.when(letters < 10, F.lit("latin"))
+    for name, n in counts:
+        out = out.when((n == most) & (n > 0.3 * letters), F.lit(name))
+    return F.when(text.isNotNull(), out.when(letters - latin > 0.3 * letters, F.lit("other")).otherwise("latin"))
