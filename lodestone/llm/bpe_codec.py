@@ -1,19 +1,20 @@
-"""BPE encoding and decoding by distinct-word tables.
+"""BPE encoding and decoding by a table of distinct words.
 
-Each task splits the texts of its partition into words, lists each distinct word once in a table (word, ids), and puts ids
-back by position: a text is an array of places in the table, and its ids are a gather from it. Decoding is a gather from
-the table of ids and pieces, then a join of the pieces' bytes. No word occurrence is ever shuffled: a table of the whole
-corpus would have to be joined back with every occurrence of every word, which at 100 TB is several times the input.
-`word_table` gives the corpus-wide table itself, for vocabulary work.
+Texts are split into words in chunks of a few MB. A chunk lists each of its distinct words once and keeps, for each occurrence,
+the word's place in that list; it is written to the shared folder. The chunks' lists give the corpus's distinct words, each of
+which is encoded once, by one task; the decoded bytes of a word come from a join of its ids with the table of ids and pieces,
+which the vocabulary bounds. The table is joined back with the chunks' lists (not with occurrences), the lists are put in order of
+place again, and each chunk gets its own list by one more join: its ids, and its decoded text, are gathers by position.
+
+Shuffled are the distinct words of each chunk, and each chunk's places once. `decode` works the same way for ids from elsewhere.
 
 Defined cases: a null text counts as empty and has no ids. Special strings inside a text become their special ids, as the
-library does by default, and decode to themselves. Very long texts are whole. Repeated rows give repeated rows; an empty
-table gives none; other columns are not read unless named.
+library does by default, and decode to themselves. Very long texts are whole, in a chunk of their own. Repeated rows give repeated
+rows; an empty table gives none; other columns are not read unless named.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import json
@@ -23,18 +24,21 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructType
 from tokenizers import Tokenizer
 
 from lodestone.llm.byte_words import COLUMNS, PLAIN, byte_level_words
-from lodestone.llm.common import held, whole_text
+from lodestone.llm.common import held, scratch, whole_text
 
 #: Distinct words that a task keeps from one batch to the next. Bounds memory, never results.
 KEPT_WORDS = 250_000
 #: Texts that are Python strings at a time.
 ROWS = 512
+#: Bytes and rows of text in a chunk; a longer text is a chunk of its own.
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 2_048
 
 
 def byte_pieces(path: str) -> list[bytes]:
@@ -79,10 +83,6 @@ class WordTable:
         self.starts = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
 
-    @functools.cached_property
-    def pieces(self) -> list[bytes]:
-        return byte_pieces(self.path)
-
     def ids_of(self, words: list[str], at_once: int = 500) -> list[list[int]]:
         """The library's own ids of each word: plain words go straight to its BPE model, the others through all of it."""
         plain, model = PLAIN[self.split], self.tokenizer.model
@@ -119,6 +119,16 @@ class WordTable:
             words = [self.split(t, self.specials) for t in texts[i : i + rows]]
             yield from self.gather(self.places(list(itertools.chain.from_iterable(words))), np.fromiter(map(len, words), np.int64, len(words)))
 
+    def count(self, texts: list[str]) -> list[int]:
+        """How many ids each text has."""
+        if len(self.place) > KEPT_WORDS:
+            self.forget()
+        words = [self.split(t, self.specials) for t in texts]
+        at = self.places(list(itertools.chain.from_iterable(words)))
+        upto = np.append(0, np.cumsum(self.starts[at + 1] - self.starts[at]))
+        ends = np.append(0, np.cumsum(list(map(len, words)))).astype(np.int64)
+        return np.diff(upto[ends]).tolist()
+
     def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """As encode(), for an Arrow column without nulls; where the split can do columns, only distinct words become strings."""
         words = COLUMNS[self.split](texts) if self.split in COLUMNS else None
@@ -131,44 +141,85 @@ class WordTable:
         at = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
         yield from self.gather(at, pc.list_value_length(words).to_numpy())
 
-    def decode(self, ids: np.ndarray) -> str:
-        """As the library's decode(ids, skip_special_tokens=False): bytes that aren't UTF-8 become replacement characters."""
-        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
-
 
 def word_tables(path: str, split: Callable[[str, dict[str, int]], list[str]] = byte_level_words) -> WordTable:
     """One for each Python worker, which serves several tasks."""
     return held(WordTable, path, split)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """id, the kept columns, n_tokens and ids (array of int) of each row."""
-    names = [id_col, *keep, "n_tokens", "ids"]
-    if len(set(names)) < len(names):
-        raise ValueError("kept columns must differ from the id, n_tokens and ids")
-    kept = docs.select(id_col, *keep)
-    source = docs.select(id_col, *keep, whole_text(text_col).alias("__text"))
+def _cuts(sizes: np.ndarray) -> list[int]:
+    """Where chunks begin among rows of these sizes, and the end."""
+    bounds, room, rows = [0], CHUNK_BYTES, 0
+    for k, size in enumerate(sizes.tolist()):
+        if rows and (size > room or rows >= CHUNK_ROWS):
+            bounds.append(k)
+            room, rows = CHUNK_BYTES, 0
+        room, rows = room - size, rows + 1
+    return [*bounds, len(sizes)] if len(sizes) else [0]
+
+
+def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], unit: DataType, folder: str) -> DataFrame:
+    """chunk, docs (the kept columns of its rows), lengths and places (of each row's units in the list), and units (each distinct one once).
+
+    rows: kept columns, then what is cut into units. Written to the shared folder, as two later steps read it.
+    """
+    kept = StructType(list(rows.schema.fields[:-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_tables(tokenizer_path)
-        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            ids = list(table.encode(batch.column(batch.num_columns - 1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names)
-        table.forget()  # an idle worker holds no words
+        at = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            last = batch.column(batch.num_columns - 1)
+            sizes = np.diff(np.frombuffer(last.buffers()[1], dtype=np.int32 if last.type in (pa.string(), pa.list_(pa.int32())) else np.int64, count=len(last) + 1 + last.offset)[last.offset :])
+            for low, to in itertools.pairwise(_cuts(sizes)):
+                part = batch.slice(low, to - low)
+                coded, lengths = units(part.column(part.num_columns - 1))
+                docs = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns[:-1]], part.schema.names[:-1])
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), one(docs), one(pa.array(lengths, pa.int32())), one(coded.indices.cast(pa.int32())), one(coded.dictionary)], ["chunk", "docs", "lengths", "places", "units"])
+                at += 1
+
+    schema = StructType().add("chunk", LongType()).add("docs", ArrayType(kept)).add("lengths", ArrayType(IntegerType())).add("places", ArrayType(IntegerType())).add("units", ArrayType(unit))
+    rows.mapInArrow(run, schema).write.parquet(folder)
+    return rows.sparkSession.read.schema(schema).parquet(folder)
+
+
+def _split(tokenizer_path: str) -> Callable[[pa.Array], tuple[pa.Array, np.ndarray]]:
+    def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        specials = word_tables(tokenizer_path).specials
+        place, at, lengths = Places(), [], []
+        for text in texts.to_pylist():
+            words = byte_level_words(text, specials)
+            lengths.append(len(words))
+            at.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+        return pa.DictionaryArray.from_arrays(pa.array(np.concatenate(at) if at else [], pa.int32()), pa.array(list(place), pa.string())), np.array(lengths)
 
-    return source.mapInArrow(run, StructType(list(kept.schema.fields)).add("n_tokens", "long").add("ids", ArrayType(IntegerType())))
+    return words_of
 
 
-def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id and text of each row of ids; null ids decode to the empty text."""
-    source = encoded.select(F.col(id_col), F.col(ids_col).alias("ids"))
+def _ids_in(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    lists = pc.fill_null(lists, pa.scalar([], lists.type))
+    return lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
+
+
+def pieces(spark, tokenizer_path: str) -> DataFrame:
+    """id and piece (its bytes): as many rows as the vocabulary has."""
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(p := byte_pieces(tokenizer_path))), pa.int32()), "piece": pa.array(p, pa.binary())}))
+
+
+def coded_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
+    """word, ids and bytes of each distinct word of words: each is encoded once, and its bytes are its ids joined with the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tables(tokenizer_path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([table.decode(np.array(x or [], dtype=np.int32)) for x in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
+        for batch in (b.slice(k, ROWS * 8) for b in batches for k in range(0, b.num_rows, ROWS * 8)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table.ids_of(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "ids"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, text string")
+    encoded = words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+    by_id = encoded.select("word", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces(words.sparkSession, tokenizer_path)), "id", "left")
+    listed = by_id.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("x"))
+    known = F.filter("x", lambda e: e["id"].isNotNull())
+    joined = F.aggregate(known, F.lit(b""), lambda a, e: F.concat(a, F.coalesce(e["piece"], F.lit(b""))))
+    return listed.select("word", F.transform(known, lambda e: e["id"]).alias("ids"), joined.alias("bytes"))
 
 
 def word_table(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
@@ -176,38 +227,114 @@ def word_table(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specials = word_tables(tokenizer_path).specials
-        for batch in batches:
-            counts = pa.array([w for t in batch.column(0).to_pylist() for w in byte_level_words(t, specials)], pa.string()).value_counts()
-            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            found = pa.array([w for t in batch.column(0).to_pylist() for w in byte_level_words(t, specials)], pa.string()).value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
     words = docs.select(whole_text(text_col).alias("text")).mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return _with_ids(words, tokenizer_path)
+    return words.join(coded_words(words, tokenizer_path).select("word", "ids"), "word")
 
 
-def _with_ids(words: DataFrame, tokenizer_path: str) -> DataFrame:
+def _with_lists(chunks: DataFrame, table: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """chunks with the table's values of each unit, in order of place."""
+    listed = chunks.select("chunk", F.posexplode("units").alias("place", key)).join(table, key)
+    ordered = listed.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", *values))).alias("x"))
+    ordered = ordered.select("chunk", *[F.col("x").getField(v).alias(v) for v in values])
+    return chunks.select("chunk", "docs", "lengths", "places").join(ordered, "chunk", "left").drop("chunk")
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Of each row the units' values one behind the other; unit k has flat[starts[k]:starts[k + 1]]. A few rows at a time."""
+    ends, first, n = np.append(0, np.cumsum(lengths)), starts[:-1], np.diff(starts)
+    for k in range(0, len(lengths), 256):
+        stop = min(len(lengths), k + 256)
+        at = places[ends[k] : ends[stop]]
+        upto = np.append(0, np.cumsum(n[at]))
+        out = flat[np.repeat(first[at] - upto[:-1], n[at]) + np.arange(upto[-1])]
+        bounds = upto[ends[k : stop + 1] - ends[k]].tolist()
+        yield from (out[x:y] for x, y in itertools.pairwise(bounds))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and starts of an array of lists of numbers, or of bytes."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
+        starts = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
+        data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+        return data[starts[0] : starts[-1]], starts - starts[0]
+    return column.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(column).to_numpy()))
+
+
+def _by_row(with_lists: DataFrame, values: list[str], make: Callable, kept: StructType, added: StructType) -> DataFrame:
+    """A row for each row of the chunks: kept columns, and what make gives of the gathered values of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_tables(tokenizer_path)
         for batch in batches:
-            ids = table.ids_of(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            for k in range(batch.num_rows):
+                docs, lengths, places, *lists = (c.slice(k, 1).flatten() for c in batch.columns)
+                if not len(docs):
+                    continue
+                places, lengths = places.to_numpy(), lengths.to_numpy()
+                gathered = [_gathered(*(_lists(x) if len(x) else (np.zeros(0, np.int32), np.zeros(1, np.int64))), places, lengths) for x in lists]
+                for low in range(0, len(docs), ROWS):
+                    part = docs.slice(low, ROWS)
+                    made = make([list(itertools.islice(g, len(part))) for g in gathered])
+                    yield pa.RecordBatch.from_arrays([*part.flatten(), *made], [*kept.names, *added.names])
+
+    return with_lists.select("docs", "lengths", "places", *values).mapInArrow(run, StructType([*kept.fields, *added.fields]))
+
+
+def _kept(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return docs.select([F.col(f"`{c}`") for c in columns])
+
+
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """id, the kept columns, n_tokens and ids (array of int) of each row."""
+    names = [id_col, *keep, "n_tokens", "ids"]
+    if len(set(names)) < len(names):
+        raise ValueError("kept columns must differ from the id, n_tokens and ids")
+    kept = _kept(docs, [id_col, *keep]).schema
+    chunks = _chunks(docs.select(*[F.col(f"`{c}`") for c in kept.names], whole_text(text_col).alias("__text")), _split(tokenizer_path), StringType(), scratch(docs.sparkSession, "words"))
+    table = coded_words(chunks.select(F.explode("units").alias("word")), tokenizer_path)
+    added = StructType().add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
+    return _by_row(_with_lists(chunks, table, "word", ["ids"]), ["ids"], lambda g: [pa.array(map(len, g[0]), pa.int64()), pa.array(g[0], pa.list_(pa.int32()))], kept, added)
+
 
-    return words.mapInArrow(run, "word string, n long, ids array<int>")
+def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id and text of each row of ids, by a join with the table of ids and pieces; null ids decode to the empty text, unknown ones to nothing."""
+    kept = _kept(encoded, [id_col]).schema
+    chunks = _chunks(encoded.select(F.col(f"`{id_col}`"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("__ids")), _ids_in, IntegerType(), scratch(encoded.sparkSession, "ids"))
+    known = F.broadcast(pieces(encoded.sparkSession, tokenizer_path))
+    every = chunks.select(F.explode("units").alias("id")).distinct().join(known, "id", "left").select("id", F.coalesce("piece", F.lit(b"")).alias("piece"))
+    added = StructType().add("text", "string")
+    return _by_row(_with_lists(chunks, every, "id", ["piece"]), ["piece"], lambda g: [pa.array([x.tobytes().decode("utf-8", "replace") for x in g[0]], pa.string())], kept, added)
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the text decoded from them; ids stay in their task."""
-    source = docs.select(F.col(id_col), whole_text(text_col).alias("text"))
+    """id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the text decoded from them."""
+    kept = _kept(docs, [id_col]).schema
+    chunks = _chunks(docs.select(F.col(f"`{id_col}`"), whole_text(text_col).alias("__text")), _split(tokenizer_path), StringType(), scratch(docs.sparkSession, "words"))
+    table = coded_words(chunks.select(F.explode("units").alias("word")), tokenizer_path)
+
+    def make(gathered: list[list[np.ndarray]]) -> list[pa.Array]:
+        ids, texts = gathered
+        of_ids = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+        of_text = [hashlib.sha256(x.tobytes().decode("utf-8", "replace").encode()).hexdigest() for x in texts]
+        return [pa.array(map(len, ids), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+
+    added = StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    return _by_row(_with_lists(chunks, table, "word", ["ids", "bytes"]), ["ids", "bytes"], make, kept, added)
+
+
+def counts(docs: DataFrame, tokenizer_path: str, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """The kept columns and n_tokens of each row, by each task's own table of words: no shuffle, as counts need no ids to be kept."""
+    kept = _kept(docs, keep).schema
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], whole_text(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tables(tokenizer_path)
-        digits = [str(i) for i in range(len(table.pieces))]
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            n, of_ids, of_text = [], [], []
-            for ids in table.encode(batch.column(1).to_pylist()):
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(digits.__getitem__, ids.tolist())).encode()).hexdigest())
-                of_text.append(hashlib.sha256(table.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-        table.forget()
-
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(table.count(batch.column(batch.num_columns - 1).to_pylist()), pa.int64())], [*keep, "n_tokens"])
+        table.forget()  # an idle worker holds no words
+
+    return source.mapInArrow(run, StructType(list(kept.fields)).add("n_tokens", "long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +15,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary folder."""
+    """The session's spark.checkpoint.dir; only where that is unset and Spark is one machine's (tests) a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir()
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for rows on their way, in the shared folder."""
+    _SCRATCH.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession, keep: str = "") -> None:
+    """Removes the folders that scratch() gave out. For the end of a run, when nothing that reads them is left to compute."""
+    sc = spark.sparkContext
+    for folder in [f for f in _SCRATCH if f != keep]:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.remove(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that lost executors don't force earlier stages to run again."""
     shared_folder(df.sparkSession)

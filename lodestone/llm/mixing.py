@@ -11,7 +11,10 @@ A document's position is its place in its source's stream over the source's budg
 No source is ever gathered: its permutation is cut into cells of about `cell_docs` documents; cells are summed, the sums
 set end to end, and only within its cell is a document's own place counted.
 
-Defined cases: a null source is a source of its own. A null text counts as empty; a text without words has no tokens, is
+Shares and budgets are of tokens as the tokenizer gives them: words are counted by bpe_codec's tables, each distinct one encoded
+once a task, and ids aren't kept.
+
+Defined cases: a null source is a source of its own. A null text counts as empty; a text without tokens is
 never beyond a budget and appears once an epoch. Repeated rows of one id and text share a key and are placed in any order.
 Very long texts are never cut: the last document of a budget may overrun it. An empty table gives an empty mixture. Other
 columns don't matter to realise() and are kept by repeat_rows().
@@ -24,25 +27,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.bpe_codec import counts
+from lodestone.llm.common import cut, whole_text
 
 SPAN = 1 << 60
 #: At most this many sources are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
 
-def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
-
-
 def key(epoch: Column, seed: int, id_col: str) -> Column:
     """A document's place in the permutation of an epoch, from 0 to SPAN."""
     return F.pmod(F.xxhash64(F.lit(seed), epoch, F.col(id_col)), F.lit(SPAN))
 
 
-def light(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def light(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """id, source, n_tokens: all that mixing needs to know."""
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("n_tokens"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    return counts(source, tokenizer_path, "text", ["id", "source"])
 
 
 def exponent(sources: DataFrame, evenness: float, max_repeats: float, rounds: int = 4) -> float:
@@ -96,19 +97,19 @@ def realise(rows: DataFrame, planned: DataFrame, seed: int = 0, block_tokens: in
     return placed.withColumn("position", position).withColumn("block", F.floor(F.col("position") * F.lit(total / block_tokens)).cast("long")).select("id", "source", "n_tokens", "weight", "epoch", "key", "start", "position", "block")
 
 
-def repeat_rows(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **targets) -> DataFrame:
-    """docs with each row as often as the mixture holds it. Texts aren't shuffled: of the last, partial epoch, a row needs only the key where it ends."""
-    rows = cut(light(docs, id_col, source_col, text_col))
+def repeat_rows(docs: DataFrame, tokenizer_path: str, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **targets) -> DataFrame:
+    """docs with each row as often as the mixture holds it, at least once. Texts aren't shuffled: of the last, partial epoch, a row needs only the key where it ends."""
+    rows = cut(light(docs, tokenizer_path, id_col, source_col, text_col))
     planned = cut(plan(rows, **targets))
     mixed = realise(rows, planned, seed)
-    last = _with_plan(mixed.select("source", "epoch", "key"), planned.select("source", "repeats")).where(F.col("epoch") == F.ceil(F.col("repeats") - 1e-9) - 1)
+    last = _with_plan(mixed.where("position < 1").select("source", "epoch", "key"), planned.select("source", "repeats")).where(F.col("epoch") == F.ceil(F.col("repeats") - 1e-9) - 1)
     ends = last.groupBy("source").agg(F.max("key").alias("end"))
     cutoffs = cut(planned.select("source", "repeats").join(ends.withColumnRenamed("source", "end_source"), F.col("source").eqNullSafe(F.col("end_source")), "left").select("source", F.greatest(F.lit(0), F.ceil(F.col("repeats") - 1e-9).cast("int") - 1).alias("whole_epochs"), F.coalesce("end", F.lit(-1)).alias("end")))
     own = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # free of clashes with the plan's columns
     inner = docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()]).withColumns({"source": F.col(own[source_col]), "id": F.col(own[id_col])})
     in_last = key(F.col("whole_epochs"), seed, "id") <= F.col("end")
     copies = F.col("whole_epochs") + F.when(in_last, 1).otherwise(0)
-    copies = F.when((words(F.col(own[text_col])) == 0) & (copies == 0), 1).otherwise(copies)
+    copies = F.when((F.octet_length(whole_text(own[text_col])) == 0) & (copies == 0), 1).otherwise(copies)  # as realise() keeps rows without tokens
     return _repeat(_with_plan(inner, cutoffs), copies).select([F.col(n).alias(c) for c, n in own.items()])
 
 

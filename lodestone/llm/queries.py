@@ -53,10 +53,12 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from lodestone.llm import mixing
     from lodestone.llm.common import cut
 
-    rows = cut(mixing.light(table(spark, sf_dir, "documents")))
+    rows = cut(mixing.light(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
     found = mixing.realise(rows, cut(mixing.plan(rows)))
     return found.selectExpr("id AS doc_id", "source", "n_tokens", "weight", "epoch", "start", "position", "block")
 

@@ -196,7 +196,7 @@ def test_language_held_out(spark, odd, none):
 
 def test_mixture(spark, odd, none):
     docs = spark.createDataFrame([(i, "word " * (5 + i % 7), "big" if i % 10 else ("small" if i % 20 else None)) for i in range(2_000)], "doc_id long, text string, source string")
-    rows = mixing.light(docs).cache()
+    rows = mixing.light(docs, BYTE).cache()
     planned = {r["source"]: r for r in mixing.plan(rows, evenness=0.9, max_repeats=3.0).collect()}
     assert abs(sum(r["weight"] for r in planned.values()) - 1) < 1e-9 and max(r["repeats"] for r in planned.values()) <= 3 + 1e-6
     assert min(r["repeats"] for r in planned.values()) >= 1 - 1e-9
@@ -207,11 +207,11 @@ def test_mixture(spark, odd, none):
         assert (part.start.to_numpy() == np.append(0, part.n_tokens.cumsum().to_numpy()[:-1])).all()  # gapless
         want = planned[None if pd.isna(source) else source]
         assert want["budget"] - 1e-6 <= part.n_tokens.sum() < want["budget"] + part.n_tokens.max()
-    repeated = mixing.repeat_rows(docs, evenness=0.9, max_repeats=3.0)
+    repeated = mixing.repeat_rows(docs, BYTE, evenness=0.9, max_repeats=3.0)
     assert repeated.columns == docs.columns
     assert Counter(r["doc_id"] for r in repeated.select("doc_id").collect()) == Counter(mixed.id)
-    assert Counter(r["doc_id"] for r in mixing.repeat_rows(odd).collect()).keys() == Counter(r[0] for r in ODD).keys()
-    assert mixing.repeat_rows(none).count() == 0 and mixing.repeat_rows(odd).columns == odd.columns
+    assert Counter(r["doc_id"] for r in mixing.repeat_rows(odd, BYTE).collect()).keys() == Counter(r[0] for r in ODD).keys()
+    assert mixing.repeat_rows(none, BYTE).count() == 0 and mixing.repeat_rows(odd, BYTE).columns == odd.columns
 
 
 def test_merkle(odd, none):
