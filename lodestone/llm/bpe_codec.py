@@ -147,13 +147,13 @@ def word_tables(path: str, split: Callable[[str, dict[str, int]], list[str]] = b
     return held(WordTable, path, split)
 
 
-def _cuts(sizes: np.ndarray) -> list[int]:
+def _cuts(sizes: np.ndarray, most: int) -> list[int]:
     """Where chunks begin among rows of these sizes, and the end."""
-    bounds, room, rows = [0], CHUNK_BYTES, 0
+    bounds, room, rows = [0], most, 0
     for k, size in enumerate(sizes.tolist()):
         if rows and (size > room or rows >= CHUNK_ROWS):
             bounds.append(k)
-            room, rows = CHUNK_BYTES, 0
+            room, rows = most, 0
         room, rows = room - size, rows + 1
     return [*bounds, len(sizes)] if len(sizes) else [0]
 
@@ -163,14 +163,14 @@ def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndar
 
     rows: kept columns, then what is cut into units. Written to the shared folder, as two later steps read it.
     """
-    kept = StructType(list(rows.schema.fields[:-1]))
+    kept, most = StructType(list(rows.schema.fields[:-1])), CHUNK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
             last = batch.column(batch.num_columns - 1)
             sizes = np.diff(np.frombuffer(last.buffers()[1], dtype=np.int32 if last.type in (pa.string(), pa.list_(pa.int32())) else np.int64, count=len(last) + 1 + last.offset)[last.offset :])
-            for low, to in itertools.pairwise(_cuts(sizes)):
+            for low, to in itertools.pairwise(_cuts(sizes, most)):
                 part = batch.slice(low, to - low)
                 coded, lengths = units(part.column(part.num_columns - 1))
                 docs = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns[:-1]], part.schema.names[:-1])

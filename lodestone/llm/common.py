@@ -33,13 +33,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1]
 
 
-def clear_scratch(spark: SparkSession, keep: str = "") -> None:
-    """Removes the folders that scratch() gave out. For the end of a run, when nothing that reads them is left to compute."""
+def scratches() -> int:
+    """How many folders scratch() has given out that weren't removed."""
+    return len(_SCRATCH)
+
+
+def clear_scratch(spark: SparkSession, since: int, keep: str) -> None:
+    """Removes all but one of the folders that scratch() gave out since then. For the end of a run, when nothing that reads them is left to compute."""
     sc = spark.sparkContext
-    for folder in [f for f in _SCRATCH if f != keep]:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        _SCRATCH.remove(folder)
+    for folder in _SCRATCH[since:]:
+        if folder != keep:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            _SCRATCH.remove(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

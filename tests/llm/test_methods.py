@@ -154,3 +154,39 @@ def test_ranges_split_idless_rows(spark):
     dealt = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string"), range_bytes=20_000)
     sizes = dealt.where("NOT halo").groupBy("range").count().toPandas()
     assert sizes["count"].sum() == 450 and sizes["count"].max() < 120
+
+
+def test_codec_in_small_chunks(spark, monkeypatch):
+    """Borders of chunks, rows longer than a chunk, and rows without words among them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import bpe_codec
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["", None, "one two one", "x" * 500, "  ", "naïve 漢字 <|endoftext|> one", "two\n\n", *[f"row {i % 7} of one" for i in range(300)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(bpe_codec, "CHUNK_BYTES", 60)
+    chunks = bpe_codec._chunks(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), bpe_codec._split(path), bpe_codec.StringType(), bpe_codec.scratch(spark, "t"))
+    assert chunks.count() > 50 and chunks.select("chunk").distinct().count() == chunks.count()
+    assert all(len(set(r["units"])) == len(r["units"]) for r in chunks.collect())
+    encoded = bpe_codec.encode(docs, path)
+    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids"] for r in encoded.collect()} == want
+    assert {r["doc_id"]: r["text"] for r in bpe_codec.decode(encoded, path).collect()} == {i: library.decode(x, skip_special_tokens=False) for i, x in want.items()}
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Ids that repeat across groups, names that need quotes, and columns that can't be ordered."""
+    import corpus_pipeline
+
+    x, y = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(3, y, {"a": 1}, "p"), (5, x, {"a": 2}, "q"), (5, y, {"a": 3}, "r"), (None, x + " more", {"a": 4}, "s"), (None, "alone", {"a": 5}, "t"), (None, "alone", {"a": 6}, "u")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `a.b` string")
+    found = corpus_pipeline.one_of_near_copies(spark, odd, "")
+    assert found.columns == odd.columns
+    kept = sorted((r["doc_id"] or 0, r["text"], r["m"]["a"]) for r in found.collect())
+    assert [(i, t) for i, t, _ in kept] == sorted([(3, y), (5, x), (0, "alone")])
+    plain = spark.createDataFrame(rows[:2], odd.schema)
+    assert corpus_pipeline.one_of_near_copies(spark, plain, "").select("`a.b`").count() == 2
