@@ -7,26 +7,33 @@ lost executor costs at most the stage at hand.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_codec, language_id, mixing, ngram_join
-from lodestone.llm.common import shared_folder
+from lodestone.llm.common import clear_scratch, scratch, scratches
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quoted(docs: DataFrame) -> list:
+    """The columns of docs, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows whose text is in one of the languages that the labelled rows teach.
 
     Cosine and margin must reach cut-offs by length class: half of what 99 of 100 training rows (labelled, rightly predicted)
-    reach. Rows without a letter go. Judged rows are written once, as the cut-offs need all scores before the first row is kept.
+    reach. Rows without a letter, with a null or an empty text among them, go. Repeated rows are judged alike. A null lang or
+    doc_id bars a row from teaching, not from being kept. With no labelled row nothing is learnt and all rows go; an empty table
+    gives none. Judged rows are written once, as the cut-offs need all scores before the first row is kept.
     """
     languages, prototypes = language_id.learn(docs.where(~language_id.held_out()))
     own = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # free of clashes with the prediction's columns
     inner = docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    folder = f"{shared_folder(spark)}/language-{uuid.uuid4().hex}"
+    folder = scratch(spark, "language")
     language_id.predict(inner, languages, prototypes, list(own.values()), text_col=own["text"]).withColumn("letters", language_id.length_class(F.col(own["text"]))).write.parquet(folder)
     judged = spark.read.parquet(folder)
     taught = ~language_id.held_out(own["doc_id"]) & (F.col(own["lang"]).cast("string") == F.col("lang_pred"))
@@ -35,32 +42,38 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near copies, the document with the least id; rows without an id are kept."""
-    groups = ngram_join.join(docs)
-    heads = groups.where("doc_id = class_id AND set_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    if groups.where("doc_id IS NULL").isEmpty() and heads.where("rows > 1").isEmpty():
-        return docs.join(heads.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    return _with_repeated_ids(docs, groups)
+    """Keeps, of each group of near copies, the document with the least id.
 
-
-def _with_repeated_ids(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """As above, for tables that repeat an id or lack some: of an id that heads a group one row of each text is kept, and all rows without an id."""
-    heads = groups.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").select(docs.columns)
-    order = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    first = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*order)).alias("__rest")) if order else kept.select("doc_id", "text").distinct()
-    one = first.select([F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c).alias(c) for c in docs.columns])
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    Null and empty texts are copies of each other. Where the table repeats an id or has rows without one, rows are numbered first
+    and grouped by their numbers, so that each row is judged by its own text: of a group the least id stays (any id before none),
+    and of rows alike in that, one. An empty table gives none.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    if ids.where("id IS NULL").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
+        heads = ngram_join.join(docs).where("doc_id = class_id").select("doc_id")
+        return docs.join(heads, "doc_id", "left_semi").select(quoted(docs))
+    own = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    folder = scratch(spark, "numbered")
+    docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()]).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    groups = ngram_join.join(rows, id_col="row", text_col=own["text"]).select("row", "class_id")
+    order = F.struct(F.col(own["doc_id"]).isNull().alias("idless"), F.col(own["doc_id"]).alias("id"), F.col("row"))
+    heads = rows.select("row", own["doc_id"]).join(groups, "row").groupBy("class_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(heads, "row", "left_semi").select([F.col(n).alias(c) for c, n in own.items()])
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats rows so that sources stand at their target weights; every row stays at least once."""
-    return mixing.repeat_rows(docs)
+    """Repeats rows so that sources stand at their target weights, by tokens; every row stays at least once.
+
+    A null source is a source of its own; a null or empty text has no tokens and stays once. Rows that share id and source are
+    repeated alike. An empty table gives none.
+    """
+    return mixing.repeat_rows(docs, public_tokenizers.path(TOKENIZER))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of every row of the mixture."""
-    return bpe_codec.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["source"])
+    """doc_id, source, n_tokens and ids of every row of the mixture, repeated rows as often as they stand there; none for a null or empty text."""
+    return bpe_codec.encode(docs, public_tokenizers.path(TOKENIZER), keep=["source"])
 
 
 STAGES = [("language", known_language), ("near copies", one_of_near_copies), ("mixing", mixed_sources), ("token ids", token_ids)]
@@ -70,8 +83,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    """The last stage's rows, read from the shared folder; what came before is removed."""
+    docs, since, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratches(), ""
+    for name, stage in STAGES:
+        folder = scratch(spark, "pipeline-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    clear_scratch(spark, since, keep=folder)
     return docs
