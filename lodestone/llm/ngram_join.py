@@ -1,9 +1,11 @@
 """N-gram Jaccard join: which documents share at least `threshold` of their word shingles.
 
-Candidates come from a MinHash LSH forest: `trees` sorted prefix tries over `depth` MinHash values each. A pair meets in a tree
-if its signatures share a prefix there; prefixes start at full depth and are shortened, one value at a time, until a pair at
-the threshold meets in some tree with probability `recall` (see matched_depth). Pairs that meet are compared by their whole
-signatures; what passes is joined to clusters, and within a cluster every pair is verified by the exact Jaccard similarity of
+Candidates come from a MinHash LSH forest: `trees` prefix tries over `depth` MinHash values each. A trie's nodes of one depth are
+the groups of sets with equal prefixes, which Spark sorts together; a pair meets where it shares a node that is compared. Prefixes
+are shortened by what the nodes hold: where a short prefix still has few sets, its node is compared as it is; where it has many,
+the prefix stays as long as the set's recall allows, and is shortened in the trees where that brings the fewest sets more, until a
+pair at the threshold meets in some tree with probability `recall` (see `compared_nodes`). Pairs that meet are compared by their
+whole signatures; what passes is joined to clusters, and within a cluster every pair is verified by the exact Jaccard similarity of
 its shingle sets. All work is on distinct shingle sets; copies are counted, not paired.
 
 Nothing grows with the square of a group except the comparisons that the answer asks for: a trie node gives a spanning forest
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
@@ -31,6 +33,8 @@ from lodestone.llm.components import components
 from lodestone.llm.shingles import mix, set_digest, shingle_batches
 
 TREES, DEPTH = 32, 8
+#: Sets in a node that is compared at its shortest prefix, whatever the recall.
+LIGHT = 64
 #: Rows of a trie node, and sets and shingles of a cluster, in one block.
 NODE_BLOCK, SET_BLOCK, SHINGLE_BLOCK = 4_000, 1_500, 1_000_000
 #: Small nodes and clusters share tasks' groups of about so many rows.
@@ -45,7 +49,7 @@ def collision(similarity: float, depth: int, trees: int = TREES) -> float:
 
 
 def matched_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the prefix from full depth until pairs at the threshold meet with the target probability."""
+    """The longest prefix at which pairs at the threshold meet with the target probability, if all trees are alike."""
     while depth > 1 and collision(threshold, depth, trees) < recall:
         depth -= 1
     return depth
@@ -122,12 +126,46 @@ def spanning(n: int, near, sides: np.ndarray | None) -> list[tuple[int, int]]:
     return edges
 
 
-def candidate_edges(classes: DataFrame, threshold: float, hashes: int) -> DataFrame:
-    """a, b: pairs of set ids that share a trie node and have like sketches; of each node a spanning forest of them."""
-    at_node = classes.select("rep", F.explode("nodes").alias("node"))
-    shared = cut(at_node.groupBy("node").agg(F.count(F.lit(1)).alias("in_node")).where("in_node > 1"))
-    total = shared.agg(F.sum("in_node")).first()[0] or 0
-    rows = at_node.join(shared, "node").join(classes.select("rep", "size", "sketch"), "rep")
+def compared_nodes(classes: DataFrame, threshold: float, recall: float, shortest: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """rep, node, in_node: the trie nodes in which each set is compared.
+
+    A set starts with the shortest prefix in trees where that node is light, else with the next one, if that is light, else with the
+    longest. What such prefixes miss of pairs at the threshold is the product over the trees of 1 - threshold ** length; where it is
+    too much, the set's prefixes are shortened by one value, those first whose next node has the fewest sets. A node that one of its
+    sets needs is compared whole, and takes the place of the longer prefixes below it.
+    """
+    lengths = [min(shortest + k, depth) for k in range(3)]
+    miss = [float(np.log(max(1e-12, 1 - threshold**d))) for d in lengths]
+    step = lambda k: F.substring("sketch", F.col("tree") * depth + F.lit(lengths[k]), F.lit(1)) if lengths[k] > lengths[k - 1] else F.lit(b"")
+    count = lambda rows, node, name: rows.groupBy(node).agg(F.count(F.lit(1)).alias(name))
+    own = classes.select("rep", F.posexplode("nodes").alias("tree", "n0"), "sketch").select("rep", "n0", step(1).alias("b1"), step(2).alias("b2"))
+    shared = cut(count(own, "n0", "c0").where("c0 > 1"))
+    rows = cut(own.join(shared, "n0").withColumn("n1", F.xxhash64("n0", "b1")).withColumn("n2", F.xxhash64("n1", "b2")).drop("b1", "b2"))
+    light, heavy = rows.where(F.col("c0") <= LIGHT), rows.where(F.col("c0") > LIGHT)
+    if heavy.isEmpty():
+        return light.select("rep", F.col("n0").alias("node"), F.col("c0").alias("in_node"))
+    counted = heavy.join(count(heavy, "n1", "c1"), "n1").join(count(heavy, "n2", "c2"), "n2").withColumn("at", F.when(F.col("c1") <= LIGHT, 1).otherwise(2))
+    need = counted.groupBy("rep").agg(F.count_if(F.col("at") == 1).alias("h1"), F.count_if(F.col("at") == 2).alias("h2"))
+    short = (trees - F.col("h1") - F.col("h2")) * miss[0] + F.col("h1") * miss[1] + F.col("h2") * miss[2] - float(np.log(1 - recall))
+    steps = lambda lack, k: F.ceil(F.greatest(lack, F.lit(0.0)) / (miss[k + 1] - miss[k]) - 1e-9) if miss[k + 1] > miss[k] else F.lit(0)
+    need = need.withColumn("lack", short).withColumn("k1", F.least(F.col("h2"), steps(F.col("lack"), 1))).withColumn("k0", steps(F.col("lack") - F.col("k1") * (miss[2] - miss[1]), 0)).select("rep", "k0", "k1")
+    by_rep = lambda at, order: F.row_number().over(Window.partitionBy("rep", "at").orderBy(order, "n0"))
+    placed = counted.join(need, "rep").withColumn("r", by_rep("at", "c1")).withColumn("at", F.when((F.col("at") == 2) & (F.col("r") <= F.col("k1")), 1).otherwise(F.col("at")))
+    placed = placed.withColumn("r", by_rep("at", "c0")).withColumn("at", F.when((F.col("at") == 1) & (F.col("r") <= F.col("k0")), 0).otherwise(F.col("at")))
+    placed = cut(placed.select("rep", "n0", "n1", "n2", "c0", "c1", "c2", "at"))
+    for k in (0, 1):
+        chosen = placed.where(F.col("at") == k).select(f"n{k}").distinct().withColumn(f"in{k}", F.lit(True))
+        placed = placed.join(chosen, f"n{k}", "left")
+    level = lambda name: F.when(F.col("in0"), F.col(f"{name}0")).when(F.col("in1"), F.col(f"{name}1")).otherwise(F.col(f"{name}2"))
+    dense = placed.select("rep", level("n").alias("node"), level("c").alias("in_node")).where("in_node > 1")
+    return light.select("rep", F.col("n0").alias("node"), F.col("c0").alias("in_node")).unionByName(dense)
+
+
+def candidate_edges(classes: DataFrame, threshold: float, hashes: int, recall: float, shortest: int) -> DataFrame:
+    """a, b: pairs of set ids that share a compared node and have like sketches; of each node a spanning forest of them."""
+    members = cut(compared_nodes(classes, threshold, recall, shortest))
+    total = members.count()
+    rows = members.join(classes.select("rep", "size", "sketch"), "rep")
     dealt = in_blocks(rows, "node", F.ceil(F.col("in_node") / NODE_BLOCK), "rep", max(1, total // CELL_ROWS))
     least = int(np.ceil(sketch_cut(threshold, hashes) * hashes))
 
@@ -239,14 +277,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     n_links counts the other documents whose shingle sets have at least this similarity, copies among them.
     """
-    sketched = cut(sketches(docs, id_col, text_col, width, matched_depth(threshold, recall)))
+    shortest = max(1, matched_depth(threshold, recall) - 1)
+    sketched = cut(sketches(docs, id_col, text_col, width, shortest))
     known = sketched.where("id IS NOT NULL")
     classes = cut(known.groupBy("digest").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")).withColumn("rep", F.col("text_id")))
     # Two sets may have the same least id, where a table repeats an id with different texts; only then sets go by a hash instead.
     id_repeats = not classes.groupBy("rep").count().where("count > 1").isEmpty()
     if id_repeats:
         classes = classes.withColumn("rep", F.xxhash64("digest"))
-    edges = cut(candidate_edges(classes, threshold, TREES * DEPTH))
+    edges = cut(candidate_edges(classes, threshold, TREES * DEPTH, recall, shortest))
     clusters = classes.select("rep", "text_id", "digest", "size", "copies").join(components(edges).withColumnRenamed("node", "rep"), "rep")
     found = cut(verified(docs, cut(clusters), id_col, text_col, width, threshold))
     links = found.where("NOT forest").groupBy("rep").agg(F.sum("links").alias("links"), F.min("other").alias("least"))

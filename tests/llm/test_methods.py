@@ -190,3 +190,25 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert [(i, t) for i, t, _ in kept] == sorted([(3, y), (5, x), (0, "alone")])
     plain = spark.createDataFrame(rows[:2], odd.schema)
     assert corpus_pipeline.one_of_near_copies(spark, plain, "").select("`a.b`").count() == 2
+
+
+def test_forest_shortens_by_what_nodes_hold(spark):
+    """A large family of near copies beside many pairs: every set keeps the target recall, crowded nodes get longer prefixes, and all links are found."""
+    from lodestone.llm import ngram_join
+    from tests.llm.test_text_operators import brute_groups, found_groups
+
+    draw = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(120)]
+    family = [" ".join(w if draw.random() > 0.003 else f"z{draw.integers(10**6)}" for w in base) for _ in range(300)]
+    pairs = [" ".join(f"p{k}x{i}" for i in range(80)) + more for k in range(40) for more in ("", " and one more")]
+    texts = [*family, *pairs, *family[:30], "", None, "short"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = ngram_join.sketches(table, "doc_id", "text", 5, 6).dropDuplicates(["digest"]).withColumn("rep", F.col("id"))
+    classes = classes.cache()
+    nodes = ngram_join.compared_nodes(classes, 0.8, 0.999, 6).toPandas()
+    sizes = nodes.groupby("node")["rep"].nunique()
+    assert (nodes.groupby("node")["in_node"].max() == sizes).all()
+    crowded = classes.select(F.explode("nodes").alias("node")).groupBy("node").count().agg(F.max("count")).first()[0]
+    assert crowded > max(ngram_join.LIGHT, sizes.max())  # the shortest prefixes' nodes were too full and split
+    assert found_groups(ngram_join.join(table)) == brute_groups(rows)
