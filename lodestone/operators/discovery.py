@@ -31,19 +31,27 @@ def numbered(rows: DataFrame, order: list[Column], name: str, limit: int) -> Dat
     return rows.orderBy(*order).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
 
 
-def explored_queue(rows: DataFrame, head: list[Column], explore: Column, draw: Column, m: int, share: float) -> DataFrame:
-    """m rows best first, with a seeded draw from the explorable ones at every (m / slots)-th place.
+#: At most this many drawn rows are broadcast; more are joined by shuffle.
+BROADCAST_DRAWN = 10_000
 
-    Slots: round(share * m), m / 20 at least. Drawn rows don't stand in the head as well.
+
+def explored_queue(rows: DataFrame, key: str, head: list[Column], explore: Column, draw: Column, m: int, share: float) -> DataFrame:
+    """Up to m rows best first, with a seeded draw from the explorable ones at every (m / drawn)-th place; place and explored are added.
+
+    Slots: round(share * m), m / 20 at least, of the rows there are. What the draw can't fill, the head does. key is unique and not null.
     """
-    slots = min(m, max(int(share * m + 0.5), m // 20))
-    drawn = numbered(rows.where(explore).withColumn("__draw", draw), [F.col("__draw")], "__k", slots).drop("__draw")
-    every = max(1, m // max(1, slots))
-    taken = F.broadcast(drawn.select(*[c for c in rows.columns]))
-    rest = numbered(rows.join(taken, rows.columns, "left_anti"), head, "__k", m - slots)
+    explorable = F.coalesce(explore, F.lit(False))
+    there, pool = rows.agg(F.count(F.lit(1)), F.count_if(explorable)).first()
+    m = min(m, there)
+    slots = min(m, max(int(share * m + 0.5), m // 20)) if share > 0 else 0
+    picks = min(slots, pool)
+    every = max(1, m // picks) if picks else m + 1
+    drawn = numbered(rows.where(explorable).withColumn("__draw", draw), [F.col("__draw"), F.col(key)], "__k", picks).drop("__draw")
+    taken = drawn.select(key)
+    rest = numbered(rows.join(F.broadcast(taken) if picks <= BROADCAST_DRAWN else taken, key, "left_anti").select(rows.columns), head, "__k", m - picks)
     # The k-th drawn row stands at place every * (k + 1) - 1; head rows fill the others, every - 1 to each drawn one.
     at_drawn = F.col("__k") * every + (every - 1)
-    at_head = F.col("__k") + F.least(F.floor(F.col("__k") / max(1, every - 1)), F.lit(slots)) if every > 1 else F.col("__k") + slots
+    at_head = F.col("__k") + F.least(F.floor(F.col("__k") / (every - 1)), F.lit(picks)) if every > 1 else F.col("__k") + picks
     return drawn.withColumn("place", at_drawn.cast("long")).withColumn("explored", F.lit(True)).unionByName(rest.withColumn("place", at_head.cast("long")).withColumn("explored", F.lit(False))).drop("__k")
 
 
@@ -81,8 +89,7 @@ def split_windows(events: DataFrame, at: str, seconds: int, leaf: int) -> DataFr
 def split_until(events: DataFrame, at: str, seconds: int, leaf: int, least: int = 1) -> DataFrame:
     """Windows as by split_windows, but each part is counted again and split on until it holds at most leaf rows or is at most `least` seconds wide.
 
-    A window of w seconds and n rows is cut into p = min(ceil(n / leaf), w) parts, the i-th from i * w // p, as the reference's
-    splitWindow does. Windows without rows aren't listed. Rounds are over distinct seconds and each is written; windows only get
+    A window of w seconds and n rows is cut into p = min(ceil(n / leaf), w) parts, the i-th from i * w // p. Windows without rows aren't listed. Rounds are over distinct seconds and each is written; windows only get
     narrower, so the loop ends.
     """
     second = F.unix_seconds(F.col(at).cast("timestamp"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def latest(log: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
@@ -40,29 +44,78 @@ def history(log: DataFrame, key: str, order: list[str], watched: list[str], keep
     return changed.withColumn("__n", newest).where(F.col("__n") <= keep).drop("__n")
 
 
-def without_undone(log: DataFrame, at: str, undoes: str, key: str | None = None) -> DataFrame:
-    """Events but undos and what they name: by time alone (fold A), or by key and time (fold B, with key)."""
-    on = [at] if key is None else [key, at]
-    named = log.where(F.col(undoes).isNotNull()).select(*([key] if key else []), F.col(undoes).alias(at)).distinct()
-    return log.where(F.col(undoes).isNull()).join(named, on, "left_anti")
+def without_undone(log: DataFrame, at: str, undoes: str, key: str | None = None, seq: str | None = None, undoes_seq: str | None = None) -> DataFrame:
+    """Events but undos and what they name: whosever it is (fold A), or of the undo's own key (fold B, with key).
+
+    An undo names a time, or (undoes_seq) a place in the log (seq).
+    """
+    own = [key] if key else []
+    is_undo = F.col(undoes).isNotNull() | (F.col(undoes_seq).isNotNull() if undoes_seq else F.lit(False))
+    left = log.where(~is_undo)
+    for named, by in ((undoes, at), (undoes_seq, seq)):
+        if named:
+            left = left.join(log.where(F.col(named).isNotNull()).select(*own, F.col(named).alias(by)).distinct(), [*own, by], "left_anti")
+    return left.select(log.columns)
 
 
-def stacked_actions(log: DataFrame, key: str, seq: str, at: str, action: str, undoes: str) -> DataFrame:
-    """Fold C: a stack for each key; an undo takes off the last event at that time, else the last one. key and the last action left.
+def feedback_state(active: DataFrame, key: str, order: list[str], action: str, snooze: str, switches: tuple[str, str] = ("publish", "unpublish")) -> DataFrame:
+    """key, last_action, snooze_until (that of the last action) and published, of events that weren't undone. One aggregation."""
+    switch = F.col(action).isin(*switches)
+    at = F.struct(*order)
+    last = F.max_by(F.struct(F.col(action).alias("a"), F.col(snooze).alias("s")), F.when(~switch, at))
+    shown = F.max_by(F.col(action), F.when(switch, at)) == switches[0]
+    return active.groupBy(key).agg(last.alias("l"), F.coalesce(shown, F.lit(False)).alias("published")).select(key, F.col("l.a").alias("last_action"), F.col("l.s").alias("snooze_until"), "published")
 
-    A key's events are folded in order in one array; keys are people's feedback on one thing, so arrays are short.
-    """
-    events = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(at).alias("at"), F.col(action).alias("action"), F.col(undoes).alias("undoes"))))
-    folded = log.groupBy(key).agg(events.alias("events"))
-    empty = F.expr("filter(events, e -> false)")
 
-    def step(stack: Column, e: Column) -> Column:
-        match = F.array_max(F.transform(F.filter(stack, lambda s: s["at"] == e["undoes"]), lambda s: s["seq"]))
-        target = F.coalesce(match, F.array_max(F.transform(stack, lambda s: s["seq"])))
-        return F.when(e["undoes"].isNull(), F.concat(stack, F.array(e))).otherwise(F.filter(stack, lambda s: ~s["seq"].eqNullSafe(target)))
+#: Which actions make up the last state of each class.
+CLASSES = {"triage": ["gem", "wip", "notgood", "notmine"], "publishing": ["publish", "unpublish"], "gem": ["gem"]}
 
-    left = folded.withColumn("left", F.aggregate("events", empty, step))
-    return left.select(key, F.try_element_at("left", F.lit(-1))["action"].alias("action"), F.size("left").cast("long").alias("events_left"))
+
+def stacked_actions(log: DataFrame, key: str, seq: str, at: str, action: str, undoes: str, classes: dict[str, list[str]] | None = None) -> DataFrame:
+    """Fold C: a stack for each key; an undo takes off the last event at that time, else the last one. key, the last action left, events_left, and the last action of each class.
+
+    Events are streamed in order through the task of their key, which holds the live stack of the key at hand only: four words an
+    event. Undos depend on all that is live, so the events of one key can't be folded in parts.
+    """
+    classes = classes or {}
+    kinds = log.select(key, action).schema
+    names = [key, "action", "events_left", *classes]
+    rows = log.select(key, seq, at, undoes, action).repartition(key).sortWithinPartitions(key, seq)
+    schema = StructType([kinds[0], StructField("action", kinds[1].dataType), StructField("events_left", LongType()), *[StructField(k, kinds[1].dataType) for k in classes]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, stack, by_time, live, started = None, {}, {}, 0, False
+
+        def ended() -> tuple:
+            left = list(reversed(stack.values()))
+            return here, left[0][1] if left else None, len(stack), *[next((a for _, a in left if a in of), None) for of in classes.values()]
+
+        def made(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            kinds = [like.schema.types[0], like.schema.types[4], pa.int64(), *[like.schema.types[4]] * len(classes)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        batch = None
+        for batch in (b.slice(k, 4_096) for b in batches for k in range(0, b.num_rows, 4_096)):
+            out = []
+            for k, time, undo, what in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if not started or k != here:
+                    if started:
+                        out.append(ended())
+                    here, stack, by_time, live, started = k, {}, {}, 0, True
+                if undo is None:
+                    stack[live] = (time, what)
+                    by_time.setdefault(time, []).append(live)
+                    live += 1
+                elif stack:
+                    place = by_time[undo][-1] if by_time.get(undo) else next(reversed(stack))
+                    of = by_time[stack.pop(place)[0]]
+                    of.remove(place)
+            yield made(out, batch)
+        if started:
+            yield made([ended()], batch)
+
+    return rows.mapInArrow(run, schema)
 
 
 def owner_memory(log: DataFrame, key: str, flag: str, order: list[str], fields: list[str]) -> DataFrame:

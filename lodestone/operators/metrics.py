@@ -8,12 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def auc(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
-    """The Mann-Whitney statistic, ties one half; null when a class is empty. The window runs over distinct scores only."""
-    by = by or []
-    counts = rows.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by or [F.lit(0)]).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("below", below).groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+def auc(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
+    """The Mann-Whitney statistic, ties one half; null when a class is empty. weight counts a row so many times.
+
+    Rows are folded to distinct scores first. Scores are then ranked in ranges, whose sums are set end to end, so that no task holds
+    them all, unless groups (by) do that already.
+    """
+    by, weight = by or [], F.lit(1) if weight is None else weight
+    counts = rows.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, score).agg(F.sum(F.when(positive, weight).otherwise(0)).alias("p"), F.sum(F.when(~positive, weight).otherwise(0)).alias("n"))
+    area = lambda below: F.sum(F.col("p") * (below + F.col("n") / 2))
+    inner = lambda part: F.coalesce(F.sum("n").over(Window.partitionBy(*part).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if by:
+        return counts.withColumn("below", inner(by)).groupBy(*by).agg(F.try_divide(area(F.col("below")), F.sum("p") * F.sum("n")).alias("auc"))
+    parts = counts.repartitionByRange(score).withColumn("part", F.spark_partition_id()).withColumn("below", inner(["part"])).groupBy("part").agg(area(F.col("below")).alias("area"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    return parts.withColumn("ahead", ahead).agg(F.try_divide(F.sum(F.col("area") + F.col("p") * F.col("ahead")), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def precision_at(rows: DataFrame, order: list[Column], positive: Column, k: int) -> DataFrame:
@@ -59,19 +68,60 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return both.select(F.when(pe >= 1, 1.0).otherwise(F.try_divide(po - pe, 1 - pe)).alias("kappa"), "n")
 
 
-def bootstrap(rows: DataFrame, key: str, replicates: int, draw: Column, metric) -> DataFrame:
-    """metric(rows with rep and weight) over replicates: each row has a seeded Poisson(1) weight in each, so nothing is collected or resampled.
-
-    draw: a column of `rep` and the key that is even in [0, 1).
-    """
-    spread = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__u", draw)
+def poisson_steps() -> list[float]:
+    """The distribution function of Poisson(1) at 0, 1, 2 and on."""
     steps, term, total = [], math.exp(-1), math.exp(-1)
     for k in range(1, 12):
         steps.append(total)
         term /= k
         total += term
-    weight = sum(((F.col("__u") >= s).cast("int") for s in steps[1:]), (F.col("__u") >= steps[0]).cast("int"))
-    return metric(spread.withColumn("weight", weight).drop("__u").where("weight > 0"))
+    return steps
+
+
+def poisson(u: Column) -> Column:
+    """A Poisson(1) number from a draw that is even in [0, 1)."""
+    steps = poisson_steps()
+    return sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
+
+
+def bootstrap(rows: DataFrame, replicates: int, draw: Column, metric) -> DataFrame:
+    """metric(rows with rep and weight) over replicates: each row has a seeded Poisson(1) weight in each, so nothing is collected or resampled.
+
+    draw: a column of `rep` and a key, even in [0, 1). With the key of a cluster its rows are drawn together; with the same draw for
+    two metrics they are paired.
+    """
+    spread = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return metric(spread.withColumn("weight", poisson(draw)).where("weight > 0"))
+
+
+def interval(values: DataFrame, x: str, replicates: int, share: float = 0.95) -> DataFrame:
+    """low, high (percentiles) and n of the finite values, and how many replicates have none."""
+    fine = F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    ok = F.when(fine, F.col(x))
+    tail = (1 - share) / 2
+    return values.agg(F.percentile(ok, F.lit(tail)).alias("low"), F.percentile(ok, F.lit(1 - tail)).alias("high"), F.count(ok).alias("n"), (F.lit(replicates).cast("long") - F.count(ok)).alias("skipped"))
+
+
+def base_rate_shift(uniform: DataFrame, score: str, positive: Column, b: float, rounds: int = 200, most: float = 20.0) -> float:
+    """The a in [-most, most] at which the mean of sigmoid(a + b * score) over a uniform stratum is (positives + 1) / (rows + 2).
+
+    Halving intervals needs one number a round: each round is one aggregation over the distinct scores, 64 points of a at once.
+    """
+    counts = uniform.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("n")).cache()
+    p, n = counts.agg(F.sum("p"), F.sum("n")).first()
+    low, high = -most, most
+    if not n:
+        return 0.0
+    goal = (p + 1) / (n + 2)
+    for _ in range(-(-rounds // 6)):
+        grid = [low + (high - low) * k / 64 for k in range(65)]
+        means = counts.agg(*[(F.sum(F.col("n") / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("s"))))) / n).alias(f"m{k}") for k, a in enumerate(grid)]).first()
+        k = next((i for i in range(65) if means[i] >= goal), 64)
+        low, high = grid[max(k - 1, 0)], grid[k]
+        if high - low < 1e-12:
+            break
+    counts.unpersist()
+    return (low + high) / 2
 
 
 def platt(rows: DataFrame, score: str, positive: Column, rounds: int = 50) -> tuple[float, float]:

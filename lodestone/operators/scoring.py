@@ -1,4 +1,4 @@
-"""Explainable scoring: signals to points, coverage, confidence, attention, rank, band and lane.
+"""Explainable scoring: signals to points, coverage, confidence, attention and rank. Bands and lanes are in catalogue.
 
 Signals are rows (id, signal, ord, kind, status, hit, weight, grp): status is ok, unknown or na, and hit counts only where ok.
 """
@@ -78,30 +78,6 @@ def gem(score: Column, conf: Column, att: Column) -> Column:
     return tidy(score + 1.5 * conf - 1.5 * att)
 
 
-def band(score: Column, high: float = 7.0, middle: float = 5.0) -> Column:
-    return F.when(score >= high, "high").when(score >= middle, "middle").when(score.isNotNull(), "low")
-
-
-def confidence_band(k: Column) -> Column:
-    return F.when(k >= 0.6, "high").when(k >= 0.3, "middle").when(k.isNotNull(), "low")
-
-
-def lane(score: Column, conf: Column, quarantined: Column, dropped: Column, doubted: Column, institutional: Column, coverage: Column, least_coverage: float = 0.5) -> Column:
-    """The first rule that fits."""
-    return (
-        F.when(quarantined, "quarantine")
-        .when(dropped, "drop")
-        .when(doubted, "doubt")
-        .when(institutional, "institutional")
-        .when(coverage < least_coverage, "look")
-        .when((score >= 7) & (conf >= 0.6), "proven")
-        .when(score >= 7, "promising")
-        .when((score >= 5) & (conf >= 0.6), "promising")
-        .when(score >= 5, "look")
-        .otherwise("low")
-    )
-
-
 def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """The k first rows of a total order: a bounded heap in each task, then one merge."""
     return rows.orderBy(*order).limit(k)

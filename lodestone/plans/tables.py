@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as s
-from lodestone.operators import discovery, folds, joins, metrics, rules, scoring, views
+from lodestone.operators import catalogue, discovery, folds, joins, metrics, rules, scoring, views
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,12 +48,12 @@ _POINTS = """(CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END + CASE WHEN contains(t
 
 
 @query(f"""WITH p AS (SELECT doc_id, source, n_chars, {_POINTS} AS points FROM documents)
-SELECT doc_id, points, round(1 / (1 + exp(6.403 - 1.113 * points)), 6) AS quality, CASE WHEN points >= 7 THEN 'high' WHEN points >= 5 THEN 'middle' ELSE 'low' END AS band
+SELECT doc_id, points, round(1 / (1 + exp(6.403 - 1.113 * points)), 6) AS quality, CASE WHEN points >= 7 THEN 'gem' WHEN points >= 5 THEN 'look' ELSE 'low' END AS band
 FROM p ORDER BY points DESC, n_chars, doc_id LIMIT 200""")
 def index_topk(spark, d):
     ranked = t(spark, d, "documents").withColumn("points", scoring.points_in_row(_signals())).select("doc_id", "points", "n_chars")
     best = scoring.top(ranked, 200, F.desc("points"), F.col("n_chars"), F.col("doc_id"))
-    return best.select("doc_id", "points", F.round(scoring.quality(F.col("points")), 6).alias("quality"), scoring.band(F.col("points")).alias("band"))
+    return best.select("doc_id", "points", F.round(scoring.quality(F.col("points")), 6).alias("quality"), catalogue.band(F.col("points")).alias("band"))
 
 
 @query(f"SELECT doc_id, {_POINTS} AS points, 8.0::DOUBLE AS points_max, CASE WHEN lang IS NULL THEN round(10.0 / 12, 9) ELSE 1.0 END::DOUBLE AS coverage FROM documents")
@@ -74,14 +74,12 @@ def gem_rank(spark, d):
     return t(spark, d, "part").select("p_partkey", F.round(att, 6).alias("attention"), F.round(scoring.gem(F.col("p_retailprice") / 200, F.lit(0.4), att), 4).alias("gem"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal < -900 THEN 'quarantine' WHEN c_acctbal < -500 THEN 'drop' WHEN c_mktsegment = 'MACHINERY' AND c_acctbal < 0 THEN 'doubt'
-WHEN c_nationkey = 0 THEN 'institutional' WHEN c_nationkey % 10 / 10.0 < 0.5 AND c_nationkey % 10 < 2 THEN 'look'
-WHEN c_acctbal / 1000 >= 7 AND c_nationkey / 25.0 >= 0.6 THEN 'proven' WHEN c_acctbal / 1000 >= 7 THEN 'promising' WHEN c_acctbal / 1000 >= 5 AND c_nationkey / 25.0 >= 0.6 THEN 'promising'
-WHEN c_acctbal / 1000 >= 5 THEN 'look' ELSE 'low' END AS lane FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < -900 THEN 'quarantine' WHEN c_custkey % 17 = 0 THEN 'gone' WHEN c_nationkey = 0 THEN 'institutional' WHEN c_nationkey * 1.5 > 25 THEN 'graduated' WHEN c_custkey % 13 >= 10 THEN 'rising'
+WHEN c_mktsegment = 'MACHINERY' OR c_custkey % 11 = 0 THEN 'doubted' WHEN c_acctbal / 1000 >= 7 AND c_nationkey / 25.0 >= 0.5 THEN 'proven' WHEN c_acctbal / 1000 >= 7 THEN 'promising' WHEN c_acctbal / 1000 >= 5 THEN 'look' ELSE 'low' END AS lane FROM customer""")
 def lane_case(spark, d):
-    c, n = F.col("c_acctbal"), F.col("c_nationkey")
-    coverage = F.when(n % 10 < 2, n % 10 / 10.0).otherwise(1.0)
-    lane = scoring.lane(c / 1000, n / 25.0, c < -900, c < -500, (F.col("c_mktsegment") == "MACHINERY") & (c < 0), n == 0, coverage)
+    c, n, k = F.col("c_acctbal"), F.col("c_nationkey"), F.col("c_custkey")
+    actions = F.array_compact(F.array(F.when(c < -900, "quarantine"), F.when(n == 0, "institutional"), F.when(F.col("c_mktsegment") == "MACHINERY", "doubt")))
+    lane = catalogue.lane(actions, catalogue.band(c / 1000), n / 25.0, n * 1.5, F.when(k % 2 >= 0, k % 13), k % 11 == 0, k % 17 == 0)
     return t(spark, d, "customer").select("c_custkey", lane.alias("lane"))
 
 
@@ -122,7 +120,7 @@ h AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdat
 SELECT o_orderkey, (row_number() OVER (ORDER BY h) - 1) * 10 + 9 AS place, true AS explored FROM d UNION ALL SELECT o_orderkey, k + least(k // 9, 10), false FROM h""")
 def explore_queue(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
-    found = discovery.explored_queue(o, [F.col("o_orderpriority"), F.desc("o_orderdate"), F.col("o_orderkey")], F.col("o_orderpriority") > "3", s.draw("q", F.col("o_orderkey")), 100, 0.1)
+    found = discovery.explored_queue(o, "o_orderkey", [F.col("o_orderpriority"), F.desc("o_orderdate"), F.col("o_orderkey")], F.col("o_orderpriority") > "3", s.draw("q", F.col("o_orderkey")), 100, 0.1)
     return found.select("o_orderkey", "place", "explored")
 
 
@@ -180,7 +178,31 @@ def feedback_fold_b(spark, d):
 
 @query()
 def feedback_fold_c(spark, d):
-    return folds.stacked_actions(_feedback(spark, d), "user_id", "seq", "at", "action", "undoes")
+    return folds.stacked_actions(_feedback(spark, d), "user_id", "seq", "at", "action", "undoes", {"bought": ["purchase"], "moved": ["click", "view"]})
+
+
+_POSITIONS = """f AS (SELECT event_id AS seq, user_id, event_id % 500 AS "at", event_type AS action, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN (event_id + 490) % 500 END AS undoes, CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN event_id - 3 END AS undoes_seq, CASE WHEN value > 50 THEN ts END AS snooze FROM events)"""
+_STATE = """SELECT user_id, (arg_max({'a': action, 's': snooze}, seq) FILTER (action NOT IN ('purchase', 'signup'))).a AS last_action, (arg_max({'a': action, 's': snooze}, seq) FILTER (action NOT IN ('purchase', 'signup'))).s AS snooze_until,
+coalesce(arg_max(action, seq) FILTER (action IN ('purchase', 'signup')) = 'purchase', false) AS published FROM x GROUP BY user_id"""
+
+
+def _positions(spark, d):
+    e, error, even = t(spark, d, "events"), F.col("event_type") == "error", F.col("event_id") % 2 == 0
+    return e.select(F.col("event_id").alias("seq"), "user_id", (F.col("event_id") % 500).alias("at"), F.col("event_type").alias("action"), F.when(error & even, (F.col("event_id") + 490) % 500).alias("undoes"), F.when(error & ~even, F.col("event_id") - 3).alias("undoes_seq"), F.when(F.col("value") > 50, F.col("ts")).alias("snooze"))
+
+
+@query(f"WITH {_POSITIONS}, x AS (SELECT * FROM f WHERE undoes IS NULL AND undoes_seq IS NULL AND \"at\" NOT IN (SELECT undoes FROM f WHERE undoes IS NOT NULL) AND seq NOT IN (SELECT undoes_seq FROM f WHERE undoes_seq IS NOT NULL)) {_STATE}")
+def feedback_state_a(spark, d):
+    """The state that the index shows: undos by time or place, whosever they are."""
+    active = folds.without_undone(_positions(spark, d), "at", "undoes", None, "seq", "undoes_seq")
+    return folds.feedback_state(active, "user_id", ["seq"], "action", "snooze", ("purchase", "signup"))
+
+
+@query(f"WITH {_POSITIONS}, x AS (SELECT * FROM f WHERE undoes IS NULL AND undoes_seq IS NULL AND NOT EXISTS (SELECT 1 FROM f u WHERE u.user_id = f.user_id AND (u.undoes = f.\"at\" OR u.undoes_seq = f.seq))) {_STATE}")
+def feedback_state_b(spark, d):
+    """The state of the queue: undos by time or place of the same key."""
+    active = folds.without_undone(_positions(spark, d), "at", "undoes", "user_id", "seq", "undoes_seq")
+    return folds.feedback_state(active, "user_id", ["seq"], "action", "snooze", ("purchase", "signup"))
 
 
 @query("""SELECT user_id, list_sort(list_distinct(list(event_type))) AS flags, arg_max(value, event_id) FILTER (value > 50) AS big FROM events GROUP BY user_id""")
@@ -425,11 +447,28 @@ def kappa(spark, d):
     return metrics.kappa(rows, "a", "b").withColumn("kappa", F.round("kappa", 9))
 
 
-@query()
+def _bootstrap_sql(key: str) -> str:
+    weight = " + ".join(f"(u >= {x!r})::INT" for x in metrics.poisson_steps())
+    return f"""WITH {_LABELLED}, d AS (SELECT rep.range AS rep, {key} AS k, n_chars AS s, positive, ('0x' || md5(rep.range || ':' || {key})[:8])::UINTEGER / 4294967296.0::DOUBLE AS u FROM l, range(200) rep),
+w AS (SELECT rep, s, sum(w) FILTER (positive) AS p, sum(w) FILTER (NOT positive) AS n FROM (SELECT *, {weight} AS w FROM d) GROUP BY rep, s), b AS (SELECT rep, coalesce(p, 0) AS p, coalesce(n, 0) AS n, coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w),
+a AS (SELECT rep, sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0) AS auc FROM b GROUP BY rep) SELECT round(quantile_cont(auc, 0.025), 9)::DOUBLE AS low, round(quantile_cont(auc, 0.975), 9)::DOUBLE AS high, count(auc) AS n, 200 - count(auc) AS skipped FROM a"""
+
+
+def _resampled(spark, d, key: str):
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", key).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    aucs = metrics.bootstrap(_labelled(spark, d), 200, u, lambda rows: metrics.auc(rows, "n_chars", F.col("positive"), ["rep"], F.col("weight")))
+    return metrics.interval(aucs, "auc", 200).withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
+
+
+@query(_bootstrap_sql("doc_id"))
 def bootstrap_auc(spark, d):
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "doc_id").cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
-    copies = lambda rows: metrics.auc(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "weight"))), "n_chars", F.col("positive"), ["rep"])
-    return metrics.bootstrap(_labelled(spark, d), "doc_id", 200, u, copies).agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"), F.count("auc").alias("n"))
+    return _resampled(spark, d, "doc_id")
+
+
+@query(_bootstrap_sql("lang"))
+def bootstrap_auc_clustered(spark, d):
+    """Rows of one language are drawn together."""
+    return _resampled(spark, d, "lang")
 
 
 @query()

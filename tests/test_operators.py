@@ -86,7 +86,7 @@ def test_discovery(spark):
     spans = spark.createDataFrame([(0, 10), (11, 20), (30, 40), (32, 35)], "a long, b long")
     assert sorted(map(tuple, discovery.merged_spans(spans, "a", "b").collect())) == [(0, 20), (30, 40)]
     queue = spark.createDataFrame([(k, k % 3) for k in range(60)], "id long, prior int")
-    found = discovery.explored_queue(queue, [F.desc("prior"), F.col("id")], F.col("prior") <= 1, s.draw("x", F.col("id")), 20, 0.2).orderBy("place").collect()
+    found = discovery.explored_queue(queue, "id", [F.desc("prior"), F.col("id")], F.col("prior") <= 1, s.draw("x", F.col("id")), 20, 0.2).orderBy("place").collect()
     assert [r["place"] for r in found] == list(range(20)) and len({r["id"] for r in found}) == 20 and [r["place"] for r in found if r["explored"]] == [4, 9, 14, 19]
     stored, new = spark.createDataFrame([(1, "o", 2), (2, "o", 1)], "id long, owner string, prior int"), spark.createDataFrame([(3, "o", 3), (4, "o", 1)], "id long, owner string, prior int")
     kept = discovery.capped_with_incumbents(stored, new, ["owner"], "prior", [F.col("id")], 3)
