@@ -149,3 +149,71 @@ def detected_script(text: Column) -> Column:
     for name, n in counts:
         out = out.when((n == most) & (n > 0.3 * letters), F.lit(name))
     return F.when(text.isNotNull(), out.when(letters - latin > 0.3 * letters, F.lit("other")).otherwise("latin"))
+
+
+def softplus(z: Column) -> Column:
+    """ln(1 + e^z), stable at both ends."""
+    return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+
+
+def log_likelihood(z: Column, positive: Column) -> Column:
+    """Of one outcome under sigmoid(z); its sum is the fit's."""
+    return -softplus(F.when(positive, -z).otherwise(z))
+
+
+def cost(tokens_in: Column, tokens_out: Column, read: Column, written: Column, price_in: Column, price_out: Column) -> Column:
+    """Dollars of a call at prices a million tokens: what the cache took in costs 1.25 times the input price, what it gave 0.1 times."""
+    fresh = F.greatest(F.lit(0), tokens_in - read - written)
+    return (fresh * price_in + written * price_in * 1.25 + read * price_in * 0.1 + tokens_out * price_out) / 1e6
+
+
+def week_start(week: Column) -> Column:
+    """The Monday of an ISO week such as 2026-W37; null for a week that its year doesn't have."""
+    year, n = F.substring(week, 1, 4).try_cast("int"), F.substring(week, 7, 2).try_cast("int")
+    monday = F.date_add(F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))).cast("date"), (n - 1) * 7)
+    return F.when(week.rlike(r"^\d{4}-W\d{2}$") & (iso_week(monday) == week), monday)
+
+
+def shifted_week(week: Column, weeks: int) -> Column:
+    return iso_week(F.date_add(week_start(week), 7 * weeks))
+
+
+def size_text(n: Column) -> Column:
+    """Bytes as people read them: one decimal from 1024 on."""
+    return F.when(n >= 1_048_576, F.format_string("%.1f MB", n / 1_048_576)).when(n >= 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%d bytes", n))
+
+
+def clipped(text: Column, most: int) -> Column:
+    """Cut to so many characters, the last of them an ellipsis."""
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+
+
+def slug(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+", "-")
+
+
+def package_key(name: Column) -> Column:
+    """A Python package's name, as its index compares it."""
+    return F.regexp_replace(F.lower(name), "[-_.]+", "-")
+
+
+def crate_key(name: Column) -> Column:
+    return F.replace(F.lower(name), F.lit("_"), F.lit("-"))
+
+
+def safe_segment(name: Column) -> Column:
+    """A path segment that any file system takes: lower case, odd characters as _, dots at the ends as %2E, device names escaped."""
+    plain = F.regexp_replace(F.lower(name), "[^a-z0-9._-]", "_")
+    dots = lambda at: F.repeat(F.lit("%2E"), F.length(F.regexp_extract(plain, at, 0)))
+    inner = F.regexp_replace(plain, r"^\.+|\.+$", "")
+    ended = F.when(inner == "", dots(r"^\.*")).otherwise(F.concat(dots(r"^\.*"), inner, dots(r"\.*$")))
+    device = F.substring_index(ended, ".", 1).rlike(r"^(con|prn|aux|nul|com[0-9]|lpt[0-9])$")
+    return F.when(device, F.concat(F.lit("%"), F.hex(F.ascii(ended)), F.substring(ended, 2, 1_000_000))).otherwise(ended)
+
+
+def escaped(text: Column) -> Column:
+    """Text for markup: the five marks as entities, control and direction characters dropped."""
+    out = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{202A}-\x{202E}\x{2066}-\x{2069}]", "")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
