@@ -1,12 +1,13 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Texts are split into words in chunks of a few MB. A chunk lists each of its distinct words once and keeps, for each occurrence,
-the word's place in that list; it is written to the shared folder. The chunks' lists give the corpus's distinct words, each of
-which is encoded once, by one task; the decoded bytes of a word come from a join of its ids with the table of ids and pieces,
-which the vocabulary bounds. The table is joined back with the chunks' lists (not with occurrences), the lists are put in order of
-place again, and each chunk gets its own list by one more join: its ids, and its decoded text, are gathers by position.
+Texts are split into words in chunks of up to 16 MB. A chunk lists each of its distinct words once and keeps, for each occurrence,
+the word's place in that list, compressed; both are written to the shared folder. The lists' words are brought together by a
+shuffle, so that each distinct word of the corpus is met by one task, which encodes it once and gives its ids to all (chunk,
+place) that hold it. A second shuffle brings a chunk's ids together in order of place, with its occurrences behind them: the ids
+of its texts are a gather by position. Decoding looks ids up in the table of ids and pieces, which the vocabulary bounds, once
+for each of the list, and gathers their bytes likewise. `decode` does the same for ids from elsewhere.
 
-Shuffled are the distinct words of each chunk, and each chunk's places once. `decode` works the same way for ids from elsewhere.
+Occurrences are never rows of a shuffle: rows are the distinct words of each chunk, and one for each chunk.
 
 Defined cases: a null text counts as empty and has no ids. Special strings inside a text become their special ids, as the
 library does by default, and decode to themselves. Very long texts are whole, in a chunk of their own. Repeated rows give repeated
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructType
 from tokenizers import Tokenizer
 
 from lodestone.llm.byte_words import COLUMNS, PLAIN, byte_level_words
@@ -38,7 +39,9 @@ KEPT_WORDS = 250_000
 #: Texts that are Python strings at a time.
 ROWS = 512
 #: Bytes and rows of text in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 2_048
+CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 20_000
+#: Stands behind all places: the row of a chunk's occurrences comes after its units.
+LAST = (1 << 31) - 1
 
 
 def byte_pieces(path: str) -> list[bytes]:
@@ -158,28 +161,42 @@ def _cuts(sizes: np.ndarray, most: int) -> list[int]:
     return [*bounds, len(sizes)] if len(sizes) else [0]
 
 
+def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
+    """Columns as a compressed Arrow stream."""
+    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays(columns, names)
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
 def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], unit: DataType, folder: str) -> DataFrame:
-    """chunk, docs (the kept columns of its rows), lengths and places (of each row's units in the list), and units (each distinct one once).
+    """chunk, units (each distinct one once), and occurrences: a packed batch of the places of all its rows' units, and one of its rows.
 
-    rows: kept columns, then what is cut into units. Written to the shared folder, as two later steps read it.
+    rows: kept columns, then what is cut into units. A chunk's rows are its kept columns and how many units each has. Written to the
+    shared folder, as two later steps read it.
     """
-    kept, most = StructType(list(rows.schema.fields[:-1])), CHUNK_BYTES
+    most = CHUNK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
             last = batch.column(batch.num_columns - 1)
-            sizes = np.diff(np.frombuffer(last.buffers()[1], dtype=np.int32 if last.type in (pa.string(), pa.list_(pa.int32())) else np.int64, count=len(last) + 1 + last.offset)[last.offset :])
-            for low, to in itertools.pairwise(_cuts(sizes, most)):
+            sizes = pc.binary_length(last) if pa.types.is_string(last.type) or pa.types.is_large_string(last.type) else pc.multiply(pc.list_value_length(last), 4)
+            for low, to in itertools.pairwise(_cuts(sizes.to_numpy(zero_copy_only=False), most)):
                 part = batch.slice(low, to - low)
                 coded, lengths = units(part.column(part.num_columns - 1))
-                docs = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns[:-1]], part.schema.names[:-1])
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), one(docs), one(pa.array(lengths, pa.int32())), one(coded.indices.cast(pa.int32())), one(coded.dictionary)], ["chunk", "docs", "lengths", "places", "units"])
+                kept = _packed([*part.columns[:-1], pa.array(lengths, pa.int64())], [str(k) for k in range(part.num_columns)])
+                places = _packed([coded.indices.cast(pa.int32())], ["places"])
+                listed = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), listed, pa.array([kept], pa.binary()), pa.array([places], pa.binary())], ["chunk", "units", "kept", "places"])
                 at += 1
 
-    schema = StructType().add("chunk", LongType()).add("docs", ArrayType(kept)).add("lengths", ArrayType(IntegerType())).add("places", ArrayType(IntegerType())).add("units", ArrayType(unit))
-    rows.mapInArrow(run, schema).write.parquet(folder)
+    schema = StructType().add("chunk", LongType()).add("units", ArrayType(unit)).add("kept", BinaryType()).add("places", BinaryType())
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
     return rows.sparkSession.read.schema(schema).parquet(folder)
 
 
@@ -201,25 +218,26 @@ def _ids_in(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
 
 
-def pieces(spark, tokenizer_path: str) -> DataFrame:
-    """id and piece (its bytes): as many rows as the vocabulary has."""
-    return spark.createDataFrame(pa.table({"id": pa.array(range(len(p := byte_pieces(tokenizer_path))), pa.int32()), "piece": pa.array(p, pa.binary())}))
+def _listed(chunks: DataFrame) -> DataFrame:
+    """chunk, place and unit of each chunk's list."""
+    return chunks.select("chunk", F.posexplode("units").alias("place", "unit"))
 
 
-def coded_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """word, ids and bytes of each distinct word of words: each is encoded once, and its bytes are its ids joined with the pieces."""
+def _coded(listed: DataFrame, tokenizer_path: str) -> DataFrame:
+    """chunk, place and data (ids as 32-bit numbers) of listed words. A word's rows lie together in one task, so it is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tables(tokenizer_path)
+        before, ids = None, b""
         for batch in (b.slice(k, ROWS * 8) for b in batches for k in range(0, b.num_rows, ROWS * 8)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table.ids_of(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "ids"])
+            coded = batch.column(2).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            known = [ids] if words and words[0] == before else []
+            known += [np.array(x, dtype="<i4").tobytes() for x in table.ids_of(words[len(known) :])]
+            before, ids = words[-1], known[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.binary()).take(coded.indices)], ["chunk", "place", "data"])
 
-    encoded = words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
-    by_id = encoded.select("word", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces(words.sparkSession, tokenizer_path)), "id", "left")
-    listed = by_id.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("x"))
-    known = F.filter("x", lambda e: e["id"].isNotNull())
-    joined = F.aggregate(known, F.lit(b""), lambda a, e: F.concat(a, F.coalesce(e["piece"], F.lit(b""))))
-    return listed.select("word", F.transform(known, lambda e: e["id"]).alias("ids"), joined.alias("bytes"))
+    return listed.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "chunk long, place int, data binary")
 
 
 def word_table(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
@@ -231,16 +249,13 @@ def word_table(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
             found = pa.array([w for t in batch.column(0).to_pylist() for w in byte_level_words(t, specials)], pa.string()).value_counts()
             yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
-    words = docs.select(whole_text(text_col).alias("text")).mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return words.join(coded_words(words, tokenizer_path).select("word", "ids"), "word")
-
+    def with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = word_tables(tokenizer_path)
+        for batch in (b.slice(k, ROWS * 8) for b in batches for k in range(0, b.num_rows, ROWS * 8)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(table.ids_of(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-def _with_lists(chunks: DataFrame, table: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """chunks with the table's values of each unit, in order of place."""
-    listed = chunks.select("chunk", F.posexplode("units").alias("place", key)).join(table, key)
-    ordered = listed.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", *values))).alias("x"))
-    ordered = ordered.select("chunk", *[F.col("x").getField(v).alias(v) for v in values])
-    return chunks.select("chunk", "docs", "lengths", "places").join(ordered, "chunk", "left").drop("chunk")
+    words = docs.select(whole_text(text_col).alias("text")).mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(with_ids, "word string, n long, ids array<int>")
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
@@ -255,75 +270,108 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, places: np.ndarray, lengths:
         yield from (out[x:y] for x, y in itertools.pairwise(bounds))
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and starts of an array of lists of numbers, or of bytes."""
-    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-        column = column.cast(pa.large_binary())
-        starts = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
-        data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
-        return data[starts[0] : starts[-1]], starts - starts[0]
-    return column.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(column).to_numpy()))
+def _by_row(chunks: DataFrame, data: DataFrame, make: Callable[[list[bytes]], Callable], kept: StructType, added: StructType) -> DataFrame:
+    """A row for each row of the chunks: its kept columns, and what make gives.
 
-
-def _by_row(with_lists: DataFrame, values: list[str], make: Callable, kept: StructType, added: StructType) -> DataFrame:
-    """A row for each row of the chunks: kept columns, and what make gives of the gathered values of each."""
+    data: chunk, place, data. make(units' data in order of place) gives a function of (places, lengths) of some rows that gives arrays.
+    """
+    ends = chunks.select("chunk", F.lit(LAST).alias("place"), F.col("places").alias("data"), "kept")
+    rows = data.withColumn("kept", F.lit(None).cast("binary")).unionByName(ends).repartition("chunk").sortWithinPartitions("chunk", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: list[bytes] = []
         for batch in batches:
-            for k in range(batch.num_rows):
-                docs, lengths, places, *lists = (c.slice(k, 1).flatten() for c in batch.columns)
-                if not len(docs):
-                    continue
-                places, lengths = places.to_numpy(), lengths.to_numpy()
-                gathered = [_gathered(*(_lists(x) if len(x) else (np.zeros(0, np.int32), np.zeros(1, np.int64))), places, lengths) for x in lists]
-                for low in range(0, len(docs), ROWS):
-                    part = docs.slice(low, ROWS)
-                    made = make([list(itertools.islice(g, len(part))) for g in gathered])
-                    yield pa.RecordBatch.from_arrays([*part.flatten(), *made], [*kept.names, *added.names])
+            of_place = batch.column(1).to_numpy()
+            values, start = batch.column(2), 0
+            for k in np.flatnonzero(of_place == LAST).tolist():
+                units += values.slice(start, k - start).to_pylist()
+                start = k + 1
+                own, places = _unpacked(batch.column(3)[k].as_py()), _unpacked(values[k].as_py()).column(0).to_numpy()
+                lengths = own.column(own.num_columns - 1).to_numpy()
+                made, upto, units = make(units), np.append(0, np.cumsum(lengths)), []
+                for low in range(0, own.num_rows, ROWS):
+                    to = min(own.num_rows, low + ROWS)
+                    yield pa.RecordBatch.from_arrays([*[c.slice(low, to - low) for c in own.columns[:-1]], *made(places[upto[low] : upto[to]], lengths[low:to])], [*kept.names, *added.names])
+            units += values.slice(start).to_pylist()
+
+    return rows.mapInArrow(run, StructType([*kept.fields, *added.fields]))
 
-    return with_lists.select("docs", "lengths", "places", *values).mapInArrow(run, StructType([*kept.fields, *added.fields]))
+
+def _flat(units: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All units' values one behind the other, and where each begins."""
+    flat = np.frombuffer(b"".join(units), dtype=dtype)
+    return flat, np.append(0, np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))) // flat.itemsize
 
 
 def _kept(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return docs.select([F.col(f"`{c}`") for c in columns])
 
 
+def _words(docs: DataFrame, tokenizer_path: str, columns: Sequence[str], text_col: str) -> DataFrame:
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], whole_text(text_col).alias("__text"))
+    return _chunks(rows, _split(tokenizer_path), StringType(), scratch(docs.sparkSession, "words"))
+
+
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """id, the kept columns, n_tokens and ids (array of int) of each row."""
     names = [id_col, *keep, "n_tokens", "ids"]
     if len(set(names)) < len(names):
         raise ValueError("kept columns must differ from the id, n_tokens and ids")
     kept = _kept(docs, [id_col, *keep]).schema
-    chunks = _chunks(docs.select(*[F.col(f"`{c}`") for c in kept.names], whole_text(text_col).alias("__text")), _split(tokenizer_path), StringType(), scratch(docs.sparkSession, "words"))
-    table = coded_words(chunks.select(F.explode("units").alias("word")), tokenizer_path)
+    chunks = _words(docs, tokenizer_path, kept.names, text_col)
+
+    def make(units: list[bytes]) -> Callable:
+        flat, starts = _flat(units, "<i4")
+
+        def rows(places: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+            ids = list(_gathered(flat, starts, places, lengths))
+            return [pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+
+        return rows
+
     added = StructType().add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
-    return _by_row(_with_lists(chunks, table, "word", ["ids"]), ["ids"], lambda g: [pa.array(map(len, g[0]), pa.int64()), pa.array(g[0], pa.list_(pa.int32()))], kept, added)
+    return _by_row(chunks, _coded(_listed(chunks), tokenizer_path), make, kept, added)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and text of each row of ids, by a join with the table of ids and pieces; null ids decode to the empty text, unknown ones to nothing."""
     kept = _kept(encoded, [id_col]).schema
     chunks = _chunks(encoded.select(F.col(f"`{id_col}`"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("__ids")), _ids_in, IntegerType(), scratch(encoded.sparkSession, "ids"))
-    known = F.broadcast(pieces(encoded.sparkSession, tokenizer_path))
-    every = chunks.select(F.explode("units").alias("id")).distinct().join(known, "id", "left").select("id", F.coalesce("piece", F.lit(b"")).alias("piece"))
-    added = StructType().add("text", "string")
-    return _by_row(_with_lists(chunks, every, "id", ["piece"]), ["piece"], lambda g: [pa.array([x.tobytes().decode("utf-8", "replace") for x in g[0]], pa.string())], kept, added)
+    known = byte_pieces(tokenizer_path)
+    table = encoded.sparkSession.createDataFrame(pa.table({"unit": pa.array(range(len(known)), pa.int32()), "data": pa.array(known, pa.binary())}))
+    data = _listed(chunks).join(F.broadcast(table), "unit", "left").select("chunk", "place", F.coalesce("data", F.lit(b"")).alias("data"))
+
+    def make(units: list[bytes]) -> Callable:
+        flat, starts = _flat(units, "u1")
+        return lambda places, lengths: [pa.array([x.tobytes().decode("utf-8", "replace") for x in _gathered(flat, starts, places, lengths)], pa.string())]
+
+    return _by_row(chunks, data, make, kept, StructType().add("text", "string"))
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the text decoded from them."""
     kept = _kept(docs, [id_col]).schema
-    chunks = _chunks(docs.select(F.col(f"`{id_col}`"), whole_text(text_col).alias("__text")), _split(tokenizer_path), StringType(), scratch(docs.sparkSession, "words"))
-    table = coded_words(chunks.select(F.explode("units").alias("word")), tokenizer_path)
+    chunks = _words(docs, tokenizer_path, kept.names, text_col)
+
+    def make(units: list[bytes]) -> Callable:
+        known = held(byte_pieces, tokenizer_path)
+        digits = [b"%d," % i for i in range(len(known))]
+        ids = [np.frombuffer(u, dtype="<i4").tolist() for u in units]
+        # Of each distinct word once: its ids in digits and its bytes. A text's are theirs, one behind the other.
+        written, texts = (_flat([b"".join(map(table.__getitem__, x)) for x in ids], "u1") for table in (digits, known))
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+
+        def rows(places: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+            ends = np.append(0, np.cumsum(lengths))
+            upto = np.append(0, np.cumsum(n_ids[places]))
+            of_ids = [hashlib.sha256(x.tobytes()[:-1]).hexdigest() for x in _gathered(*written, places, lengths)]
+            of_text = [hashlib.sha256(x.tobytes().decode("utf-8", "replace").encode()).hexdigest() for x in _gathered(*texts, places, lengths)]
+            return [pa.array(np.diff(upto[ends]), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
 
-    def make(gathered: list[list[np.ndarray]]) -> list[pa.Array]:
-        ids, texts = gathered
-        of_ids = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
-        of_text = [hashlib.sha256(x.tobytes().decode("utf-8", "replace").encode()).hexdigest() for x in texts]
-        return [pa.array(map(len, ids), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        return rows
 
     added = StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return _by_row(_with_lists(chunks, table, "word", ["ids", "bytes"]), ["ids", "bytes"], make, kept, added)
+    return _by_row(chunks, _coded(_listed(chunks), tokenizer_path), make, kept, added)
 
 
 def counts(docs: DataFrame, tokenizer_path: str, text_col: str, keep: Sequence[str]) -> DataFrame:
