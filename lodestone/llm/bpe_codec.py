@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructType
 from tokenizers import Tokenizer
 
-from lodestone.llm.byte_words import COLUMNS, PLAIN, byte_level_words
+from lodestone.llm.byte_words import COLUMNS, PLAIN, byte_level_words, check_format
 from lodestone.llm.common import held, scratch, whole_text
 
 #: Distinct words that a task keeps from one batch to the next. Bounds memory, never results.
@@ -73,6 +73,8 @@ class WordTable:
 
     def __init__(self, path: str, split: Callable[[str, dict[str, int]], list[str]] = byte_level_words):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
+        with open(path) as f:
+            check_format(json.load(f), split)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

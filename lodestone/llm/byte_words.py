@@ -46,6 +46,18 @@ def white_dropped_words(text: str, specials: dict[str, int]) -> list[str]:
     return WHITE_DROPPED.findall(text.lower() if text.isascii() and "<|" not in text else text)
 
 
+def check_format(spec: dict, split) -> None:
+    """Raises a ValueError unless the vocabulary file splits texts as `split` takes for granted."""
+    steps, special = spec["pre_tokenizer"] or {}, [x["content"] for x in spec["added_tokens"]]
+    if split is byte_level_words:
+        fine = spec["normalizer"] is None and steps.get("type") == "ByteLevel" and steps.get("use_regex") and not steps.get("add_prefix_space")
+    else:
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        fine = kinds[-1:] == ["Lowercase"] and [x["type"] for x in steps.get("pretokenizers", [])] == ["Split", "ByteLevel"] and steps["pretokenizers"][0]["behavior"] == "Removed"
+    if not fine or spec["model"]["type"] != "BPE" or not all("<|" in x for x in special):
+        raise ValueError("the vocabulary file isn't of the format that this way of splitting knows")
+
+
 #: How byte-level models write the space and the two bytes of each letter beyond ASCII: bytes 128 to 160 and 173 as 256 + 34 on.
 AS_BYTES = {32: "\u0120"} | {c: "\u00c3" + (chr(x + 162) if (x := (c & 63) + 128) < 161 else "\u0143" if x == 173 else chr(x)) for c in range(0xC0, 0x100)}
 PLAIN_WORD = re.compile(f" ?[{LETTERS}]+")

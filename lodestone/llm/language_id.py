@@ -188,5 +188,5 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, held_out, lang_pred, score and margin of each row, with prototypes learnt from the rows that aren't held out."""
-    languages, prototypes = learn(docs.where(~held_out(id_col)), text_col, lang_col)
+    languages, prototypes = learn(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()), text_col, lang_col)
     return predict(docs, languages, prototypes, [F.col(id_col), held_out(id_col).alias("held_out")], text_col)

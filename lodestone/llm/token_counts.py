@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.byte_words import BYTE_LEVEL, WHITE_CHARS, byte_level_words
+from lodestone.llm.byte_words import BYTE_LEVEL, WHITE_CHARS, byte_level_words, check_format
 from lodestone.llm.common import held
 
 #: How many solved words a task keeps; then it starts anew. Bounds memory, never results.
@@ -35,6 +35,10 @@ ROWS = 512
 #: Prefixes up to this many bytes are kept for other words that share them.
 KEPT_PREFIX = 24
 
+#: Two numbers are packed in one: a token's number takes the low bits.
+BITS = 24
+LOW = (1 << BITS) - 1
+
 #: The pre-tokenizer's pattern inside a word (a fixed value of the vocabulary's format).
 INSIDE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
@@ -55,6 +59,9 @@ class PrefixTable:
     def __init__(self, path: str):
         with open(path) as f:
             spec = json.load(f)
+        check_format(spec, byte_level_words)
+        if len(spec["model"]["merges"]) + 256 > LOW:
+            raise ValueError(f"at most {LOW} tokens")
         alphabet = byte_alphabet()
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.number = {bytes([i]): i for i in range(256)}
@@ -93,7 +100,7 @@ class PrefixTable:
                 before, left = left, self.halves[left][1]
             else:
                 before, right = right + 1, self.halves[right][0]
-        self.fits[a << 16 | b] = ok
+        self.fits[a << BITS | b] = ok
         return ok
 
     def solve(self, piece: bytes) -> list[int]:
@@ -104,15 +111,15 @@ class PrefixTable:
         counts, last, number, states, fits = [0], [-1], self.number, self.states, self.fits
         for end in range(1, len(piece) + 1):
             if end <= KEPT_PREFIX and (state := states.get(prefix := piece[:end])) is not None:
-                counts.append(state >> 16)
-                last.append(state & 65535)
+                counts.append(state >> BITS)
+                last.append(state & LOW)
                 continue
             for start in range(end - 1, end - self.longest - 1 if end > self.longest else -1, -1):
-                if (token := number.get(piece[start:end])) is not None and (not start or (ok if (ok := fits.get(last[start] << 16 | token)) is not None else self.compatible(last[start], token))):
+                if (token := number.get(piece[start:end])) is not None and (not start or (ok if (ok := fits.get(last[start] << BITS | token)) is not None else self.compatible(last[start], token))):
                     counts.append(counts[start] + 1)
                     last.append(token)
                     if end <= KEPT_PREFIX:
-                        states[prefix] = counts[-1] << 16 | token
+                        states[prefix] = counts[-1] << BITS | token
                     break
         return counts
 
