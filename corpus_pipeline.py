@@ -30,13 +30,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     doc_id bars a row from teaching, not from being kept. With no labelled row nothing is learnt and all rows go; an empty table
     gives none. Judged rows are written once, as the cut-offs need all scores before the first row is kept.
     """
-    languages, prototypes = language_id.learn(docs.where(~language_id.held_out()))
+    languages, prototypes = language_id.learn(docs.where(~language_id.held_out() & F.col("doc_id").isNotNull()))
     own = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # free of clashes with the prediction's columns
     inner = docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()])
     folder = scratch(spark, "language")
     language_id.predict(inner, languages, prototypes, list(own.values()), text_col=own["text"]).withColumn("letters", language_id.length_class(F.col(own["text"]))).write.parquet(folder)
     judged = spark.read.parquet(folder)
-    taught = ~language_id.held_out(own["doc_id"]) & (F.col(own["lang"]).cast("string") == F.col("lang_pred"))
+    taught = F.col(own["doc_id"]).isNotNull() & ~language_id.held_out(own["doc_id"]) & (F.col(own["lang"]).cast("string") == F.col("lang_pred"))
     cuts = language_id.cutoffs(judged, taught, "letters")
     return judged.where(language_id.accepted(cuts, "letters")).select([F.col(n).alias(c) for c, n in own.items()])
 
