@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as s
 from lodestone.operators import catalogue, discovery, folds, joins, metrics, rules, scoring, views
+from lodestone.operators.common import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -532,8 +531,8 @@ def stream_latest(spark, d):
 
 
 def _scratch(spark: SparkSession, name: str) -> tuple[str, str]:
-    """Folders for a stream's rows and state, in the session's shared folder; a temporary one only where that is unset."""
+    """Folders for a stream's rows and state, in the session's shared folder."""
     import uuid
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
+    base = shared_folder(spark)
     return f"{base}/stream-{name}-{(own := uuid.uuid4().hex)}", f"{base}/state-{name}-{own}"
