@@ -217,3 +217,14 @@ def escaped(text: Column) -> Column:
     for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(mark), F.lit(name))
     return out
+
+
+def redacted(text: Column) -> Column:
+    """Text without what looks like an access token (fixed values: the shapes of keys)."""
+    return F.regexp_replace(F.regexp_replace(text, "sk-[A-Za-z0-9_-]{16,}", "[redacted]"), "gh[pousr]_[A-Za-z0-9]{20,}", "[redacted]")
+
+
+def stable_json(fields: dict[str, Column]) -> Column:
+    """A JSON object with its fields in order of name, nulls among them."""
+    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(F.regexp_extract(F.to_json(F.struct(v.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1), F.lit("null"))) for k, v in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array(*parts), lambda p: F.regexp_replace(p, ":$", ":null")), ","), F.lit("}"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import log_likelihood
+
 
 def auc(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """The Mann-Whitney statistic, ties one half; null when a class is empty. weight counts a row so many times.
@@ -41,9 +43,22 @@ def reliability(rows: DataFrame, p: Column, positive: Column, bins: int = 10) ->
 
 
 def quantiles(rows: DataFrame, x: str, qs: list[float]) -> DataFrame:
-    """Exact, with linear interpolation at (n - 1) q."""
-    found = rows.agg(F.percentile(x, F.array(*map(F.lit, qs))).alias("v"))
-    return found.select(F.inline(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("v").alias("v")))).toDF("q", "v")
+    """Exact, with linear interpolation at (n - 1) q.
+
+    Distinct values are counted and numbered in ranges that are set end to end, so no task holds all of them.
+    """
+    counts = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).withColumn("upto", F.sum("n").over(within))
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("sum"))
+    ahead = sums.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a range
+    total = sums.agg(F.sum("sum").alias("total"))
+    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), ((F.col("total") - 1) * q).alias("at")) for q in qs])
+    placed = dealt.join(F.broadcast(ahead), "part").select("v", (F.col("ahead") + F.col("upto") - F.col("n")).alias("low"), (F.col("ahead") + F.col("upto") - 1).alias("high"))
+    asked = placed.join(F.broadcast(total)).select("v", "low", "high", F.inline(wanted))  # one row of totals
+    near = asked.where((F.col("low") <= F.ceil("at")) & (F.col("high") >= F.floor("at")))
+    share = F.col("at") - F.floor("at")
+    return near.groupBy("q", "at").agg(F.min("v").alias("a"), F.max("v").alias("b")).select("q", (F.col("a") + (F.col("b") - F.col("a")) * share).alias("v"))
 
 
 def likelihood_ratio(rows: DataFrame, hit: Column, positive: Column) -> DataFrame:
@@ -124,10 +139,18 @@ def base_rate_shift(uniform: DataFrame, score: str, positive: Column, b: float,
     return (low + high) / 2
 
 
-def platt(rows: DataFrame, score: str, positive: Column, rounds: int = 50) -> tuple[float, float]:
-    """a and b of sigmoid(a + b * score) by Newton steps; each round is one aggregation of five sums over distinct scores."""
+def platt(rows: DataFrame, score: str, positive: Column, rounds: int = 50, halvings: int = 30) -> tuple[float, float]:
+    """a and b of sigmoid(a + b * score) by Newton steps from (0, 0.5) with a small ridge; a step is halved until the fit gets no worse.
+
+    Each round is two aggregations over distinct scores: five sums, and the likelihoods at all halved steps at once.
+    """
     counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("n")).cache()
     a, b, ridge = 0.0, 0.5, 1e-6
+
+    def fit(x: float, y: float) -> Column:
+        z = F.lit(x) + F.lit(y) * F.col("s")
+        return F.sum(F.col("p") * log_likelihood(z, F.lit(True)) + (F.col("n") - F.col("p")) * log_likelihood(z, F.lit(False))) - ridge / 2 * (x * x + y * y)
+
     for _ in range(rounds):
         q = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("s"))))
         g = F.col("p") - F.col("n") * q
@@ -138,9 +161,11 @@ def platt(rows: DataFrame, score: str, positive: Column, rounds: int = 50) -> tu
         g0, g1, h0, h1, h2 = r["g0"] - ridge * a, r["g1"] - ridge * b, r["h0"] + ridge, r["h1"], r["h2"] + ridge
         det = h0 * h2 - h1 * h1
         da, db = (h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det
-        size = max(abs(da), abs(db), 1e-300)
-        a, b = a + da * min(1, 4 / size), b + db * min(1, 4 / size)
-        if size < 1e-10:
+        sizes = [0.5**k for k in range(halvings)]
+        fits = counts.agg(fit(a, b).alias("now"), *[fit(a + da * t, b + db * t).alias(f"f{k}") for k, t in enumerate(sizes)]).first()
+        step = next((t for k, t in enumerate(sizes) if fits[f"f{k}"] >= fits["now"] - 1e-12), 0.0)
+        a, b = a + da * step, b + db * step
+        if max(abs(da), abs(db)) * step < 1e-10:
             break
     counts.unpersist()
     return a, b

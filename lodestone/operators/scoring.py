@@ -34,10 +34,10 @@ def signal_rows(rows: DataFrame, id_col: str, signals: list[Signal]) -> DataFram
 
 
 def points(signals: DataFrame, id_col: str) -> DataFrame:
-    """id, points, points_max and coverage. Of the penalties of one group only the worst counts. Two aggregations on one key: one shuffle."""
+    """id, points, points_max and coverage. Of the penalties of one group only the worst counts. Rows of an id are brought together once; both aggregations use that."""
     counted = F.coalesce("grp", F.concat(F.lit("="), "signal"))
     ok = F.col("status") == "ok"
-    by_group = signals.groupBy(id_col, counted.alias("counted")).agg(
+    by_group = signals.repartition(id_col).groupBy(id_col, counted.alias("counted")).agg(
         F.min(F.when(ok & F.col("hit"), F.col("weight"))).alias("own"),
         F.sum(F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)).alias("most"),
         F.sum(F.when(ok, F.abs("weight")).otherwise(0.0)).alias("known"),

@@ -29,6 +29,28 @@ def facet_counts(rows: DataFrame, facets: dict[str, tuple[Column, Column]]) -> D
     return rows.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def matching(text: Column | None = None, query: str = "", equal: dict[str, tuple[Column, list]] | None = None, at_most: dict[str, tuple[Column, float]] | None = None, evidence: tuple[Column, list[str]] | None = None, skip: str = "") -> Column:
+    """The conjunction of a view's filters: all terms of a query, values among lists, upper bounds, and chips that must all be hit; skip names one group to leave out."""
+    parts = []
+    if text is not None and skip != "query":
+        parts.append(all_terms(text, query))
+    parts += [x.isin(values) for k, (x, values) in (equal or {}).items() if k != skip and values]
+    parts += [x <= top for k, (x, top) in (at_most or {}).items() if k != skip]
+    if evidence and skip != "evidence":
+        parts += [has_evidence(evidence[0], name) for name in evidence[1]]
+    return reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), parts, F.lit(True))
+
+
+def has_evidence(chips: Column, name: str) -> Column:
+    """Whether a chip (struct(id, status, hit)) of this name is known and hit."""
+    return F.coalesce(F.exists(chips, lambda c: (c["id"] == name) & (c["status"] == "ok") & c["hit"]), F.lit(False))
+
+
+def step_counts(rows: DataFrame, x: Column, steps: list[float], others: Column) -> DataFrame:
+    """step and n: rows at or under each step that pass the other filters; steps hold what lower ones hold."""
+    return shelf_counts(rows.where(F.coalesce(others, F.lit(False))), {f"{s:g}": x <= s for s in steps})
+
+
 def shelf_counts(rows: DataFrame, shelves: dict[str, Column]) -> DataFrame:
     """shelf and n, zero for empty shelves: one aggregation, then a row a shelf."""
     counts = rows.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in shelves.items()])

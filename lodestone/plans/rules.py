@@ -429,3 +429,96 @@ def quarantined_union(spark, d):
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
     records = c.where(F.col("id") % 3 == 0).select("id", F.lit("record").alias("origin"))
     return records.unionByName(c.where("c_acctbal < 0").join(records.select("id"), "id", "left_anti").select("id", F.lit("candidate").alias("origin")))
+
+
+_DRESSED = "CASE WHEN NOT positive THEN 1 + 1 + 2 + 1 ELSE (n_chars >= 1000)::INT + contains(text, ',')::INT + 2 * coalesce(lang = 'en', false)::INT + (n_chars >= 5000)::INT END + 3 * contains(text, '.')::INT + CASE WHEN contains(text, '|') THEN -2 WHEN contains(text, '@') THEN -1 ELSE 0 END - (n_chars < 200)::INT"
+
+
+@query(f"""WITH l AS (SELECT positive, ({_DRESSED})::DOUBLE AS s FROM (SELECT *, quality = 1 AS positive FROM labels JOIN documents USING (doc_id))), c AS (SELECT s, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM l GROUP BY s),
+b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c) SELECT round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 9)::DOUBLE AS auc FROM b""")
+def dressed_auc(spark, d):
+    """How well points tell rows apart once the others have put on all cheap signals."""
+    from lodestone.operators import metrics, scoring
+    from lodestone.plans.tables import _signals
+
+    cheap = {"long", "marks", "english", "very_long"}
+    rows = t(spark, d, "labels").join(t(spark, d, "documents"), "doc_id").withColumn("positive", F.col("quality") == 1)
+    dressed = [scoring.Signal(x.name, x.weight, F.when(F.col("positive"), x.rule).otherwise(True) if x.name in cheap else x.rule, x.group) for x in _signals()]
+    return metrics.auc(rows.withColumn("points", scoring.points_in_row(dressed)), "points", F.col("positive")).withColumn("auc", F.round("auc", 9))
+
+
+_HITS = {"long": "n_chars >= 1000", "marks": "contains(text, ',')", "mail": "contains(text, '@')", "short": "n_chars < 200"}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{k}' AS signal, count(*) FILTER (h AND y) AS tp, count(*) FILTER (h AND NOT y) AS fp, count(*) FILTER (NOT h AND y) AS fn, count(*) FILTER (NOT h AND NOT y) AS tn FROM (SELECT {e} AS h, quality = 1 AS y FROM labels JOIN documents USING (doc_id))""" for k, e in _HITS.items()))
+def signal_table(spark, d):
+    """Hits against labels for each signal, in one pass."""
+    rows = t(spark, d, "labels").join(t(spark, d, "documents"), "doc_id").withColumn("y", F.col("quality") == 1)
+    hits = {"long": F.col("n_chars") >= 1000, "marks": F.contains("text", F.lit(",")), "mail": F.contains("text", F.lit("@")), "short": F.col("n_chars") < 200}
+    each = rows.select("y", F.inline(F.array(*[F.struct(F.lit(k).alias("signal"), h.alias("h")) for k, h in hits.items()])))
+    y, h = F.col("y"), F.col("h")
+    return each.groupBy("signal").agg(F.count_if(h & y).alias("tp"), F.count_if(h & ~y).alias("fp"), F.count_if(~h & y).alias("fn"), F.count_if(~h & ~y).alias("tn"))
+
+
+@query("""SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e') AND p_brand IN ('Brand#1', 'Brand#11', 'Brand#12', 'Brand#21') AND p_size <= 30 AND p_retailprice >= 950""")
+def view_filter(spark, d):
+    """A query, a list, a bound and evidence at once."""
+    chips = F.array(F.struct(F.lit("dear").alias("id"), F.lit("ok").alias("status"), (F.col("p_retailprice") >= 950).alias("hit")))
+    keep = views.matching(F.col("p_name"), "e", {"brand": (F.col("p_brand"), ["Brand#1", "Brand#11", "Brand#12", "Brand#21"])}, {"size": (F.col("p_size"), 30)}, (chips, ["dear"]))
+    return t(spark, d, "part").where(keep).select("p_partkey")
+
+
+@query("SELECT shelf::VARCHAR AS shelf, count(p_partkey) AS n FROM (VALUES (10), (25), (40)) v(shelf) LEFT JOIN part ON p_size <= shelf AND p_retailprice <= 1200 GROUP BY 1")
+def step_counts(spark, d):
+    """Cumulative steps under the other filters."""
+    return views.step_counts(t(spark, d, "part"), F.col("p_size"), [10, 25, 40], F.col("p_retailprice") <= 1200)
+
+
+@query("SELECT p_brand AS family, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, family LIMIT 10")
+def families(spark, d):
+    return t(spark, d, "part").groupBy(F.col("p_brand").alias("family")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "family").limit(10)
+
+
+@query("SELECT event_id, regexp_replace(regexp_replace('key=sk-' || md5(event_id::VARCHAR) || ' ' || event_type, 'sk-[A-Za-z0-9_-]{16,}', '[redacted]', 'g'), 'gh[pousr]_[A-Za-z0-9]{20,}', '[redacted]', 'g') AS line FROM events")
+def redaction(spark, d):
+    """Tokens don't reach a log."""
+    line = F.concat(F.lit("key=sk-"), F.md5(F.col("event_id").cast("string").cast("binary")), F.lit(" "), "event_type")
+    return t(spark, d, "events").select("event_id", s.redacted(line).alias("line"))
+
+
+@query("""SELECT event_id, event_type, user_id FROM events WHERE event_id % 10 <> 0 AND event_type IN ('view', 'purchase')""")
+def event_extract(spark, d):
+    """Typed fields of log lines of the wanted kinds; lines that aren't such JSON are counted out."""
+    from lodestone.sources import events_log
+
+    e = t(spark, d, "events").select("event_id", "event_type", "user_id")
+    text = F.to_json(F.struct("event_id", "event_type", "user_id"))
+    lines = e.select(F.when(F.col("event_id") % 10 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value")).where(F.contains("value", F.lit('"view"')) | F.contains("value", F.lit('"purchase"')) | (F.length("value") <= 20))
+    found = events_log.parsed(lines, e.schema)
+    return found.where(F.col("bad").isNull() & F.col("event_type").isin("view", "purchase")).drop("bad")
+
+
+@query("SELECT doc_id, '{\"lang\":' || coalesce('\"' || lang || '\"', 'null') || ',\"n\":' || n_chars || '}' AS key FROM documents")
+def stable_json(spark, d):
+    """Objects with their fields in order of name, nulls and all."""
+    return t(spark, d, "documents").select("doc_id", s.stable_json({"n": F.col("n_chars"), "lang": F.col("lang")}).alias("key"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS events, (SELECT count(DISTINCT user_id) FROM events) AS users FROM events GROUP BY user_id")
+def run_counters(spark, d):
+    """Counts by stage, with the number of units in the same pass over the log."""
+    by = t(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("event_type") == "purchase").alias("done"), F.count(F.lit(1)).alias("events"))
+    return by.join(F.broadcast(by.agg(F.count(F.lit(1)).alias("users"))))  # one row of totals
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND year(o_orderdate) = 1996 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 4)""")
+def list_filter(spark, d):
+    """By states, by day, by a list of ids."""
+    ids = t(spark, d, "customer").where("c_nationkey = 4").select(F.col("c_custkey").alias("o_custkey"))
+    return t(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "P") & (F.year("o_orderdate") == 1996)).join(ids, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("SELECT user_id, count(*) AS calls, round(sum(round_even(value, 2)::DECIMAL(18, 2)), 2)::DOUBLE AS cost, max(ts) AS last_at FROM events GROUP BY user_id ORDER BY calls DESC, user_id LIMIT 20")
+def status_counts(spark, d):
+    by = t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.bround("value", 2).cast("decimal(18,2)")).cast("double").alias("cost"), F.max("ts").alias("last_at"))
+    return by.orderBy(F.desc("calls"), "user_id").limit(20)
