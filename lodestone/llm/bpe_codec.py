@@ -1,13 +1,14 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Texts are split into words in chunks of up to 16 MB. A chunk lists each of its distinct words once and keeps, for each occurrence,
-the word's place in that list, compressed; both are written to the shared folder. The lists' words are brought together by a
-shuffle, so that each distinct word of the corpus is met by one task, which encodes it once and gives its ids to all (chunk,
-place) that hold it. A second shuffle brings a chunk's ids together in order of place, with its occurrences behind them: the ids
-of its texts are a gather by position. Decoding looks ids up in the table of ids and pieces, which the vocabulary bounds, once
-for each of the list, and gathers their bytes likewise. `decode` does the same for ids from elsewhere.
+Texts are split into words in chunks of up to 16 MB. A chunk lists each of its distinct words once, in parts by a hash of the word,
+and keeps, for each occurrence, the word's place in the list. Both are packed and written to the shared folder, bucketed by chunk.
+A shuffle brings the parts of one hash together, so that each distinct word of the corpus is met by one task, which encodes it
+once (unless over KEPT_WORDS of them meet there) and answers every part with its words' ids, in their order. A second shuffle
+brings the answers of a chunk together, and they are joined with its occurrences, which stay where they were written: the ids of
+its texts are a gather by position. Decoding looks ids up in the table of ids and pieces, which the vocabulary bounds, once for
+each of the list, and gathers their bytes likewise. `decode` does the same for ids from elsewhere.
 
-Occurrences are never rows of a shuffle: rows are the distinct words of each chunk, and one for each chunk.
+Shuffled are packed lists of the distinct words of each chunk and their ids, never occurrences.
 
 Defined cases: a null text counts as empty and has no ids. Special strings inside a text become their special ids, as the
 library does by default, and decode to themselves. Very long texts are whole, in a chunk of their own. Repeated rows give repeated
@@ -20,6 +21,7 @@ import hashlib
 import itertools
 import json
 import os
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -28,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer
 
 from lodestone.llm.byte_words import COLUMNS, PLAIN, byte_level_words, check_format
-from lodestone.llm.common import held, scratch, whole_text
+from lodestone.llm.common import held, scratch, tasks, whole_text
 
 #: Distinct words that a task keeps from one batch to the next. Bounds memory, never results.
 KEPT_WORDS = 250_000
@@ -40,8 +42,6 @@ KEPT_WORDS = 250_000
 ROWS = 512
 #: Bytes and rows of text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 20_000
-#: Stands behind all places: the row of a chunk's occurrences comes after its units.
-LAST = (1 << 31) - 1
 
 
 def byte_pieces(path: str) -> list[bytes]:
@@ -175,13 +175,13 @@ def _unpacked(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
-def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], unit: DataType, folder: str) -> DataFrame:
-    """chunk, units (each distinct one once), and occurrences: a packed batch of the places of all its rows' units, and one of its rows.
+def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], key: Callable, name: str) -> DataFrame:
+    """chunk, lists (packed parts of its distinct units, by key), kept (packed: its rows, and how many units each has) and places (packed, of all its rows' units).
 
-    rows: kept columns, then what is cut into units. A chunk's rows are its kept columns and how many units each has. Written to the
-    shared folder, as two later steps read it.
+    rows: kept columns, then what is cut into units. The table is bucketed by chunk, so that what is joined with it comes to it.
     """
-    most = CHUNK_BYTES
+    spark, most = rows.sparkSession, CHUNK_BYTES
+    parts = max(16, tasks(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
@@ -191,15 +191,22 @@ def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndar
             for low, to in itertools.pairwise(_cuts(sizes.to_numpy(zero_copy_only=False), most)):
                 part = batch.slice(low, to - low)
                 coded, lengths = units(part.column(part.num_columns - 1))
+                of = np.fromiter(map(key, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary)) % parts
+                order = np.argsort(of, kind="stable")
+                place = np.empty(len(order), dtype=np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                listed, bounds = coded.dictionary.take(pa.array(order)), np.searchsorted(of[order], np.arange(parts + 1))
+                lists = [_packed([listed.slice(x, y - x)], ["units"]) if y > x else None for x, y in itertools.pairwise(bounds.tolist())]
                 kept = _packed([*part.columns[:-1], pa.array(lengths, pa.int64())], [str(k) for k in range(part.num_columns)])
-                places = _packed([coded.indices.cast(pa.int32())], ["places"])
-                listed = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), listed, pa.array([kept], pa.binary()), pa.array([places], pa.binary())], ["chunk", "units", "kept", "places"])
+                places = _packed([pa.array(place[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32))], ["places"])
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([lists], pa.list_(pa.binary())), pa.array([kept], pa.binary()), pa.array([places], pa.binary())], ["chunk", "lists", "kept", "places"])
                 at += 1
 
-    schema = StructType().add("chunk", LongType()).add("units", ArrayType(unit)).add("kept", BinaryType()).add("places", BinaryType())
-    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
-    return rows.sparkSession.read.schema(schema).parquet(folder)
+    folder = scratch(spark, name)
+    table = "lodestone_" + folder.rsplit("-", 1)[-1]
+    packed = rows.mapInArrow(run, "chunk long, lists array<binary>, kept binary, places binary")
+    packed.write.option("path", folder).option("compression", "none").bucketBy(tasks(spark), "chunk").saveAsTable(table)
+    return spark.table(table)
 
 
 def _split(tokenizer_path: str) -> Callable[[pa.Array], tuple[pa.Array, np.ndarray]]:
@@ -220,26 +227,40 @@ def _ids_in(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
 
 
-def _listed(chunks: DataFrame) -> DataFrame:
-    """chunk, place and unit of each chunk's list."""
-    return chunks.select("chunk", F.posexplode("units").alias("place", "unit"))
+def _answers(chunks: DataFrame, answer: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """chunk and answers (part and data, in order): each part of the chunks' lists with what `answer` gives of its units, packed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = answer()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = of(_unpacked(batch.column(2)[k].as_py()).column(0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([_packed([found], ["data"])], pa.binary())], ["chunk", "part", "data"])
 
-def _coded(listed: DataFrame, tokenizer_path: str) -> DataFrame:
-    """chunk, place and data (ids as 32-bit numbers) of listed words. A word's rows lie together in one task, so it is encoded once."""
+    parts = chunks.select("chunk", F.posexplode("lists").alias("part", "data")).where("data IS NOT NULL").repartition("part")
+    given = parts.mapInArrow(run, "chunk long, part int, data binary")
+    return given.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("answers"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _word_ids(tokenizer_path: str) -> Callable[[], Callable[[pa.Array], pa.Array]]:
+    """Lists of ids of words; a task keeps the words that it has encoded."""
+
+    def start() -> Callable[[pa.Array], pa.Array]:
         table = word_tables(tokenizer_path)
-        before, ids = None, b""
-        for batch in (b.slice(k, ROWS * 8) for b in batches for k in range(0, b.num_rows, ROWS * 8)):
-            coded = batch.column(2).dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            known = [ids] if words and words[0] == before else []
-            known += [np.array(x, dtype="<i4").tobytes() for x in table.ids_of(words[len(known) :])]
-            before, ids = words[-1], known[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.binary()).take(coded.indices)], ["chunk", "place", "data"])
+        table.forget()
 
-    return listed.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "chunk long, place int, data binary")
+        def answer(words: pa.Array) -> pa.Array:
+            if len(table.place) > KEPT_WORDS:
+                table.forget()
+            at = table.places(words.to_pylist())
+            lengths = table.starts[at + 1] - table.starts[at]
+            upto = np.append(0, np.cumsum(lengths))
+            ids = table.flat[np.repeat(table.starts[at] - upto[:-1], lengths) + np.arange(upto[-1])]
+            return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.uint16 if table.n_ids <= 65_536 else np.int32)))
+
+        return answer
+
+    return start
 
 
 def word_table(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
@@ -272,37 +293,37 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, places: np.ndarray, lengths:
         yield from (out[x:y] for x, y in itertools.pairwise(bounds))
 
 
-def _by_row(chunks: DataFrame, data: DataFrame, make: Callable[[list[bytes]], Callable], kept: StructType, added: StructType) -> DataFrame:
+def _by_row(chunks: DataFrame, answers: DataFrame, make: Callable[[pa.Array], Callable], kept: StructType, added: StructType) -> DataFrame:
     """A row for each row of the chunks: its kept columns, and what make gives.
 
-    data: chunk, place, data. make(units' data in order of place) gives a function of (places, lengths) of some rows that gives arrays.
+    make(the answers on the chunk's units, in order of place) gives a function of (places, lengths) of some rows that gives arrays.
     """
-    ends = chunks.select("chunk", F.lit(LAST).alias("place"), F.col("places").alias("data"), "kept")
-    rows = data.withColumn("kept", F.lit(None).cast("binary")).unionByName(ends).repartition("chunk").sortWithinPartitions("chunk", "place")
+    joined = chunks.select("chunk", "kept", "places").join(answers, "chunk", "left").select("kept", "places", F.col("answers.data").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: list[bytes] = []
         for batch in batches:
-            of_place = batch.column(1).to_numpy()
-            values, start = batch.column(2), 0
-            for k in np.flatnonzero(of_place == LAST).tolist():
-                units += values.slice(start, k - start).to_pylist()
-                start = k + 1
-                own, places = _unpacked(batch.column(3)[k].as_py()), _unpacked(values[k].as_py()).column(0).to_numpy()
+            for k in range(batch.num_rows):
+                own, places = _unpacked(batch.column(0)[k].as_py()), _unpacked(batch.column(1)[k].as_py()).column(0).to_numpy()
+                found = [_unpacked(x.as_py()).column(0) for x in batch.column(2)[k].values or []] if batch.column(2)[k].is_valid else []
                 lengths = own.column(own.num_columns - 1).to_numpy()
-                made, upto, units = make(units), np.append(0, np.cumsum(lengths)), []
+                made, upto = make(pa.concat_arrays(found) if found else None), np.append(0, np.cumsum(lengths))
                 for low in range(0, own.num_rows, ROWS):
                     to = min(own.num_rows, low + ROWS)
                     yield pa.RecordBatch.from_arrays([*[c.slice(low, to - low) for c in own.columns[:-1]], *made(places[upto[low] : upto[to]], lengths[low:to])], [*kept.names, *added.names])
-            units += values.slice(start).to_pylist()
 
-    return rows.mapInArrow(run, StructType([*kept.fields, *added.fields]))
+    return joined.mapInArrow(run, StructType([*kept.fields, *added.fields]))
+
 
+def _flat(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All units' bytes one behind the other, and where each begins."""
+    return np.frombuffer(b"".join(units), dtype=np.uint8), np.append(0, np.cumsum(np.fromiter(map(len, units), np.int64, len(units))))
 
-def _flat(units: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """All units' values one behind the other, and where each begins."""
-    flat = np.frombuffer(b"".join(units), dtype=dtype)
-    return flat, np.append(0, np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))) // flat.itemsize
+
+def _ids_of(answers: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+    """All units' ids one behind the other, and where each begins."""
+    if answers is None:
+        return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+    return answers.flatten().to_numpy().astype(np.int32), np.append(0, np.cumsum(pc.list_value_length(answers).to_numpy()))
 
 
 def _kept(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -311,7 +332,7 @@ def _kept(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _words(docs: DataFrame, tokenizer_path: str, columns: Sequence[str], text_col: str) -> DataFrame:
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], whole_text(text_col).alias("__text"))
-    return _chunks(rows, _split(tokenizer_path), StringType(), scratch(docs.sparkSession, "words"))
+    return _chunks(rows, _split(tokenizer_path), lambda word: zlib.crc32(word.encode()), "words")
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -322,8 +343,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     kept = _kept(docs, [id_col, *keep]).schema
     chunks = _words(docs, tokenizer_path, kept.names, text_col)
 
-    def make(units: list[bytes]) -> Callable:
-        flat, starts = _flat(units, "<i4")
+    def make(answers: pa.Array | None) -> Callable:
+        flat, starts = _ids_of(answers)
 
         def rows(places: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
             ids = list(_gathered(flat, starts, places, lengths))
@@ -332,22 +353,24 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         return rows
 
     added = StructType().add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
-    return _by_row(chunks, _coded(_listed(chunks), tokenizer_path), make, kept, added)
+    return _by_row(chunks, _answers(chunks, _word_ids(tokenizer_path)), make, kept, added)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and text of each row of ids, by a join with the table of ids and pieces; null ids decode to the empty text, unknown ones to nothing."""
     kept = _kept(encoded, [id_col]).schema
-    chunks = _chunks(encoded.select(F.col(f"`{id_col}`"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("__ids")), _ids_in, IntegerType(), scratch(encoded.sparkSession, "ids"))
-    known = byte_pieces(tokenizer_path)
-    table = encoded.sparkSession.createDataFrame(pa.table({"unit": pa.array(range(len(known)), pa.int32()), "data": pa.array(known, pa.binary())}))
-    data = _listed(chunks).join(F.broadcast(table), "unit", "left").select("chunk", "place", F.coalesce("data", F.lit(b"")).alias("data"))
+    rows = encoded.select(F.col(f"`{id_col}`"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("__ids"))
+    chunks = _chunks(rows, _ids_in, int, "ids")
+
+    def pieces() -> Callable[[pa.Array], pa.Array]:
+        known = held(byte_pieces, tokenizer_path)
+        return lambda ids: pa.array([known[i] if 0 <= i < len(known) else b"" for i in ids.to_pylist()], pa.binary())
 
-    def make(units: list[bytes]) -> Callable:
-        flat, starts = _flat(units, "u1")
+    def make(answers: pa.Array | None) -> Callable:
+        flat, starts = _flat(answers.to_pylist() if answers is not None else [])
         return lambda places, lengths: [pa.array([x.tobytes().decode("utf-8", "replace") for x in _gathered(flat, starts, places, lengths)], pa.string())]
 
-    return _by_row(chunks, data, make, kept, StructType().add("text", "string"))
+    return _by_row(chunks, _answers(chunks, pieces), make, kept, StructType().add("text", "string"))
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,25 +378,25 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     kept = _kept(docs, [id_col]).schema
     chunks = _words(docs, tokenizer_path, kept.names, text_col)
 
-    def make(units: list[bytes]) -> Callable:
+    def make(answers: pa.Array | None) -> Callable:
         known = held(byte_pieces, tokenizer_path)
-        digits = [b"%d," % i for i in range(len(known))]
-        ids = [np.frombuffer(u, dtype="<i4").tolist() for u in units]
+        flat, starts = _ids_of(answers)
         # Of each distinct word once: its ids in digits and its bytes. A text's are theirs, one behind the other.
-        written, texts = (_flat([b"".join(map(table.__getitem__, x)) for x in ids], "u1") for table in (digits, known))
-        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        of_id = [_flat(x) for x in ([b"%d," % i for i in range(len(known))], known)]
+        written, texts = ((table := of_id[k], np.append(0, np.cumsum(np.diff(table[1])[flat]))[starts]) for k in (0, 1))
+        spelt = [(np.concatenate(list(_gathered(*table, flat, np.array([len(flat)])))) if len(flat) else np.zeros(0, np.uint8), bounds) for table, bounds in (written, texts)]
 
         def rows(places: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
             ends = np.append(0, np.cumsum(lengths))
-            upto = np.append(0, np.cumsum(n_ids[places]))
-            of_ids = [hashlib.sha256(x.tobytes()[:-1]).hexdigest() for x in _gathered(*written, places, lengths)]
-            of_text = [hashlib.sha256(x.tobytes().decode("utf-8", "replace").encode()).hexdigest() for x in _gathered(*texts, places, lengths)]
+            upto = np.append(0, np.cumsum(np.diff(starts)[places]))
+            of_ids = [hashlib.sha256(x.tobytes()[:-1]).hexdigest() for x in _gathered(*spelt[0], places, lengths)]
+            of_text = [hashlib.sha256(x.tobytes().decode("utf-8", "replace").encode()).hexdigest() for x in _gathered(*spelt[1], places, lengths)]
             return [pa.array(np.diff(upto[ends]), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
 
         return rows
 
     added = StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return _by_row(chunks, _coded(_listed(chunks), tokenizer_path), make, kept, added)
+    return _by_row(chunks, _answers(chunks, _word_ids(tokenizer_path)), make, kept, added)
 
 
 def counts(docs: DataFrame, tokenizer_path: str, text_col: str, keep: Sequence[str]) -> DataFrame:

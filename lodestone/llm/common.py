@@ -46,6 +46,7 @@ def clear_scratch(spark: SparkSession, since: int, keep: str) -> None:
             path = sc._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
             _SCRATCH.remove(folder)
+            spark.sql(f"DROP TABLE IF EXISTS lodestone_{folder.rsplit('-', 1)[-1]}")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -168,9 +168,11 @@ def test_codec_in_small_chunks(spark, monkeypatch):
     texts = ["", None, "one two one", "x" * 500, "  ", "naïve 漢字 <|endoftext|> one", "two\n\n", *[f"row {i % 7} of one" for i in range(300)]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     monkeypatch.setattr(bpe_codec, "CHUNK_BYTES", 60)
-    chunks = bpe_codec._chunks(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), bpe_codec._split(path), bpe_codec.StringType(), bpe_codec.scratch(spark, "t"))
+    chunks = bpe_codec._words(docs, path, ["doc_id"], "text")
     assert chunks.count() > 50 and chunks.select("chunk").distinct().count() == chunks.count()
-    assert all(len(set(r["units"])) == len(r["units"]) for r in chunks.collect())
+    for r in chunks.collect():
+        units = [u for x in r["lists"] if x for u in bpe_codec._unpacked(bytes(x)).column(0).to_pylist()]
+        assert len(set(units)) == len(units)
     encoded = bpe_codec.encode(docs, path)
     want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert {r["doc_id"]: r["ids"] for r in encoded.collect()} == want
