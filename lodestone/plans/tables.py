@@ -175,7 +175,14 @@ def feedback_fold_b(spark, d):
     return folds.without_undone(_feedback(spark, d), "at", "undoes", "user_id").select("seq", "user_id", "action")
 
 
-@query()
+_LAST = "(list_filter(st, lambda x: x.action IN ({})))[-1].action"
+
+
+@query(f"""WITH RECURSIVE {_FEEDBACK.replace('((event_id - (value::BIGINT % 40)) % 500)', '((event_id - (value::BIGINT % 40) + 500) % 500)')}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY user_id) AS last FROM f),
+r AS (SELECT user_id, 0::BIGINT AS k, last, []::STRUCT("at" BIGINT, action VARCHAR)[] AS st FROM o WHERE k = 1 UNION ALL
+SELECT user_id, k, last, CASE WHEN undoes IS NULL THEN list_append(st, {{'at': "at", 'action': action}}) WHEN len(st) = 0 THEN st ELSE list_concat(st[:i - 1], st[i + 1:]) END FROM
+(SELECT r.user_id, o.k, r.last, st, undoes, o."at", action, coalesce(list_max(list_filter(range(1, len(st) + 1), lambda j: st[j]."at" = undoes)), len(st)) AS i FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1))
+SELECT user_id, st[-1].action AS action, len(st)::BIGINT AS events_left, {_LAST.format("'purchase'")} AS bought, {_LAST.format("'click', 'view'")} AS moved FROM r WHERE k = last""")
 def feedback_fold_c(spark, d):
     return folds.stacked_actions(_feedback(spark, d), "user_id", "seq", "at", "action", "undoes", {"bought": ["purchase"], "moved": ["click", "view"]})
 
