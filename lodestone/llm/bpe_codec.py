@@ -42,6 +42,8 @@ KEPT_WORDS = 250_000
 ROWS = 512
 #: Bytes and rows of text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 20_000
+#: How hard packed columns are compressed.
+LEVEL = 6
 
 
 def byte_pieces(path: str) -> list[bytes]:
@@ -166,7 +168,7 @@ def _cuts(sizes: np.ndarray, most: int) -> list[int]:
 def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
     """Columns as a compressed Arrow stream."""
     sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays(columns, names)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -176,12 +178,15 @@ def _unpacked(data: bytes) -> pa.RecordBatch:
 
 
 def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], key: Callable, name: str) -> DataFrame:
-    """chunk, lists (packed parts of its distinct units, by key), kept (packed: its rows, and how many units each has) and places (packed, of all its rows' units).
+    """chunk, lists (packed parts of its distinct units, by key), kept (its rows, and how many units each has), parts_of and places.
+
+    Places tell of all its rows' units which distinct one they are, by the order in which those come up, so that frequent ones have
+    small numbers; as planes of bytes they pack well. parts_of tells which part each distinct unit is in, and so its place in the lists.
 
     rows: kept columns, then what is cut into units. The table is bucketed by chunk, so that what is joined with it comes to it.
     """
     spark, most = rows.sparkSession, CHUNK_BYTES
-    parts = max(16, tasks(spark))
+    parts = min(65_535, max(16, tasks(spark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
@@ -193,18 +198,18 @@ def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndar
                 coded, lengths = units(part.column(part.num_columns - 1))
                 of = np.fromiter(map(key, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary)) % parts
                 order = np.argsort(of, kind="stable")
-                place = np.empty(len(order), dtype=np.int32)
-                place[order] = np.arange(len(order), dtype=np.int32)
                 listed, bounds = coded.dictionary.take(pa.array(order)), np.searchsorted(of[order], np.arange(parts + 1))
                 lists = [_packed([listed.slice(x, y - x)], ["units"]) if y > x else None for x, y in itertools.pairwise(bounds.tolist())]
                 kept = _packed([*part.columns[:-1], pa.array(lengths, pa.int64())], [str(k) for k in range(part.num_columns)])
-                places = _packed([pa.array(place[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32))], ["places"])
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([lists], pa.list_(pa.binary())), pa.array([kept], pa.binary()), pa.array([places], pa.binary())], ["chunk", "lists", "kept", "places"])
+                planes = np.ascontiguousarray(coded.indices.to_numpy().astype("<i4").view(np.uint8).reshape(-1, 4).T)
+                places = _packed([pa.array(x) for x in planes], ["0", "1", "2", "3"])
+                parts_of = _packed([pa.array(of.astype(np.uint16))], ["of"])
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([lists], pa.list_(pa.binary())), *(pa.array([x], pa.binary()) for x in (kept, parts_of, places))], ["chunk", "lists", "kept", "parts_of", "places"])
                 at += 1
 
     folder = scratch(spark, name)
     table = "lodestone_" + folder.rsplit("-", 1)[-1]
-    packed = rows.mapInArrow(run, "chunk long, lists array<binary>, kept binary, places binary")
+    packed = rows.mapInArrow(run, "chunk long, lists array<binary>, kept binary, parts_of binary, places binary")
     packed.write.option("path", folder).option("compression", "none").bucketBy(tasks(spark), "chunk").saveAsTable(table)
     return spark.table(table)
 
@@ -298,13 +303,17 @@ def _by_row(chunks: DataFrame, answers: DataFrame, make: Callable[[pa.Array], Ca
 
     make(the answers on the chunk's units, in order of place) gives a function of (places, lengths) of some rows that gives arrays.
     """
-    joined = chunks.select("chunk", "kept", "places").join(answers, "chunk", "left").select("kept", "places", F.col("answers.data").alias("data"))
+    joined = chunks.select("chunk", "kept", "parts_of", "places").join(answers, "chunk", "left").select("kept", "parts_of", "places", F.col("answers.data").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                own, places = _unpacked(batch.column(0)[k].as_py()), _unpacked(batch.column(1)[k].as_py()).column(0).to_numpy()
-                found = [_unpacked(x.as_py()).column(0) for x in batch.column(2)[k].values or []] if batch.column(2)[k].is_valid else []
+                own, parts_of, planes = (_unpacked(batch.column(i)[k].as_py()) for i in range(3))
+                in_list = np.argsort(parts_of.column(0).to_numpy(), kind="stable")
+                listed = np.empty(len(in_list), dtype=np.int32)
+                listed[in_list] = np.arange(len(in_list), dtype=np.int32)
+                places = listed[np.stack([c.to_numpy() for c in planes.columns], axis=1).reshape(-1).view("<i4")]
+                found = [_unpacked(x.as_py()).column(0) for x in batch.column(3)[k].values] if batch.column(3)[k].is_valid else []
                 lengths = own.column(own.num_columns - 1).to_numpy()
                 made, upto = make(pa.concat_arrays(found) if found else None), np.append(0, np.cumsum(lengths))
                 for low in range(0, own.num_rows, ROWS):
