@@ -35,7 +35,7 @@ CACHED = 2_048
 class CollisionIndex:
     """The sorted arrays of one block. ranks holds each vector's place in every array: it lies in a window if its place does."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, hashes: int = 240, share: float = 0.57, budget: float = 0.15, least: int = 300, widen: float = 1.15, seed: int = 11):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, hashes: int = 240, share: float = 0.57, budget: float = 0.15, least: int = 400, widen: float = 1.15, seed: int = 11):
         if not 0 < hashes < 256 or len(ids) > 65_535:
             raise ValueError("at most 255 arrays of at most 65,535 vectors")  # counts and places are small integers
         in_order = np.lexsort((*vectors.T[::-1], ids))  # so that results don't depend on how rows arrive

@@ -214,3 +214,83 @@ def test_forest_shortens_by_what_nodes_hold(spark):
     crowded = classes.select(F.explode("nodes").alias("node")).groupBy("node").count().agg(F.max("count")).first()[0]
     assert crowded > max(ngram_join.LIGHT, sizes.max())  # the shortest prefixes' nodes were too full and split
     assert found_groups(ngram_join.join(table)) == brute_groups(rows)
+
+
+def plain_profile(text, n=3, seed=7, dimensions=1_024):
+    """The bundle of bound letters of a text, one n-gram at a time; None without letters."""
+    import re
+
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not letters.strip():
+        return None
+    runs = re.sub(" +", " ", letters)
+    padded = " " + runs.removeprefix(" ") + " " * max(1, n - len(runs) - 1)
+    own = lambda c: np.random.default_rng((seed, 0 if c == " " else ord(c))).integers(0, 2, dimensions, dtype=np.int8).astype(int) * 2 - 1
+    total = np.zeros(dimensions)
+    for k in range(len(padded) - n + 1):
+        bound = np.ones(dimensions, dtype=int)
+        for j, c in enumerate(padded[k : k + n]):
+            bound = bound * np.roll(own(c), n - 1 - j)
+        total += bound
+    return total / max(np.linalg.norm(total), 1e-12)
+
+
+def test_profiles_equal_plain_ones(spark):
+    from lodestone.llm import language_id
+
+    texts = ["Hello, world!", "çà et là", "a", "ab", "1 2 3", "", "Schöne   Grüße an alle 42 Leute. Tschüss", "word " * 50, "日本語 テキスト", "x1y"]
+    found = dict(language_id.Encoder().encode(texts))
+    for i, t in enumerate(texts):
+        want = plain_profile(t)
+        assert (want is None) == (i not in found), t
+        if want is not None:
+            assert np.allclose(found[i], want, atol=1e-5), t
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 400").limit(60)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    sums = {}
+    for _, t, lang in rows:
+        if lang is not None and (v := plain_profile(t or "")) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    languages, prototypes = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == sorted(sums) and all(np.allclose(p, sums[x] / np.linalg.norm(sums[x]), atol=1e-5) for x, p in zip(languages, prototypes, strict=True))
+
+
+def test_mixture_equals_plain_version(spark):
+    """The exponent by small steps, budgets, and each source's stream of permuted epochs, one document at a time."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import mixing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    draw = np.random.default_rng(8)
+    texts = [" ".join(f"w{draw.integers(50)}" for _ in range(draw.integers(1, 30))) + ("漢字" * int(draw.integers(3))) for _ in range(300)]
+    docs = [(i, t, "a" if i % 3 else "b" if i % 2 else "c") for i, t in enumerate(texts)]
+    rows = mixing.light(spark.createDataFrame(docs, "doc_id long, text string, source string"), path).cache()
+    n = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t, _ in docs}
+    assert {r["id"]: r["n_tokens"] for r in rows.collect()} == n
+    planned = mixing.plan(rows, evenness=0.9, max_repeats=2.5).cache()
+    tokens = {s: sum(n[i] for i, _, x in docs if x == s) for s in "abc"}
+    share = {s: t / sum(tokens.values()) for s, t in tokens.items()}
+
+    def fits(a):
+        p = {s: x**a for s, x in share.items()}
+        w = {s: x / sum(p.values()) for s, x in p.items()}
+        repeats = max(w[s] / share[s] for s in w) / min(w[s] / share[s] for s in w)
+        return -sum(x * math.log(x) for x in w.values()) <= 0.9 * math.log(3) and repeats <= 2.5
+
+    a = next(k / 20_000 for k in range(20_001) if fits(k / 20_000))
+    weight = {s: x**a / sum(y**a for y in share.values()) for s, x in share.items()}
+    got = {r["source"]: r for r in planned.collect()}
+    assert all(abs(got[s]["weight"] - weight[s]) < 1e-3 for s in weight)
+    keys = {(r["id"], e): r[f"k{e}"] for r in rows.select("id", *[mixing.key(F.lit(e), 0, "id").alias(f"k{e}") for e in range(4)]).collect() for e in range(4)}
+    want = []
+    for s in "abc":
+        start = 0
+        for e in range(math.ceil(got[s]["repeats"] - 1e-9)):
+            for i in sorted((i for i, _, x in docs if x == s), key=lambda i, e=e: keys[i, e]):
+                if start < got[s]["budget"] - 1e-6:
+                    want.append((i, e, start))
+                start += n[i]
+    assert sorted((r["id"], r["epoch"], r["start"]) for r in mixing.realise(rows, planned, cell_docs=20).collect()) == sorted(want)
