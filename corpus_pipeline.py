@@ -28,17 +28,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Cosine and margin must reach cut-offs by length class: half of what 99 of 100 training rows (labelled, rightly predicted)
     reach. Rows without a letter, with a null or an empty text among them, go. Repeated rows are judged alike. A null lang or
     doc_id bars a row from teaching, not from being kept. With no labelled row nothing is learnt and all rows go; an empty table
-    gives none. Judged rows are written once, as the cut-offs need all scores before the first row is kept.
+    gives none. Training rows are judged for the cut-offs first and all rows then, so no text is written on the way.
     """
     languages, prototypes = language_id.learn(docs.where(~language_id.held_out() & F.col("doc_id").isNotNull()))
     own = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # free of clashes with the prediction's columns
     inner = docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    folder = scratch(spark, "language")
-    language_id.predict(inner, languages, prototypes, list(own.values()), text_col=own["text"]).withColumn("letters", language_id.length_class(F.col(own["text"]))).write.parquet(folder)
-    judged = spark.read.parquet(folder)
-    taught = F.col(own["doc_id"]).isNotNull() & ~language_id.held_out(own["doc_id"]) & (F.col(own["lang"]).cast("string") == F.col("lang_pred"))
-    cuts = language_id.cutoffs(judged, taught, "letters")
-    return judged.where(language_id.accepted(cuts, "letters")).select([F.col(n).alias(c) for c, n in own.items()])
+
+    def judged(rows: DataFrame, keep: list[str]) -> DataFrame:
+        return language_id.predict(rows, languages, prototypes, keep, text_col=own["text"]).withColumn("letters", language_id.length_class(F.col(own["text"])))
+
+    teaching = inner.where(F.col(own["doc_id"]).isNotNull() & ~language_id.held_out(own["doc_id"]) & F.col(own["lang"]).isNotNull())
+    cuts = language_id.cutoffs(judged(teaching, [own["lang"], own["text"]]), F.col(own["lang"]).cast("string") == F.col("lang_pred"), "letters")
+    return judged(inner, list(own.values())).where(language_id.accepted(cuts, "letters")).select([F.col(n).alias(c) for c, n in own.items()])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
