@@ -31,7 +31,7 @@ def rotated_hours(day: Column, start: Column) -> Column:
 def equal_parts(low: Column, width: Column, parts: Column) -> Column:
     """struct(low, width) of whole-second parts of a window; no more parts than seconds."""
     n = F.greatest(F.lit(1), F.least(parts, width)).cast("long")
-    cut = lambda k: F.expr("1") * 0 + F.floor(k * width / n)
+    cut = lambda k: F.floor(k * width / n)
     return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.struct((low + cut(k)).cast("long").alias("low"), (cut(k + 1) - cut(k)).cast("long").alias("width")))
 
 

@@ -67,7 +67,7 @@ def conf_product(spark, d):
     return scoring.confidence(items, "user_id").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("""SELECT p_partkey, round(ln(1 + p_size) / ln(26), 6) AS attention, round(p_retailprice / 200 + 0.6 - 1.5 * ln(1 + p_size) / ln(1 + greatest(p_size, 25)), 4) AS gem FROM part""".replace("ln(1 + p_size) / ln(26)", "ln(1 + p_size) / ln(1 + greatest(p_size, 25))"))
+@query("""SELECT p_partkey, round(ln(1 + p_size) / ln(1 + greatest(p_size, 25)), 6) AS attention, round(p_retailprice / 200 + 0.6 - 1.5 * ln(1 + p_size) / ln(1 + greatest(p_size, 25)), 4) AS gem FROM part""")
 def gem_rank(spark, d):
     att = scoring.attention(F.col("p_size"), F.lit(0))
     return t(spark, d, "part").select("p_partkey", F.round(att, 6).alias("attention"), F.round(scoring.gem(F.col("p_retailprice") / 200, F.lit(0.4), att), 4).alias("gem"))
