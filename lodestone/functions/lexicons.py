@@ -84,3 +84,14 @@ ECOSYSTEMS = [
     Ecosystem("haskell", ["Haskell"], ["*.cabal", "stack.yaml", "cabal.project"], ["cabal.project.freeze", "stack.yaml.lock"], False, ["test"], [], [r"\b(cabal|stack) test\b"]),
     Ecosystem("other", [], ["build.zig", "justfile", "flake.nix", "cjpm.toml", "gleam.toml", "shard.yml", "v.mod", "dune-project", "platformio.ini"], ["flake.lock", "manifest.toml"], True, ["test", "tests"], [], [r"\bzig build test\b", r"\bjust test\b", r"\bmake test\b", r"\bnix flake check\b", r"\bgleam test\b", r"\bdune test\b"]),
 ]
+
+#: Addresses behind `git clone`, and commands that run a script of the manifest.
+CLONE = r"(?i)(?:https?://(?:www\.)?|ssh://git@|git@)github\.com[/:]([A-Za-z0-9-]+)/([A-Za-z0-9._-]+?)(?:\.git)?(?=$|[\s`'\")\]/#?])"
+RUN_SCRIPT = r"(?:^|[\s;&|(])(?:npm|pnpm|yarn|bun) run\s+([A-Za-z][0-9A-Za-z_:.\-/]*)"
+SHORT_SCRIPT = r"(?:^|[\s;&|(])(?:pnpm|yarn)\s+(?!run\s)([A-Za-z][0-9A-Za-z_:.\-/]*)"
+#: Commands that do nothing, the test script that package managers write, tests by a manifest's script, failures that a line ignores.
+NO_COMMAND = r"(echo|printf|#|:)(\s|$)"
+IDLE_COMMAND = r"(echo|printf)\b|(true|:|exit 0)$"
+DEFAULT_TEST_SCRIPT = r"""echo \\?["']?error: no test specified\\?["']? ?&& ?exit 1"""
+TEST_BY_SCRIPT = r"(?:[A-Z_][A-Z0-9_]*=\S*\s+)*(npm|pnpm|yarn|bun)( run)? test\b"
+IGNORED_FAILURE = r"[^;]*\|\|\s*(true|exit\s+0)\b|\s*;\s*true\b"

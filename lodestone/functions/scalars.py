@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ INVISIBLE = "\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x
 SCRIPTS = {"latin": "\\p{IsLatin}", "cjk": "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}", "cyrillic": "\\p{IsCyrillic}", "arabic": "\\p{IsArabic}"}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once, however often `use` names it: lambdas don't share common parts, a lambda's variable does."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sat(x: Column, top: float) -> Column:
     """Saturating logarithm: 0 at or below 0, 1 at or above top."""
     if top <= 0:
@@ -140,15 +147,18 @@ def detected_script(text: Column) -> Column:
     """The writing system that prevails in a README's prose: over 30 percent of its letters, the largest of those; other for the rest beyond Latin; latin under ten letters."""
     from lodestone.functions.readers import BARE_URL, prose
 
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(prose(without_comments(text)), "<[^>]*>", " "), r"\]\([^)]*\)", "]"), BARE_URL, " ")
-    classes = {"cjk": SCRIPTS["cjk"], "cyrillic": SCRIPTS["cyrillic"], "arabic": SCRIPTS["arabic"], "devanagari": "\\p{IsDevanagari}"}
-    counts = [(k, F.regexp_count(body, F.lit(f"[\\p{{L}}&&[{v}]]"))) for k, v in classes.items()]
-    letters, latin = F.regexp_count(body, F.lit("\\p{L}")), F.regexp_count(body, F.lit("[\\p{L}&&[\\p{IsLatin}]]"))
-    most = F.greatest(*[n for _, n in counts])
-    out = F.when(letters < 10, F.lit("latin"))
-    for name, n in counts:
-        out = out.when((n == most) & (n > 0.3 * letters), F.lit(name))
-    return F.when(text.isNotNull(), out.when(letters - latin > 0.3 * letters, F.lit("other")).otherwise("latin"))
+    classes = {"cjk": SCRIPTS["cjk"], "cyrillic": SCRIPTS["cyrillic"], "arabic": SCRIPTS["arabic"], "devanagari": "\\p{IsDevanagari}", "latin": "\\p{IsLatin}"}
+    letters = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(prose(without_comments(x)), "<[^>]*>", " "), r"\]\([^)]*\)", "]"), f"{BARE_URL}|\\P{{L}}+", "")
+    counts = lambda x: F.struct(F.char_length(x).alias("all"), *[F.char_length(F.regexp_replace(x, f"[^{v}]+", "")).alias(k) for k, v in classes.items()])
+
+    def name(n: Column) -> Column:
+        out, most = F.when(n["all"] < 10, F.lit("latin")), F.greatest(*[n[k] for k in classes if k != "latin"])
+        for k in classes:
+            if k != "latin":
+                out = out.when((n[k] == most) & (n[k] > 0.3 * n["all"]), F.lit(k))
+        return out.when(n["all"] - n["latin"] > 0.3 * n["all"], F.lit("other")).otherwise("latin")
+
+    return F.when(text.isNotNull(), bound(bound(letters(text), counts), name))
 
 
 def softplus(z: Column) -> Column:

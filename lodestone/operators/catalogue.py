@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import lexicons as lex
 from lodestone.functions import readers as r
-from lodestone.functions.scalars import cut_utf8, days_between, detected_script, fence_lines, invisible_run, sat, tidy
+from lodestone.functions.scalars import bound, cut_utf8, days_between, detected_script, fence_lines, invisible_run, sat, tidy
 
 #: A row of facts. Times are ISO text, as their sources write them; one that can't be read counts as unknown.
 FACTS = """nwo string, owner string, name string, description string, licence string, createdAt string, pushedAt string, stars long, forks long, diskKB long, lang string, homepageUrl string, codeBytes long,
@@ -120,9 +120,9 @@ def dated_releases() -> tuple[Column, Column]:
 
 
 def with_derived(facts: DataFrame) -> DataFrame:
-    """facts with what several rules read: the test step, and the references of the README with how many exist."""
+    """facts with what rules read of whole texts: the test step, the references of the README with how many exist, and its links to archives and programs."""
     step = F.when(F.size(F.coalesce(c("workflows"), F.array().cast("array<struct<name:string,text:string>>"))) > 0, r.test_step("workflows", "packageJson.testScript"))
-    read = facts.withColumns({"__step": step, "__refs": r.references(text())})
+    read = facts.withColumns({"__step": step, "__refs": r.references(text()), "__lures": lure_links(F.coalesce(text(), F.lit("")), c("nwo"))})
     return read.withColumn("__found", F.when(tree().isNotNull(), r.resolved(c("__refs"), F.transform(tree(), lambda e: e["path"]), c("packageJson.scripts"), c("nwo"))))
 
 
@@ -213,31 +213,43 @@ def lure_name(name: Column, description: Column) -> Column:
 
 
 def lure_links(readme: Column, nwo: Column) -> Column:
-    """Links to archives or programs in this repository or at a file host: struct(key, path)."""
+    """Links to archives or programs in this repository or at a file host: array of struct(key, path)."""
     own = F.lower(nwo)
+    unescaped = lambda p: F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
 
-    def candidate(x: Column) -> Column:
-        url = F.regexp_replace(F.trim(x["url"]), "^<|>$", "")
-        full = F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
-        plain = ~url.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & ~url.startswith("//")
-        unescaped = lambda p: F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
-        inner = F.regexp_replace(F.regexp_replace(unescaped(F.regexp_replace(url, "[?#].*$", "")), r"^(\./)+", ""), "^/+", "")
+    def addressed(x: Column) -> Column:
+        return F.struct(F.lower(x["text"]).alias("label"), F.regexp_replace(F.trim(x["url"]), "^<|>$", "").alias("url"))
+
+    def located(x: Column) -> Column:
+        full = F.when(x["url"].startswith("//"), F.concat(F.lit("https:"), x["url"])).otherwise(x["url"])
         host = F.regexp_replace(F.lower(F.regexp_extract(full, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
-        path = unescaped(F.regexp_extract(full, r"(?i)^https?://[^/?#]+([^?#]*)", 1))
-        segments = F.filter(F.split(path, "/"), lambda s: s != "")
+        return F.struct(x["label"], x["url"], full.alias("full"), host.alias("host"), unescaped(F.regexp_extract(full, r"(?i)^https?://[^/?#]+([^?#]*)", 1)).alias("path"))
+
+    def kept_in(p: Column) -> Column:
+        return F.when(has_extension(p, lex.ARCHIVE_EXTENSIONS), F.struct(F.concat(F.lit("repo:"), F.lower(p)).alias("key"), p.alias("path")))
+
+    def stored(x: Column, segments: Column) -> Column:
+        """The path of a file of this repository that an address shows."""
         n = F.size(segments)
-        same = F.lower(F.concat_ws("/", F.slice(segments, 1, 2))) == own
         rest = lambda k: F.array_join(F.slice(segments, F.lit(k + 1), F.greatest(n - k, F.lit(0))), "/")
-        stored = F.when((host == "raw.githubusercontent.com") & same & (n >= 4), rest(3)).when((host == "github.com") & same & (n >= 5) & F.try_element_at(segments, F.lit(3)).isin("raw", "blob"), rest(4))
-        at_host = r.any_of(lambda h: (host == h) | host.endswith("." + h), lex.FILE_HOSTS)
-        low, label = F.lower(path), F.lower(x["text"])
-        named = r.any_of(lambda e: low.endswith(e) | F.contains(low, F.lit(e + "/")) | F.contains(label, F.lit(e)), lex.ARCHIVE_EXTENSIONS) | label.rlike(r"(?<![0-9A-Za-z_])download")
-        in_repo = lambda p: F.when(has_extension(p, lex.ARCHIVE_EXTENSIONS), F.struct(F.concat(F.lit("repo:"), F.lower(p)).alias("key"), p.alias("path")))
-        hosted = F.when(at_host & named, F.struct(F.concat(F.lit("url:"), F.lower(full)).alias("key"), F.lit(None).cast("string").alias("path")))
-        dead = (url == "") | url.startswith("#") | url.rlike("(?i)^mailto:")
-        return F.when(dead, None).when(plain, in_repo(inner)).when(stored.isNotNull(), in_repo(stored)).when(host != "", hosted)
+        same = F.lower(F.concat_ws("/", F.slice(segments, 1, 2))) == own
+        return F.when(same & (x["host"] == "raw.githubusercontent.com") & (n >= 4), rest(3)).when(same & (x["host"] == "github.com") & (n >= 5) & F.try_element_at(segments, F.lit(3)).isin("raw", "blob"), rest(4))
+
+    def hosted(x: Column) -> Column:
+        at_host = r.any_of(lambda h: (x["host"] == h) | x["host"].endswith("." + h), lex.FILE_HOSTS)
+        low = F.lower(x["path"])
+        named = r.any_of(lambda e: low.endswith(e) | F.contains(low, F.lit(e + "/")) | F.contains(x["label"], F.lit(e)), lex.ARCHIVE_EXTENSIONS) | x["label"].rlike(r"(?<![0-9A-Za-z_])download")
+        return F.when(at_host & named, F.struct(F.concat(F.lit("url:"), F.lower(x["full"])).alias("key"), F.lit(None).cast("string").alias("path")))
+
+    def candidate(x: Column) -> Column:
+        plain = ~x["url"].rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & ~x["url"].startswith("//")
+        inner = F.regexp_replace(F.regexp_replace(unescaped(F.regexp_replace(x["url"], "[?#].*$", "")), r"^(\./)+", ""), "^/+", "")
+        segments = F.when(x["host"].isin("raw.githubusercontent.com", "github.com"), F.filter(F.split(x["path"], "/"), lambda s: s != ""))
+        elsewhere = lambda p: F.when(p.isNotNull(), kept_in(p)).when(x["host"] != "", hosted(x))
+        return F.when(plain, bound(inner, kept_in)).otherwise(bound(bound(segments, lambda s: stored(x, s)), elsewhere))
 
-    return F.array_compact(F.transform(r.links(readme), candidate))
+    alive = F.filter(F.transform(r.links(readme), addressed), lambda x: ~((x["url"] == "") | x["url"].startswith("#") | x["url"].rlike("(?i)^mailto:")))
+    return F.array_compact(F.transform(F.transform(alive, located), candidate))
 
 
 def gates(now: Column, allow: list[str] | None = None, deny: list[str] | None = None, least_repos: int = 100) -> dict[str, Column]:
@@ -246,9 +258,10 @@ def gates(now: Column, allow: list[str] | None = None, deny: list[str] | None =
     code, o = c("codeBytes"), c("ownerInfo")
     age = days(o["createdAt"], now)
     young, small = F.coalesce(age < 90, F.lit(False)), F.coalesce(code < 20_000, F.lit(False))
-    found = lure_links(readme, c("nwo"))
-    keys = F.transform(found, lambda x: x["key"])
-    repeated = F.exists(keys, lambda k: F.size(F.filter(keys, lambda j: j == k)) >= 3)
+    found = c("__lures")
+    # Three of a key stand two places apart in order.
+    thrice = lambda keys: F.exists(F.sequence(F.lit(1), F.greatest(F.size(keys) - 2, F.lit(1))), lambda i: F.try_element_at(keys, i) == F.try_element_at(keys, i + 2))
+    repeated = some(F.array(F.array_sort(F.transform(found, lambda x: x["key"]))), thrice)
     folders = lambda p: F.slice(F.split(p, "/"), F.lit(1), F.size(F.split(p, "/")) - 1)
     in_dir = F.exists(found, lambda x: some(folders(x["path"]), lambda d: F.lower(d).isin(lex.LURE_DIRS)))
     main = F.get(F.filter(c("languages"), lambda x: x["name"] == c("lang")), F.lit(0))
@@ -382,4 +395,4 @@ def scored(facts: DataFrame, now: Column, verdict: Column | None = None, **insti
     rows = rows.withColumns({"points": tidy(points + effect["points"]), "points_max": F.lit(float(sum(max(w, 0) for w, _, _ in SIGNALS.values()))), "coverage": tidy(size(lambda s: s == "ok") / size(lambda s: s != "na")), "k": confidence(held), "attention": tidy(sat(F.coalesce("stars", F.lit(0)) + F.coalesce("forks", F.lit(0)), 25.0))})
     actions = F.transform("gates", lambda g: F.element_at(F.create_map(*[F.lit(x) for kv in GATES.items() for x in kv]), g))
     rows = rows.withColumns({"signals": F.array(*[F.struct(F.lit(k).alias("id"), at[k]["status"].alias("status"), at[k]["hit"].alias("hit"), F.lit(w).alias("weight")) for k, (w, _, _) in SIGNALS.items()]), "items": F.array(*[F.struct(F.lit(k).alias("id"), held[k]["status"].alias("status"), held[k]["strength"].alias("strength")) for k in CONFIDENCE]), "gem": tidy(c("points") + 1.5 * c("k") - 1.5 * c("attention")), "band": band(c("points"))})
-    return rows.withColumn("lane", lane(actions, c("band"), c("k"), c("stars"), c("gain4w"), (effect["lane"] == "doubted") | (some(verdict["flags"], lambda f: f == "malware_suspect") & verdict["status"].eqNullSafe("ok") if verdict is not None else F.lit(False)), F.lit(False))).drop("__s", "__k", "__step", "__refs", "__found")
+    return rows.withColumn("lane", lane(actions, c("band"), c("k"), c("stars"), c("gain4w"), (effect["lane"] == "doubted") | (some(verdict["flags"], lambda f: f == "malware_suspect") & verdict["status"].eqNullSafe("ok") if verdict is not None else F.lit(False)), F.lit(False))).drop("__s", "__k", "__step", "__refs", "__found", "__lures")
