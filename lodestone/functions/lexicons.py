@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 #: An edge of an ASCII word. Java's own \b takes letters beyond ASCII as word characters.
@@ -95,3 +97,13 @@ IDLE_COMMAND = r"(echo|printf)\b|(true|:|exit 0)$"
 DEFAULT_TEST_SCRIPT = r"""echo \\?["']?error: no test specified\\?["']? ?&& ?exit 1"""
 TEST_BY_SCRIPT = r"(?:[A-Z_][A-Z0-9_]*=\S*\s+)*(npm|pnpm|yarn|bun)( run)? test\b"
 IGNORED_FAILURE = r"[^;]*\|\|\s*(true|exit\s+0)\b|\s*;\s*true\b"
+
+
+def anchor(text: str) -> str:
+    """A stretch of a pattern, in lower case, that any match must hold; empty if the pattern has none outside its brackets."""
+    plain = re.sub(r"\\(.)", lambda m: "\0" if m[1].isalnum() else m[1] if m[1] in ".#+" else "\0", text)
+    plain = re.sub(r"\[[^\]]*\]", "\0", plain)
+    while (shorter := re.sub(r"\([^()]*\)", "\0", plain)) != plain:
+        plain = shorter
+    runs = re.findall(r"[A-Za-z][A-Za-z ]*[A-Za-z](?![?*{])|[A-Za-z][A-Za-z ]*(?=[A-Za-z ][?*{])", plain) if "|" not in plain else []
+    return max((x.lower() for x in runs), key=len, default="")

@@ -6,6 +6,8 @@ All rules of a row are judged in the row itself, so a table of facts is scored i
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,8 @@ from lodestone.functions import lexicons as lex
 from lodestone.functions import readers as r
 from lodestone.functions.scalars import bound, cut_utf8, days_between, detected_script, fence_lines, invisible_run, sat, tidy
 
+from lodestone.operators.scoring import quality
+
 #: A row of facts. Times are ISO text, as their sources write them; one that can't be read counts as unknown.
 FACTS = """nwo string, owner string, name string, description string, licence string, createdAt string, pushedAt string, stars long, forks long, diskKB long, lang string, homepageUrl string, codeBytes long,
 languages array<struct<name:string,bytes:long>>, releases struct<count:long,recent:array<struct<tag:string,publishedAt:string,prerelease:boolean>>>, tags long,
@@ -122,7 +126,7 @@ def dated_releases() -> tuple[Column, Column]:
 def with_derived(facts: DataFrame) -> DataFrame:
     """facts with what rules read of whole texts: the test step, the references of the README with how many exist, and its links to archives and programs."""
     step = F.when(F.size(F.coalesce(c("workflows"), F.array().cast("array<struct<name:string,text:string>>"))) > 0, r.test_step("workflows", "packageJson.testScript"))
-    read = facts.withColumns({"__step": step, "__refs": r.references(text()), "__lures": lure_links(F.coalesce(text(), F.lit("")), c("nwo"))})
+    read = facts.withColumns({"__step": step, "__refs": r.references(text()), "__lures": lure_links(F.coalesce(text(), F.lit("")), c("nwo")), "__low": F.lower(F.coalesce(text(), F.lit("")))})
     return read.withColumn("__found", F.when(tree().isNotNull(), r.resolved(c("__refs"), F.transform(tree(), lambda e: e["path"]), c("packageJson.scripts"), c("nwo"))))
 
 
@@ -141,7 +145,7 @@ def signals() -> dict[str, Column]:
     share, cut_off = found["resolved"] / found["cited"], F.coalesce(c("tree.truncated"), F.lit(False))
     heads = F.filter(F.transform(c("commits.recent"), lambda x: x["headline"]), lambda h: h.isNotNull())
     head = cut_utf8(text(), 4096)
-    template = F.coalesce(r.any_of(lambda p: head.rlike(lex.pattern(p)), lex.TEMPLATE_README), F.lit(False))
+    template = F.coalesce(r.matches_any(head, c("__low"), lex.TEMPLATE_README), F.lit(False))
     parts = lambda e: F.split(e["path"], "/")
     junk = lambda e: F.exists(F.when(is_file(e), F.slice(parts(e), F.lit(1), F.size(parts(e)) - 1)).otherwise(parts(e)), lambda d: F.lower(d).isin("node_modules", "__pycache__")) | (is_file(e) & (F.element_at(parts(e), -1) == ".env") & ~F.array_contains(parts(e), "examples"))
     kind, repos = c("ownerInfo.type"), c("ownerInfo.publicRepos")
@@ -252,7 +256,7 @@ def lure_links(readme: Column, nwo: Column) -> Column:
     return F.array_compact(F.transform(F.transform(alive, located), candidate))
 
 
-def gates(now: Column, allow: list[str] | None = None, deny: list[str] | None = None, least_repos: int = 100) -> dict[str, Column]:
+def gates(now: Column, allow: list[str] | None = None, deny: list[str] | None = None, least_repos: float = 100) -> dict[str, Column]:
     """Whether each gate closes on a row of facts. allow and deny: logins in lower case, short lists."""
     readme, about = F.coalesce(text(), F.lit("")), F.coalesce(c("description"), F.lit(""))
     code, o = c("codeBytes"), c("ownerInfo")
@@ -272,11 +276,11 @@ def gates(now: Column, allow: list[str] | None = None, deny: list[str] | None =
         "g.lure.name": lure_name(c("name"), c("description")),
         "g.lure.link": (F.size(found) > 0) & (in_dir | small | young | readme.rlike(lex.pattern(lex.PASSWORD_HINT)) | repeated),
         "g.lure.script": (c("lang").isin(lex.SCRIPT_LANGUAGES) & F.coalesce(main["bytes"] >= 1_000_000, F.lit(False))) | some(tree(), lambda e: blob(e) & (e["size"] >= 1_000_000) & has_extension(e["path"], lex.SCRIPT_EXTENSIONS)) | (some(tree(), lambda e: blob(e) & has_extension(e["path"], lex.BINARY_EXTENSIONS)) & small & young),
-        "g.lure.drainer": r.any_of(lambda p: readme.rlike(lex.pattern(p)) | about.rlike(lex.pattern(p)), lex.DRAINER_PHRASES),
+        "g.lure.drainer": r.matches_any(readme, c("__low"), lex.DRAINER_PHRASES) | r.matches_any(about, F.lower(about), lex.DRAINER_PHRASES),
         "g.spam.words": (r.gambling(words) >= 2) | (r.gambling(F.concat_ws(" ", words, cut_utf8(readme, 4096))) >= 3),
         "g.spam.farm": (o["type"] == "User") & ((o["publicRepos"] >= 1000) | ((o["publicRepos"] >= 200) & young)),
         "g.spam.streak": (c("commits.total") >= 500) & (code < 10_000),
-        "g.injection": r.addresses_reader(readme) | r.addresses_reader(about) | r.hidden_orders(readme) | (invisible_run(readme) >= 3) | (invisible_run(about) >= 3),
+        "g.injection": r.addresses_reader(readme, c("__low")) | r.addresses_reader(about, F.lower(about)) | r.hidden_orders(readme) | (invisible_run(readme) >= 3) | (invisible_run(about) >= 3),
         "g.institutional": (login != "") & ~login.isin(deny or [""]) & (login.isin(allow or [""]) | F.coalesce((o["type"] == "Organization") & (o["publicRepos"] >= least_repos), F.lit(False))),
     }
 
@@ -360,9 +364,9 @@ def lane(actions: Column, points_band: Column, k: Column, stars: Column, gain4w:
     )
 
 
-def verdict_effect(v: Column, promote: int = 1, demote: int = -2, least_claims: int = 2, sure: float = 0.7, good_mean: float = 3.0) -> Column:
+def verdict_effect(v: Column, promote: float = 1, demote: float = -2, least_claims: int = 2, sure: float = 0.7, good_mean: float = 3.0) -> Column:
     """struct(points, lane) of a verdict: status, category, categoryConfidence, scores (array), claims (array with supports), flags, injectionSeen."""
-    effect = lambda p, x: F.struct(F.lit(p).alias("points"), F.lit(x).cast("string").alias("lane"))
+    effect = lambda p, x: F.struct(F.lit(float(p)).alias("points"), F.lit(x).cast("string").alias("lane"))
     adverse, doubts = ["C", "S", "D", "P", "E"], ["malware_suspect", "re_upload", "tutorial_clone"]  # fixed values
     backed = some(v["claims"], lambda x: x["supports"].isin("category", "originality"))
     mean = F.try_divide(F.aggregate(v["scores"], F.lit(0.0), lambda a, x: a + x), F.size(v["scores"]).cast("double"))
@@ -378,21 +382,117 @@ def verdict_effect(v: Column, promote: int = 1, demote: int = -2, least_claims:
     )
 
 
-def scored(facts: DataFrame, now: Column, verdict: Column | None = None, **institutions) -> DataFrame:
-    """facts with signals, confidence items, gates, descriptors, points, points_max, coverage, k, attention, gem, band, lane. In the row: no shuffle."""
+@dataclass(frozen=True)
+class Weights:
+    """What judging depends on beside the facts. The defaults are the rules' own."""
+
+    version: str = "w2"
+    signals: dict[str, tuple[float, str, str | None]] = field(default_factory=lambda: dict(SIGNALS))
+    promote: float = 1
+    demote: float = -2
+    gem: float = 7
+    look: float = 5
+    k_weight: float = 1.5
+    a_weight: float = 1.5
+    saturation: float = 25
+    most_stars: float = 25
+    rising: float = 10
+    least_repos: float = 100
+    medium: float = 0.3
+    high: float = 0.6
+    proven: float = 0.5
+
+
+#: Where each setting stands in a table of settings (section, key).
+SETTINGS = {
+    "gem": ("bands", "gem"), "look": ("bands", "look"), "k_weight": ("gem", "kWeight"), "a_weight": ("gem", "aWeight"), "saturation": ("attention", "saturation"), "most_stars": ("eligibility", "maxStars"), "rising": ("eligibility", "risingGain4w"),
+    "least_repos": ("institutions", "orgMinRepos"), "medium": ("confidenceBands", "medium"), "high": ("confidenceBands", "high"), "proven": ("lanes", "provenK"),
+}
+
+
+def weights_of(settings: DataFrame) -> Weights:
+    """Weights of a table of settings: section, key, field, value (text).
+
+    Section signals has a row for each field (points, kind, group) of a signal, and promote and demote of the judge (llm.review);
+    the other sections are those of SETTINGS, with field null; version has only a value. What is missing, isn't a finite number or
+    has a name that no rule has leaves the default. Only rows that a rule reads come to the driver, so their number has a bound;
+    of repeated rows one is taken, the greatest by value.
+    """
+    known = F.col("section").eqNullSafe("version") | ((F.col("section") == "signals") & F.col("key").isin("llm.review", *SIGNALS)) | F.concat_ws(".", "section", "key").isin([".".join(x) for x in SETTINGS.values()])
+    read = settings.where(known).groupBy("section", "key", "field").agg(F.max("value").alias("value"))
+    given = {(r["section"], r["key"], r["field"]): r["value"] for r in read.collect()}
+    base = Weights()
+
+    def number(at: tuple, otherwise: float) -> float:
+        try:
+            found = float(given.get(at))
+        except (TypeError, ValueError):
+            return otherwise
+        return found if math.isfinite(found) else otherwise
+
+    signals = {k: (number(("signals", k, "points"), w), given.get(("signals", k, "kind")) or kind, given.get(("signals", k, "group")) or group) for k, (w, kind, group) in base.signals.items()}
+    version = next((v for (section, _, _), v in given.items() if section == "version" and v), base.version)
+    judge = {k: number(("signals", "llm.review", k), getattr(base, k)) for k in ("promote", "demote")}
+    return Weights(version, signals, **judge, **{k: number((*at, None), getattr(base, k)) for k, at in SETTINGS.items()})
+
+
+def _totals(rows: DataFrame, at: dict[str, Column], held: dict[str, Column], w: Weights, verdict: Column | None, gone: Column) -> DataFrame:
+    """rows (with gates) with points, points_max, coverage, k, k_band, attention, quality, gem, band, judge, lane and weights; at and held: each signal and item."""
+    # An order to the reviewer in the repository disables the judge.
+    trusted = ~F.array_contains("gates", "g.injection")
+    none = F.struct(F.lit(0.0).alias("points"), F.lit(None).cast("string").alias("lane"))
+    effect = none if verdict is None else F.when(trusted, verdict_effect(verdict, w.promote, w.demote)).otherwise(none)
+    suspect = F.lit(False) if verdict is None else trusted & verdict["status"].eqNullSafe("ok") & some(verdict["flags"], lambda f: f == "malware_suspect")
+    rows = rows.withColumn("judge", effect)
+    size = lambda kept, amount: reduce(lambda a, b: a + b, [F.when(kept(at[k]["status"]), F.lit(float(amount(p)))).otherwise(0.0) for k, (p, _, _) in w.signals.items()])
+    groups: dict[str, list[Column]] = {}
+    for k, (p, _, group) in w.signals.items():
+        groups.setdefault("group " + group if group else k, []).append(F.when((at[k]["status"] == "ok") & at[k]["hit"], F.lit(float(p))))
+    # Of a group the least contribution counts; a member that doesn't hit contributes 0.
+    one = lambda g: g[0] if len(g) == 1 else F.least(*[F.coalesce(x, F.lit(0.0)) for x in g])
+    own = reduce(lambda a, b: a + b, [F.coalesce(one(g), F.lit(0.0)) for g in groups.values()])
+    applies = lambda s: s != "na"
+    rows = rows.withColumns({
+        "points": tidy(own + c("judge.points")), "points_max": tidy(size(applies, lambda p: max(p, 0)) + F.greatest(c("judge.points"), F.lit(0.0))),
+        "coverage": tidy(F.coalesce(F.try_divide(size(lambda s: s == "ok", abs), size(applies, abs)), F.lit(0.0))), "k": confidence(held),
+        "attention": tidy(sat(F.greatest(F.coalesce("stars", F.lit(0)), F.lit(0)) + F.greatest(F.coalesce("forks", F.lit(0)), F.lit(0)), w.saturation)),
+    })
+    rows = rows.withColumns({"gem": tidy(c("points") + w.k_weight * c("k") - w.a_weight * c("attention")), "band": band(c("points"), w.gem, w.look), "k_band": confidence_band(c("k"), w.high, w.medium), "quality": quality(c("points"))})
+    actions = F.transform("gates", lambda g: F.element_at(F.create_map(*[F.lit(x) for kv in GATES.items() for x in kv]), g))
+    placed = lane(actions, c("band"), c("k"), c("stars"), c("gain4w"), (c("judge.lane") == "doubted") | suspect, gone, w.most_stars, w.rising, w.proven)
+    return rows.withColumns({"lane": placed, "weights": F.lit(w.version)})
+
+
+def scored(facts: DataFrame, now: Column, verdict: Column | None = None, gone: Column | None = None, weights: Weights | None = None, **institutions) -> DataFrame:
+    """facts with signals, items, gates, descriptors, and their totals (see _totals). In the row: no shuffle.
+
+    verdict: struct(status, category, ...) as verdict_effect reads it; gone: not found when last looked for. A table of facts and
+    another of weights are judged again in the scan.
+    """
+    w = weights or Weights()
     rows = with_derived(facts).withColumn("__s", F.struct(*[x.alias(k.replace(".", "_")) for k, x in signals().items()]))
     at = {k: F.col(f"__s.{k.replace('.', '_')}") for k in SIGNALS}
-    items, shut = confidence_items(now, at["p.testsRun"]), gates(now, **institutions)
+    items, shut = confidence_items(now, at["p.testsRun"]), gates(now, **{"least_repos": w.least_repos} | institutions)
     rows = rows.withColumns({"__k": F.struct(*[x.alias(k.replace(".", "_")) for k, x in items.items()]), "gates": closed(shut), "descriptors": closed(descriptors())})
     held = {k: F.col(f"__k.{k.replace('.', '_')}") for k in CONFIDENCE}
-    effect = verdict_effect(verdict) if verdict is not None else F.struct(F.lit(0).alias("points"), F.lit(None).cast("string").alias("lane"))
-    own = {k: F.when(at[k]["hit"], F.lit(float(w))) for k, (w, _, _) in SIGNALS.items()}
-    grouped: dict[str, list[Column]] = {}
-    for k, (_, _, group) in SIGNALS.items():
-        grouped.setdefault(group or k, []).append(own[k])
-    points = reduce(lambda a, b: a + b, [F.coalesce(F.least(*g) if len(g) > 1 else g[0], F.lit(0.0)) for g in grouped.values()])
-    size = lambda test: reduce(lambda a, b: a + b, [F.when(test(at[k]["status"]), F.lit(float(abs(w)))).otherwise(0.0) for k, (w, _, _) in SIGNALS.items()])
-    rows = rows.withColumns({"points": tidy(points + effect["points"]), "points_max": F.lit(float(sum(max(w, 0) for w, _, _ in SIGNALS.values()))), "coverage": tidy(size(lambda s: s == "ok") / size(lambda s: s != "na")), "k": confidence(held), "attention": tidy(sat(F.coalesce("stars", F.lit(0)) + F.coalesce("forks", F.lit(0)), 25.0))})
-    actions = F.transform("gates", lambda g: F.element_at(F.create_map(*[F.lit(x) for kv in GATES.items() for x in kv]), g))
-    rows = rows.withColumns({"signals": F.array(*[F.struct(F.lit(k).alias("id"), at[k]["status"].alias("status"), at[k]["hit"].alias("hit"), F.lit(w).alias("weight")) for k, (w, _, _) in SIGNALS.items()]), "items": F.array(*[F.struct(F.lit(k).alias("id"), held[k]["status"].alias("status"), held[k]["strength"].alias("strength")) for k in CONFIDENCE]), "gem": tidy(c("points") + 1.5 * c("k") - 1.5 * c("attention")), "band": band(c("points"))})
-    return rows.withColumn("lane", lane(actions, c("band"), c("k"), c("stars"), c("gain4w"), (effect["lane"] == "doubted") | (some(verdict["flags"], lambda f: f == "malware_suspect") & verdict["status"].eqNullSafe("ok") if verdict is not None else F.lit(False)), F.lit(False))).drop("__s", "__k", "__step", "__refs", "__found", "__lures")
+    chips = {
+        "signals": F.array(*[F.struct(F.lit(k).alias("id"), at[k]["status"].alias("status"), at[k]["hit"].alias("hit"), F.lit(float(p)).alias("weight")) for k, (p, _, _) in w.signals.items()]),
+        "items": F.array(*[F.struct(F.lit(k).alias("id"), held[k]["status"].alias("status"), held[k]["strength"].alias("strength")) for k in CONFIDENCE]),
+    }
+    found = _totals(rows.withColumns(chips), at, held, w, verdict, gone if gone is not None else F.lit(False))
+    return found.drop("__s", "__k", "__step", "__refs", "__found", "__lures", "__low")
+
+
+def rescored(judged: DataFrame, weights: Weights, verdict: Column | None = None, gone: Column | None = None) -> DataFrame:
+    """Rows of scored() under other weights, from their stored signals, items and gates: no text is read again.
+
+    The gates stay as they were; a change of least_repos needs scored(). A signal or item that a stored row lacks is unknown.
+    """
+    entry = lambda of, k: F.get(F.filter(of, lambda x: x["id"] == k), F.lit(0))
+    inner = lambda of, k, other: F.coalesce(F.struct(entry(of, k)["status"].alias("status"), entry(of, k)[other].alias(other)), F.lit(None))
+    rows = judged.withColumn("__s", F.struct(*[inner("signals", k, "hit").alias(k.replace(".", "_")) for k in SIGNALS])).withColumn("__k", F.struct(*[inner("items", k, "strength").alias(k.replace(".", "_")) for k in CONFIDENCE]))
+    at = {k: {x: F.coalesce(F.col(f"__s.{k.replace('.', '_')}.{x}"), F.lit(y)) for x, y in (("status", "unknown"), ("hit", False))} for k in SIGNALS}
+    held = {k: {"strength": F.coalesce(F.col(f"__k.{k.replace('.', '_')}.strength"), F.lit(0.0))} for k in CONFIDENCE}
+    points_of = F.create_map(*[F.lit(x) for k, (p, _, _) in weights.signals.items() for x in (k, float(p))])
+    chips = F.transform("signals", lambda s: s.withField("weight", F.coalesce(points_of[s["id"]], s["weight"])))
+    return _totals(rows.withColumn("signals", chips), at, held, weights, verdict, gone if gone is not None else F.lit(False)).drop("__s", "__k")

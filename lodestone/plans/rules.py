@@ -66,6 +66,54 @@ def rule_descriptors(spark, d):
     return _judged(spark, d, [(r, f) for r, f, _ in cases.REMARKS]).select("c_custkey", "rule", F.when(F.array_contains("descriptors", F.col("rule")), "yes").otherwise("no").alias("outcome"))
 
 
+def _score_cases(spark, d):
+    """Each customer with the facts, verdict and whereabouts of one case, judged."""
+    verdict = "struct<status:string,category:string,categoryConfidence:double,scores:array<double>,claims:array<struct<supports:string>>,flags:array<string>,injectionSeen:boolean>"
+    lines = [(i, json.dumps({"nwo": "me/name", "owner": "me", "name": "name"} | facts)) for i, (facts, _) in enumerate(cases.SCORE_CASES)]
+    facts = spark.createDataFrame(lines, "at int, line string").select("at", F.from_json("line", f"{catalogue.FACTS}, verdict {verdict}, gone boolean").alias("f")).select("at", "f.*")
+    keys = t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(lines)).cast("int").alias("at"))
+    return catalogue.scored(keys.join(F.broadcast(facts), "at"), F.lit(cases.NOW), verdict=F.col("verdict"), gone=F.col("gone"), allow=["big"])  # a dozen rows
+
+
+def _outcome(*columns):
+    """Numbers and words in a row of text, numbers without zeros at their ends."""
+    shown = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.9f", F.col(c).cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.concat_ws(" ", *[F.col(c) if c in ("band", "lane") else shown(c) for c in columns])
+
+
+def _by_case(outcomes: list[str]) -> str:
+    values = ", ".join(f"({i}, '{x}')" for i, x in enumerate(outcomes))
+    return f"SELECT c_custkey, outcome FROM customer JOIN (VALUES {values}) v(case_no, outcome) ON c_custkey % {len(outcomes)} = case_no"
+
+
+def _trimmed(outcome: str) -> str:
+    return " ".join(x.rstrip("0").rstrip(".") if "." in x else x for x in outcome.split())
+
+
+@query(_by_case([_trimmed(x) for _, x in cases.SCORE_CASES]))
+def rule_scores(spark, d):
+    """What the rules add up to: points, the most points, coverage, confidence, attention, rank, band and lane."""
+    return _score_cases(spark, d).select("c_custkey", _outcome("points", "points_max", "coverage", "k", "attention", "gem", "band", "lane").alias("outcome"))
+
+
+@query(_by_case([_trimmed(x) for x in cases.RESCORED]))
+def rule_rescored(spark, d):
+    """Stored scores under the weights of a table of settings."""
+    weights = catalogue.weights_of(spark.createDataFrame(cases.SETTINGS, "section string, key string, field string, value string"))
+    found = catalogue.rescored(_score_cases(spark, d), weights, F.col("verdict"), F.col("gone"))
+    return found.select("c_custkey", _outcome("points", "points_max", "gem", "band", "lane").alias("outcome"))
+
+
+@query("""SELECT doc_id, (octet_length(encode(text)) >= 1000)::INT::DOUBLE AS points, 12.0::DOUBLE AS points_max, 0.181818182::DOUBLE AS coverage, 'low' AS lane FROM documents WHERE text IS NOT NULL""")
+def judged_readmes(spark, d):
+    """The whole catalogue over documents as READMEs of repositories of which nothing else is known."""
+    kinds = spark.createDataFrame([], catalogue.FACTS).schema
+    readme = F.struct(F.lit("README.md").alias("name"), F.octet_length("text").cast("long").alias("bytes"), F.col("text"), F.lit(None).cast("long").alias("fenceLines"))
+    known = {"readme": readme, "name": F.concat(F.lit("doc"), "doc_id"), "owner": F.col("source"), "nwo": F.concat("source", F.lit("/doc"), "doc_id")}
+    facts = t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+    return catalogue.scored(facts, F.lit(cases.NOW)).select("doc_id", "points", "points_max", "coverage", "lane")
+
+
 _SEEDS = """s AS (SELECT o_orderkey, o_custkey, c_acctbal, o_orderdate::TIMESTAMP AS made, o_orderkey % 40 AS stars, o_orderkey % 1000 AS kb, o_orderkey % 29 = 0 AS fork, o_custkey % 7 AS queued,
 CASE o_orderkey % 9 WHEN 0 THEN 'nvim' WHEN 1 THEN 'o' || o_custkey WHEN 2 THEN 'x.github.io' WHEN 3 THEN 'my-keygen' ELSE 'tool' END AS name, CASE WHEN o_orderkey % 19 = 0 THEN 'slots and judi' WHEN o_orderkey % 3 = 0 THEN 'a tool' END AS about, CASE WHEN o_orderkey % 4 <> 0 THEN 'Go' END AS lang, CASE WHEN o_orderkey % 5 <> 0 THEN 'MIT' END AS licence FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
