@@ -40,11 +40,11 @@ BITS, SEED = 64, 42
 #: Fingerprints that share a probe's rest and are still compared pair by pair.
 CROWD = 500
 #: Counters for the number of equal pairs of a probe.
-COUNTERS = 4_096
+COUNTERS = 128
 #: What a probe's row costs, in comparisons of a pair.
 ROW_COST = 40.0
 #: Shingles hashed at a time.
-AT_ONCE = 65_536
+AT_ONCE = 16_384
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
