@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import rules, tables  # noqa: F401 (rules registers its queries with tables)
+from lodestone.plans import reviews, rules, tables  # noqa: F401 (the others register their queries with tables)
 
 
 def queries() -> dict:

@@ -67,6 +67,22 @@ def feedback_state(active: DataFrame, key: str, order: list[str], action: str, s
     return active.groupBy(key).agg(last.alias("l"), F.coalesce(shown, F.lit(False)).alias("published")).select(key, F.col("l.a").alias("last_action"), F.col("l.s").alias("snooze_until"), "published")
 
 
+#: Actions that set the queue's state, those of them that keep a snooze, and the switches of publishing. Others change nothing.
+QUEUE_ACTIONS, SNOOZING, SWITCHES = ["gem", "notgood", "notmine", "wip", "snooze"], ["wip", "snooze"], ("publish", "unpublish")
+
+
+def queue_state(active: DataFrame, key: str, order: list[str], action: str, snooze: str, sets: list[str] | None = None, snoozing: list[str] | None = None, switches: tuple[str, str] = SWITCHES) -> DataFrame:
+    """key, last_action, snooze_until and published, of events that weren't undone: the state of the queue (fold B). One aggregation.
+
+    Only actions of `sets` count as the last one (a label doesn't); the snooze is that of the last of these, if it is one of
+    `snoozing`, so that a later judgement clears it. A key with other actions only is there, with nulls.
+    """
+    at, name = F.struct(*order), F.col(action)
+    last = F.max_by(F.struct(name.alias("a"), F.when(name.isin(SNOOZING if snoozing is None else snoozing), F.col(snooze)).alias("s")), F.when(name.isin(QUEUE_ACTIONS if sets is None else sets), at))
+    shown = F.max_by(name, F.when(name.isin(*switches), at)) == switches[0]
+    return active.groupBy(key).agg(last.alias("l"), F.coalesce(shown, F.lit(False)).alias("published")).select(key, F.col("l.a").alias("last_action"), F.col("l.s").alias("snooze_until"), "published")
+
+
 #: Which actions make up the last state of each class.
 CLASSES = {"triage": ["gem", "wip", "notgood", "notmine"], "publishing": ["publish", "unpublish"], "gem": ["gem"]}
 

@@ -27,36 +27,6 @@ def cohort(rows: DataFrame, key: str, week: str, now: str, days: int = 28) -> Da
     return rows.select(key, week, F.col(now).alias("now")).join(before, [key, week])
 
 
-def quoted(texts: DataFrame, quotes: DataFrame, text: str, quote: str, words: int = 8) -> DataFrame:
-    """Pairs of rows where the text holds the quote after white space is folded, as whole words.
-
-    An equi-join on hashes of runs of words, then `contains`: a quote is looked up by its first run, one of fewer words by its first
-    word. Texts don't travel with their words: runs carry the other columns of texts only, and texts meet their candidates at the end.
-    """
-    folded = lambda x: F.trim(F.regexp_replace(x, "\\s+", " "))
-    own, asked = [c for c in texts.columns if c != text], [c for c in quotes.columns if c != quote]
-    q = quotes.select(*[F.col(c) for c in asked], F.col(quote), folded(F.col(quote)).alias("__quote")).where("__quote <> ''").withColumn("__n", F.size(F.split("__quote", " ")))
-    head = F.array_join(F.slice(F.split("__quote", " "), 1, words), " ")
-    long_, short = q.where(F.col("__n") >= words).withColumn("__run", F.xxhash64(head)), q.where(F.col("__n") < words).withColumn("__run", F.xxhash64(F.split("__quote", " ")[0]))
-
-    def runs(k: int) -> DataFrame:
-        """The other columns of texts with each different run of k words. The words are an element of an array, so they are split once."""
-        every = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, k), " ")))
-        lists = F.transform(F.array(F.split(folded(F.col(text)), " ")), lambda ws: F.when(F.size(ws) >= k, every(ws)).otherwise(F.array().cast("array<bigint>")))
-        return texts.select(*own, F.explode(F.array_distinct(F.flatten(lists))).alias("__run"))
-
-    pairs = runs(words).join(long_, "__run")
-    if not short.isEmpty():
-        pairs = pairs.unionByName(runs(1).join(short, "__run"))
-    same = F.lit(True)
-    for c in own:
-        same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}"))
-    # A text and a quote meet by one run at most, so pairs repeat only where rows of texts do.
-    found = texts.alias("t").join(pairs.dropDuplicates([*own, *asked, "__quote"]).alias("p"), same)
-    held = F.contains(F.concat(F.lit(" "), folded(F.col(f"t.{text}")), F.lit(" ")), F.concat(F.lit(" "), F.col("p.__quote"), F.lit(" ")))
-    return found.where(held).select("t.*", *[F.col(f"p.{c}") for c in quotes.columns])
-
-
 def missing(ids: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """ids with gone: whether the live table lacks them."""
     return ids.join(live.select(key).distinct().withColumn("__live", F.lit(True)), key, "left").withColumn("gone", F.col("__live").isNull()).drop("__live")

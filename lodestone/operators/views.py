@@ -99,25 +99,33 @@ def _running(rows: DataFrame, band: str, order: list[Column], sums: dict[str, Co
     return joined.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums} | {k: F.least(k, f"__{k}") for k in least}).drop("__part", "__p", "__b", *[f"__{k}" for k in [*sums, *least]])
 
 
-def for_you(rows: DataFrame, band: str, order: list[Column], taste_col: str, every: int = 10) -> DataFrame:
-    """Adds place: within each band the order, but every tenth place holds the best row of negative taste still left.
+def for_you(rows: DataFrame, band: str, order: list[Column], taste_col: str, every: int = 10, bands: list[str] | None = None) -> DataFrame:
+    """Adds place, over all bands (in the order of `bands`, else of their names): within each band the order, but every tenth place of the whole output holds the best row of negative taste still left in its band.
 
     A row of negative taste that its own rank has placed before its turn is not moved. The order should be unique.
 
-    The rows of negative taste that are placed are always the first ones, so the j-th, of rank w(j), stands at the lesser of
-    w(j) and the next tenth place after the (j-1)-th. That unrolls to min(w(j), every * (j + min(0, w(i) // every - i over
+    A band begins after the rows of the bands before it; let its ranks count from there up to the next tenth place (so the first one
+    comes sooner). The rows of negative taste that are placed are always the first ones, so the j-th, of rank w(j), stands at the
+    lesser of w(j) and the next tenth place after the (j-1)-th. That unrolls to min(w(j), every * (j + min(0, w(i) // every - i over
     i < j))), a running minimum; the others fill what is left, so one more count in the merged order gives all places.
     """
     wild = F.coalesce(F.col(taste_col) < 0, F.lit(False))
     names = rows.columns
+    sizes = rows.groupBy(band).agg(F.count(F.lit(1)).alias("__size"))
+    in_order = F.array_position(F.array(*map(F.lit, bands)), F.col(band)) if bands else F.col(band)
+    ahead = Window.orderBy(in_order).rowsBetween(Window.unboundedPreceding, -1)  # one row a band
+    ahead = settled(sizes.select(F.col(band).alias("__band"), F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__ahead")))
     ranked = _running(rows, band, order, {"__rank": F.lit(1), "__wilds": wild.cast("int")})
-    lead = F.when(wild, F.floor(F.col("__rank") / every) - F.col("__wilds"))
+    ranked = ranked.join(ahead, F.col(band).eqNullSafe(F.col("__band"))).withColumn("__shift", F.col("__ahead") % every)
+    ranked = ranked.withColumn("__from", F.col("__rank") + F.col("__shift")).drop("__band")
+    lead = F.when(wild, F.floor(F.col("__from") / every) - F.col("__wilds"))
     turned = _running(ranked, band, [F.col("__rank")], {}, ("__low", lead))
-    slot = F.least(F.col("__rank"), every * (F.col("__wilds") + F.least(F.lit(0), F.coalesce("__low", F.lit(0)))))
+    slot = F.least(F.col("__from"), every * (F.col("__wilds") + F.least(F.lit(0), F.coalesce("__low", F.lit(0))))) - F.col("__shift")
     # Others before it: of a row of negative taste its slot less those of its kind up to it, of another one its own count less one.
     others = F.when(wild, slot - F.col("__wilds")).otherwise(F.col("__rank") - F.col("__wilds") - 1)
     merged = turned.withColumns({"__others": others, "__plain": (~wild).cast("int")})
-    return _running(merged, band, [F.col("__others"), F.col("__plain"), F.col("__rank")], {"place": F.lit(1)}).select(*names, F.col("place").cast("long").alias("place"))
+    placed = _running(merged, band, [F.col("__others"), F.col("__plain"), F.col("__rank")], {"place": F.lit(1)})
+    return placed.select(*names, (F.col("place") + F.col("__ahead")).cast("long").alias("place"))
 
 
 def sampled(rows: DataFrame, group: str, draw: Column, most: int) -> DataFrame:

@@ -204,11 +204,11 @@ def feedback_state_a(spark, d):
     return folds.feedback_state(active, "user_id", ["seq"], "action", "snooze", ("purchase", "signup"))
 
 
-@query(f"WITH {_POSITIONS}, x AS (SELECT * FROM f WHERE undoes IS NULL AND undoes_seq IS NULL AND NOT EXISTS (SELECT 1 FROM f u WHERE u.user_id = f.user_id AND (u.undoes = f.\"at\" OR u.undoes_seq = f.seq))) {_STATE}")
+@query(f"WITH {_POSITIONS}, x AS (SELECT * FROM f WHERE undoes IS NULL AND undoes_seq IS NULL AND NOT EXISTS (SELECT 1 FROM f u WHERE u.user_id = f.user_id AND (u.undoes = f.\"at\" OR u.undoes_seq = f.seq))) SELECT user_id, arg_max(action, seq) FILTER (action IN ('click', 'view')) AS last_action, CASE WHEN arg_max(action, seq) FILTER (action IN ('click', 'view')) = 'view' THEN (arg_max({{'s': snooze}}, seq) FILTER (action IN ('click', 'view'))).s END AS snooze_until, coalesce(arg_max(action, seq) FILTER (action IN ('purchase', 'signup')) = 'purchase', false) AS published FROM x GROUP BY user_id")
 def feedback_state_b(spark, d):
-    """The state of the queue: undos by time or place of the same key."""
+    """The state of the queue: undos by time or place of the same key; clicks and views set it, views snooze, errors change nothing."""
     active = folds.without_undone(_positions(spark, d), "at", "undoes", "user_id", "seq", "undoes_seq")
-    return folds.feedback_state(active, "user_id", ["seq"], "action", "snooze", ("purchase", "signup"))
+    return folds.queue_state(active, "user_id", ["seq"], "action", "snooze", ["click", "view"], ["view"], ("purchase", "signup"))
 
 
 @query("""SELECT user_id, list_sort(list_distinct(list(event_type))) AS flags, arg_max(value, event_id) FILTER (value > 50) AS big FROM events GROUP BY user_id""")
@@ -325,12 +325,18 @@ def taste_term(spark, d):
     return views.taste_terms(facets, tastes, "p_partkey").withColumn("taste", F.round("taste", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TASTE}, tt AS (SELECT p_partkey, round(greatest(-1, least(1, coalesce(avg(ln((liked + 1) / (disliked + 1))), 0))), 6) AS taste FROM f LEFT JOIN ta USING (facet) GROUP BY p_partkey),
+x AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS band, taste, p_retailprice, taste < 0 AS wild, row_number() OVER (PARTITION BY p_size > 25 ORDER BY p_retailprice / 200 + taste DESC, p_partkey) AS rk FROM part JOIN tt USING (p_partkey)),
+o AS (SELECT band, CASE WHEN band = 'low' THEN (SELECT count(*) FROM x WHERE band = 'high') ELSE 0 END AS ahead FROM (SELECT DISTINCT band FROM x)), y AS (SELECT *, row_number() OVER (PARTITION BY band, wild ORDER BY rk) AS i FROM x),
+r AS (SELECT band, ahead, 0::BIGINT AS p, 0::BIGINT AS ni, 0::BIGINT AS wi, NULL::BIGINT AS p_partkey FROM o UNION ALL
+SELECT band, ahead, p + 1, ni + (NOT takes)::INT, wi + takes::INT, CASE WHEN takes THEN wk ELSE nk END FROM (SELECT r.band, r.ahead, r.p, r.ni, r.wi, w.p_partkey AS wk, n.p_partkey AS nk, w.rk IS NOT NULL AND ((r.ahead + r.p + 1) % 10 = 0 OR n.rk IS NULL OR w.rk < n.rk) AS takes
+FROM r LEFT JOIN y n ON n.band = r.band AND NOT n.wild AND n.i = r.ni + 1 LEFT JOIN y w ON w.band = r.band AND w.wild AND w.i = r.wi + 1 WHERE n.rk IS NOT NULL OR w.rk IS NOT NULL))
+SELECT p_partkey, r.band, x.taste, x.p_retailprice, ahead + p AS place FROM r JOIN x USING (p_partkey)""")
 def for_you(spark, d):
     facets, tastes = _taste(spark, d)
-    rows = t(spark, d, "part").join(views.taste_terms(facets, tastes, "p_partkey"), "p_partkey").withColumn("band", F.when(F.col("p_size") > 25, "high").otherwise("low"))
-    index = rows.select("p_partkey", "band", "taste", "p_retailprice")
-    return views.for_you(index, "band", [F.desc(F.col("p_retailprice") / 200 + F.col("taste")), F.col("p_partkey")], "taste")
+    terms = views.taste_terms(facets, tastes, "p_partkey").withColumn("taste", F.round("taste", 6))
+    index = t(spark, d, "part").join(terms, "p_partkey").select("p_partkey", F.when(F.col("p_size") > 25, "high").otherwise("low").alias("band"), "taste", "p_retailprice")
+    return views.for_you(index, "band", [F.desc(F.col("p_retailprice") / 200 + F.col("taste")), F.col("p_partkey")], "taste", bands=["high", "low"])
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('2024-W01:' || source || ':' || doc_id)) AS n FROM documents) WHERE n <= 10")
@@ -366,13 +372,6 @@ def week_cohort(spark, d):
     return joins.cohort(weeks, "user_id", "week", "n").withColumn("week", F.col("week").cast("string"))
 
 
-@query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(' ' || trim(regexp_replace(d.text, '\\s+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(b.text, '\\s+', ' ', 'g')) || ' ')""")
-def claims_contain(spark, d):
-    texts = t(spark, d, "documents").select("doc_id", "text")
-    quotes = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return joins.quoted(texts, quotes, "text", "quote").select("item_id", "doc_id")
-
-
 @query("""SELECT user_id, max(ts) AS last_at, max(ts) < TIMESTAMP '2024-01-29' AS gone FROM events GROUP BY user_id""")
 def recheck_gone(spark, d):
     e = t(spark, d, "events")
