@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, tasks
 
 #: Words of a shard, words of a range, and words from one mark to the next.
-SHARD_WORDS, RANGE_WORDS, STEP = 4_000_000, 16_000_000, 2_048
-#: Ranges; beyond that (a trillion words) they grow.
+SHARD_WORDS, RANGE_WORDS, STEP = 1_500_000, 1_000_000, 1_024
+#: Ranges; beyond that (65 billion words) they grow.
 MOST_RANGES = 65_536
 #: Bytes of a text that are split at once.
 AT_ONCE = 1 << 20
@@ -159,8 +159,8 @@ def unpacked(data: bytes, depth: int) -> tuple[list[bytes], list[Level], list[bo
     at = head.nbytes + int(head[0])
     text, levels = data[head.nbytes : at], []
     for size in head[1 : 1 + depth].tolist():
-        parent, word, n = np.frombuffer(data, dtype=np.int32, count=3 * size, offset=at).reshape(3, size).astype(np.int64)
-        levels.append((np.cumsum(parent), word, n))
+        parent, word, n = np.frombuffer(data, dtype=np.int32, count=3 * size, offset=at).reshape(3, size)
+        levels.append((np.cumsum(parent, dtype=np.int32), word, n))
         at += 12 * size
     return text.split(b" ") if text else [], levels, head[1 + depth :].astype(bool).tolist()
 
@@ -222,20 +222,22 @@ def merged(tries: list[bytes], depth: int) -> tuple[list[bytes], list[Level], li
     names = pa.concat_arrays([pa.array(n, pa.binary()) for n, _, _ in opened])
     distinct = names.unique()
     distinct = distinct.take(pc.sort_indices(distinct))
-    number = np.asarray(pc.index_in(names, distinct)).astype(np.int64)
+    number = np.asarray(pc.index_in(names, distinct))
     starts = np.cumsum([0, *[len(n) for n, _, _ in opened]])[:-1].tolist()
     levels, own, above, heads = [], [], np.zeros(0, dtype=np.int64), None
     for k in range(depth):
         parts = [levels_[k] for _, levels_, _ in opened]
         word = np.concatenate([number[w + s] for (_, w, _), s in zip(parts, starts, strict=True)])
         parent = np.concatenate([p + s for (p, _, _), s in zip(parts, heads, strict=True)]) if k else np.zeros(len(word), dtype=np.int64)
-        level, place = summed(above[parent] if k else parent, word, np.concatenate([n for _, _, n in parts]), len(distinct))
+        level, place = summed(above[parent] if k else parent, word, np.concatenate([n for _, _, n in parts]).astype(np.int64), len(distinct))
         heads = np.cumsum([0, *[len(w) for _, w, _ in parts]])[:-1].tolist()
         on_way = np.ones(len(level[0]), dtype=bool)
         on_way[place[[h for h, (_, _, o) in zip(heads, opened, strict=True) if o[k]]]] = False
+        for _, levels_, _ in opened:
+            levels_[k] = None  # the sums hold it now
         levels.append(level)
         own.append(on_way)
-        above = place
+        above, parts = place, None
     return distinct.to_pylist(), levels, own
 
 
