@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from lodestone.operators import claims
+from lodestone.operators import catalogue, claims, facts
 from lodestone.plans.tables import query, t
 
 #: White space as claims are folded, for SQL.
@@ -81,3 +79,33 @@ def answer_objects(spark, d):
     shapes = F.array(*[F.lit(text) for text, _, _ in _ANSWERS])
     rows = t(spark, d, "customer").withColumn("text", F.call_function("format_string", shapes[(F.col("c_custkey") % len(_ANSWERS)).cast("int")], F.col("c_custkey"), F.col("c_name")))
     return claims.read_answers(rows, F.col("text"), "key long, name string").select("c_custkey", "answer.key", "problem")
+
+
+#: What a repository's answer says, by document: workflows not fetched, absent or there; a licence of each kind.
+_NODE = """concat('{"nameWithOwner":"', source, '/d', doc_id, '","stargazerCount":', doc_id % 30, ',"forkCount":"many"', CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ',"wf":null' ELSE ',"wf":{"entries":[{"name":"ci.yml"},{"name":""}]}' END,
+CASE doc_id % 4 WHEN 0 THEN ',"licenseInfo":null' WHEN 1 THEN ',"licenseInfo":{}' WHEN 2 THEN ',"licenseInfo":{"spdxId":"MIT"}' ELSE '' END, ',"readme":', to_json(struct(text)), '}')"""
+_FACTS = """k AS (SELECT doc_id, source || '/d' || doc_id AS nwo, doc_id % 30 AS stars, CASE doc_id % 4 WHEN 1 THEN 'NOASSERTION' WHEN 2 THEN 'MIT' END AS licence, octet_length(encode(coalesce(text, ''))) AS readme_bytes,
+CASE WHEN doc_id % 2 = 0 AND doc_id % 5 = 0 THEN 'ci.yml=on: push' WHEN doc_id % 3 = 1 THEN '' WHEN doc_id % 3 = 2 THEN 'ci.yml=' END AS workflows, CASE WHEN doc_id % 2 = 0 THEN 2 END AS tree_count, CASE WHEN doc_id % 2 = 0 THEN 'enrich,deep' ELSE 'enrich' END AS stages FROM documents)"""
+
+
+def _facts(spark, d):
+    """Facts of answers, with a deeper look at every other repository; that brings files for every tenth."""
+    x = t(spark, d, "documents")
+    nodes = x.select("doc_id", F.expr(_NODE).alias("node"), F.lit("2026-09-11T00:00:00Z").alias("at"))
+    files = F.when(F.col("doc_id") % 5 == 0, '{".github/workflows/ci.yml":{"text":"on: push"},"a/.github/workflows/no.yml":{"text":"x"},"go.mod":null}')
+    none = F.lit(None).cast("string")
+    parts = x.where("doc_id % 2 = 0").select("doc_id", none.alias("node"), F.lit('{"tree":[["tests/a_test.py","blob",3],{"path":"b.py","type":"blob"},{"type":"blob"}]}').alias("tree"), none.alias("activity"), none.alias("stars"), files.alias("files"))
+    return facts.merged(facts.from_nodes(nodes, "node", "at"), parts, "doc_id")
+
+
+@query(f"WITH {_FACTS} SELECT * FROM k")
+def facts_normalised(spark, d):
+    """Typed facts of nested answers: what is missing, absent and of another kind, and what later answers add."""
+    shown = F.array_join(F.transform("workflows", lambda w: F.concat(w["name"], F.lit("="), F.coalesce(w["text"], F.lit("")))), ",")
+    return _facts(spark, d).select("doc_id", "nwo", "stars", "licence", F.col("readme.bytes").alias("readme_bytes"), shown.alias("workflows"), F.col("tree.count").alias("tree_count"), F.array_join("stages", ",").alias("stages"))
+
+
+@query(f"WITH {_FACTS} SELECT doc_id, ((licence IS NOT NULL)::INT + (readme_bytes >= 1000)::INT + coalesce(workflows LIKE 'ci%', false)::INT + (tree_count = 2 AND tree_count IS NOT NULL)::INT)::DOUBLE AS points, CASE WHEN stars > 25 THEN 'graduated' ELSE 'low' END AS lane FROM k")
+def facts_scored(spark, d):
+    """From answers to lanes: normalised, merged and judged in one job."""
+    return catalogue.scored(_facts(spark, d), F.col("fetchedAt")).select("doc_id", "points", "lane")
