@@ -78,6 +78,18 @@ def draw(seed: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]).cast("binary"))
 
 
+def mulberry32(seed: Column, n: Column) -> Column:
+    """The n-th number (from 1) of the Mulberry32 generator with a 32-bit seed, in [0, 1), bit by bit as published. Any n costs the same, as the state is a multiple."""
+    mask = F.lit(0xFFFFFFFF)
+    # Products of 32 by 16 bits stay within 64.
+    times = lambda x, y: (x * y.bitwiseAND(F.lit(0xFFFF)) + F.shiftleft((x * F.shiftrightunsigned(y, 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(mask)
+    folded = lambda t, bits: t.bitwiseXOR(F.shiftrightunsigned(t, bits))
+    state = (seed.cast("long").bitwiseAND(mask) + times(n.cast("long").bitwiseAND(mask), F.lit(0x6D2B79F5).cast("long"))).bitwiseAND(mask)
+    first = lambda a: times(folded(a, 15), a.bitwiseOR(F.lit(1)))
+    second = lambda t: t.bitwiseXOR((t + times(folded(t, 7), t.bitwiseOR(F.lit(61)))).bitwiseAND(mask))
+    return F.when(seed.isNotNull() & n.isNotNull(), bound(bound(bound(state, first), second), lambda t: folded(t, 14) / F.lit(4294967296.0)))
+
+
 def cut_utf8(text: Column, most: int) -> Column:
     """The longest prefix of whole characters within so many bytes."""
     raw = F.substring(text.cast("binary"), 1, most)

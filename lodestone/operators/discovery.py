@@ -110,3 +110,39 @@ def split_until(events: DataFrame, at: str, seconds: int, leaf: int, least: int
     for more in done[1:]:
         found = found.unionByName(more)
     return found
+
+
+def value_parts(low: int, high: int) -> list[tuple[str, int, int]]:
+    """Name, least and most value of the parts that a crowded window is split into: the lowest value, the next one, and the rest."""
+    if high <= low:
+        return [(f"{low}", low, low)]
+    if high == low + 1:
+        return [(f"{low}", low, low), (f"{high}", high, high)]
+    return [(f"{low}", low, low), (f"{low + 1}", low + 1, low + 1), (f"{low + 2}..{high}", low + 2, high)]
+
+
+def scan_windows(events: DataFrame, at: str, value: str, seconds: int, leaf: int, least: int, cap: int, low: int, high: int) -> DataFrame:
+    """Windows to scan, of events whose value lies in low to high: low, width, part (null for the whole window), n and saturated.
+
+    Split in time as by split_until; a window of the least width with more than cap rows is split once more, by value, and all parts
+    are listed, empty ones too. What still has more than cap rows can't be split and is saturated.
+    """
+    fitting = events.where(F.col(value).between(low, high))
+    windows = settled(split_until(fitting, at, seconds, leaf, least).select("low", "width", "n"))
+    parts = value_parts(low, high)
+    crowded = (F.col("n") > cap) & (F.col("width") <= least) if len(parts) > 1 else F.lit(False)
+    whole = windows.where(~crowded).select("low", "width", F.lit(None).cast("string").alias("part"), "n")
+    name = F.coalesce(*[F.when(F.col(value).between(a, b), F.lit(k)) for k, a, b in parts])
+    counted = fitting.groupBy(F.unix_seconds(F.col(at).cast("timestamp")).alias("second"), name.alias("part")).agg(F.count(F.lit(1)).alias("m"))
+    # A crowded window has at most `least` seconds, so it meets the counts by seconds.
+    by_second = windows.where(crowded).select("low", "width", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("width") - 1)).alias("second"), F.array(*[F.lit(k) for k, _, _ in parts]).alias("names"))
+    asked = by_second.select("low", "width", "second", F.explode("names").alias("part"))
+    split = asked.join(counted, ["second", "part"], "left").groupBy("low", "width", "part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
+    return whole.unionByName(split).withColumn("saturated", F.col("n") > cap)
+
+
+def done_spans(units: DataFrame, parts: list[str], group: list[str]) -> DataFrame:
+    """group, start and end (whole seconds, inclusive) of what is scanned: units (low, width, part) that are done; a window split by value counts once all of its parts are."""
+    whole = units.groupBy(*group, "low", "width").agg(F.count_if(F.col("part").isNull()).alias("w"), F.size(F.array_intersect(F.collect_set("part"), F.array(*map(F.lit, parts)))).alias("p"))
+    done = whole.where((F.col("w") > 0) | (F.col("p") == len(parts))).select(*group, F.col("low").alias("start"), (F.col("low") + F.col("width") - 1).alias("end"))
+    return merged_spans(done, "start", "end", group)

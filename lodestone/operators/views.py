@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import mulberry32
 from lodestone.operators.common import settled
 
 
@@ -134,6 +135,31 @@ def sampled(rows: DataFrame, group: str, draw: Column, most: int) -> DataFrame:
     return rows.withColumn("__draw", draw).withColumn("__n", n).where(F.col("__n") <= most).drop("__draw", "__n")
 
 
+def drawn_places(draws: list[float], total: int) -> list[int]:
+    """Places (from 0) of a partial Fisher-Yates shuffle of `total` rows, in order of drawing, by one draw in [0, 1) a place. Only places that were swapped are held."""
+    moved: dict[int, int] = {}
+    out = []
+    for i, x in enumerate(draws[:total]):
+        j = i + int(x * (total - i))
+        out.append(moved.get(j, j))
+        moved[j] = moved.get(i, i)
+    return out
+
+
+def drawn(rows: DataFrame, order: list[Column], n: int, seed: int) -> DataFrame:
+    """n rows drawn without replacement, and `draw` (their place in the drawing, from 1): a partial Fisher-Yates of the rows in order, by Mulberry32.
+
+    The order must be unique. The n draws are made in Spark and resolved in the driver, which holds n numbers. Rows are dealt by
+    ranges of the order and numbered within them, so none but the drawn ones moves further.
+    """
+    spark = rows.sparkSession
+    draws = [r["x"] for r in spark.range(1, n + 1).select("id", mulberry32(F.lit(seed), F.col("id")).alias("x")).orderBy("id").collect()]
+    numbered = _running(rows.withColumn("__all", F.lit(0)), "__all", order, {"__place": F.lit(1)})
+    places = [(p + 1, k) for k, p in enumerate(drawn_places(draws, rows.count()), 1)]
+    taken = spark.createDataFrame(places, "__place long, draw long")
+    return numbered.join(taken, "__place").select(*rows.columns, "draw")
+
+
 def review_plan(rows: DataFrame, uncertain: Column, audit: Column, gem: Column, draw: Column, key: str, n: int, share: float = 0.1) -> DataFrame:
     """key and why: the uncertain ones first, best first, n in all; and a seeded audit draw of share * n more from the rest."""
     first = rows.orderBy(F.desc(F.coalesce(uncertain, F.lit(False))), gem.desc(), key).limit(n)

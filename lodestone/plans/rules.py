@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as s
-from lodestone.operators import catalogue, census, explain, folds, lifecycle, views
+from lodestone.operators import catalogue, census, discovery, explain, folds, lifecycle, views
 from lodestone.plans import rule_cases as cases
 from lodestone.plans.tables import QUERIES, SQL, t
 
@@ -570,3 +570,56 @@ def list_filter(spark, d):
 def status_counts(spark, d):
     by = t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.bround("value", 2).cast("decimal(18,2)")).cast("double").alias("cost"), F.max("ts").alias("last_at"))
     return by.orderBy(F.desc("calls"), "user_id").limit(20)
+
+
+def _mulberry(seed: str, n: str) -> str:
+    """The n-th number of the generator, in SQL."""
+    times = lambda a, b: f"((({a})::HUGEINT * ({b})) % 4294967296)::BIGINT"
+    state = f"(({seed})::BIGINT + {times(n, '1831565813')}) % 4294967296"
+    first = f"(SELECT {times('xor(a, a >> 15)', 'a | 1')} FROM (SELECT {state} AS a))"
+    second = f"(SELECT xor(t, (t + {times('xor(t, t >> 7)', 't | 61')}) % 4294967296) FROM (SELECT {first} AS t))"
+    return f"(SELECT xor(u, u >> 14) / 4294967296.0::DOUBLE FROM (SELECT {second} AS u))"
+
+
+@query(f"SELECT event_id, {_mulberry('user_id * 7919', 'event_id % 1000 + 1')} AS draw FROM events")
+def mulberry_draws(spark, d):
+    """Numbers of a published generator, any of them without those before."""
+    return t(spark, d, "events").select("event_id", s.mulberry32(F.col("user_id") * 7919, F.col("event_id") % 1000 + 1).alias("draw"))
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT i, {_mulberry('7', 'i')} AS x FROM (SELECT unnest(range(1, 51)) AS i)), c AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS place, []::STRUCT(k BIGINT, v BIGINT)[] AS moved UNION ALL
+SELECT i + 1, coalesce(list_filter(moved, lambda m: m.k = j)[1].v, j), list_prepend({{'k': j, 'v': coalesce(list_filter(moved, lambda m: m.k = i)[1].v, i)}}, list_filter(moved, lambda m: m.k <> j)) FROM (SELECT r.i, r.moved, (r.i + floor(x.x * (c.n - r.i)))::BIGINT AS j FROM r JOIN x ON x.i = r.i + 1, c WHERE r.i < c.n))
+SELECT doc_id, r.i AS draw FROM r JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) USING (place)""")
+def seeded_draw(spark, d):
+    """Fifty documents without replacement, by a partial shuffle."""
+    return views.drawn(t(spark, d, "documents").select("doc_id"), [F.col("doc_id")], 50, 7)
+
+
+_STARS = "SELECT floor(epoch(ts))::BIGINT AS x, user_id % 40 AS stars FROM events WHERE user_id % 40 <= 25"
+_WINDOWS = f"""e AS (SELECT x, count(*) AS n FROM ({_STARS}) GROUP BY ALL),
+r AS (SELECT x, n, x // 86400 * 86400 AS low, 86400::BIGINT AS width, (sum(n) OVER (PARTITION BY x // 86400))::BIGINT AS total FROM e
+UNION ALL SELECT x, n, low + a, b - a, (sum(n) OVER (PARTITION BY low + a))::BIGINT FROM (SELECT *, i * width // parts AS a, (i + 1) * width // parts AS b FROM
+(SELECT *, ((x - low + 1) * parts - 1) // width AS i FROM (SELECT *, least((total + 19) // 20, width) AS parts FROM r WHERE total > 20 AND width > 7200)))),
+w AS (SELECT low, width, sum(n)::BIGINT AS n FROM r WHERE total <= 20 OR width <= 7200 GROUP BY ALL),
+g AS (SELECT low, width, part, a, b FROM w, (VALUES ('0', 0, 0), ('1', 1, 1), ('2..25', 2, 25)) v(part, a, b) WHERE n > 12 AND width <= 7200),
+z AS (SELECT low, width, NULL::VARCHAR AS part, n FROM w WHERE NOT (n > 12 AND width <= 7200) UNION ALL SELECT low, width, part, count(x) AS n FROM g LEFT JOIN ({_STARS}) s ON s.x >= low AND s.x < low + width AND stars BETWEEN a AND b GROUP BY ALL)"""
+
+
+def _windows(spark, d):
+    e = t(spark, d, "events").withColumn("stars", F.col("user_id") % 40)
+    return discovery.scan_windows(e, "ts", "stars", 86_400, 20, 7_200, 12, 0, 25)
+
+
+@query(f"WITH RECURSIVE {_WINDOWS} SELECT *, n > 12 AS saturated FROM z")
+def scan_windows(spark, d):
+    """Windows split in time, and at their least width by stars; what is still too full is flagged."""
+    return _windows(spark, d)
+
+
+@query(f"""WITH RECURSIVE {_WINDOWS}, u AS (SELECT low // 86400 AS day, * FROM z WHERE NOT coalesce(part = '1' AND low % 3 = 0, false)), c AS (SELECT day, low AS s, low + width - 1 AS e FROM u GROUP BY day, low, width HAVING count(*) FILTER (part IS NULL) > 0 OR count(DISTINCT part) = 3),
+m AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY day ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS f FROM c), k AS (SELECT *, sum(f) OVER (PARTITION BY day ORDER BY s) AS g FROM m) SELECT day, min(s) AS start, max(e) AS "end" FROM k GROUP BY day, g""")
+def scanned_spans(spark, d):
+    """What is scanned when some parts of split windows are missing."""
+    done = _windows(spark, d).where(~F.coalesce((F.col("part") == "1") & (F.col("low") % 3 == 0), F.lit(False))).withColumn("day", F.floor(F.col("low") / 86_400))
+    return discovery.done_spans(done, [k for k, _, _ in discovery.value_parts(0, 25)], ["day"]).select("day", "start", "end")

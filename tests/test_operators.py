@@ -206,3 +206,34 @@ def test_queue_state(spark):
     log = [(1, 1, "gem", None), (1, 2, "label", "2030-01-01"), (2, 1, "snooze", "2030-01-02"), (2, 2, "publish", None), (3, 1, "wip", "2030-01-03"), (3, 2, "notmine", "2030-01-04"), (4, 1, "label", None), (5, 1, "publish", None), (5, 2, "unpublish", None), (5, 3, "wip", None)]
     found = folds.queue_state(spark.createDataFrame(log, "id long, seq long, action string, until string"), "id", ["seq"], "action", "until")
     assert sorted(map(tuple, found.collect())) == [(1, "gem", None, False), (2, "snooze", "2030-01-02", True), (3, "notmine", None, False), (4, None, None, False), (5, "wip", None, False)]
+
+
+def test_draws(spark):
+    got = [r["x"] for r in spark.range(1, 5).select(s.mulberry32(F.lit(42), F.col("id")).alias("x")).orderBy("id").collect()]
+    assert got == [0.6011037519201636, 0.44829055899754167, 0.8524657934904099, 0.6697340414393693]  # the published generator's first numbers
+    draw = random.Random(2)
+    for total in (1, 2, 7, 40):
+        draws = [draw.random() for _ in range(draw.randint(0, 50))]
+        shuffled = list(range(total))
+        for i, x in enumerate(draws[:total]):
+            j = i + int(x * (total - i))
+            shuffled[i], shuffled[j] = shuffled[j], shuffled[i]
+        assert views.drawn_places(draws, total) == shuffled[: len(draws)]
+    rows = spark.range(30).withColumn("k", F.col("id") * 7 % 31)
+    assert sorted(r["id"] for r in views.drawn(rows, [F.col("k")], 50, 3).collect()) == list(range(30))
+    assert views.drawn(rows.where("id < 0"), [F.col("k")], 3, 3).count() == 0 and views.drawn(rows, [F.col("k")], 0, 3).count() == 0
+
+
+def test_scan_windows(spark):
+    rows = [(s, v) for s in range(100, 130) for v in (0, 1, 1, 5)] + [(500, 9)] * 3 + [(90, 99)] * 50
+    table = spark.createDataFrame(rows, "s long, v int").withColumn("at", F.timestamp_seconds("s"))
+    found = {(r["low"], r["width"], r["part"]): (r["n"], r["saturated"]) for r in discovery.scan_windows(table, "at", "v", 1000, 10, 10, 12, 0, 25).collect()}
+    assert sum(n for n, _ in found.values()) == 123 and all(w <= 10 or n <= 10 for (_, w, _), (n, _) in found.items())
+    for (low, width, part), (n, full) in found.items():
+        of = {"0": [0], "1": [1], "2..25": range(2, 26), None: range(26)}[part]
+        assert n == sum(low <= s < low + width and v in of for s, v in rows) and full == (n > 12)
+    crowded = {(low, width) for low, width, part in found if part}
+    assert crowded and all((*w, p) in found for w in crowded for p in ("0", "1", "2..25"))
+    assert [k for k, _, _ in discovery.value_parts(3, 3)] == ["3"] and [k for k, _, _ in discovery.value_parts(0, 1)] == ["0", "1"]
+    units = spark.createDataFrame([("d", 0, 10, None), ("d", 10, 5, "0"), ("d", 10, 5, "1"), ("d", 10, 5, "2..25"), ("d", 15, 5, "0"), ("d", 20, 5, None), ("e", 0, 5, "0")], "day string, low long, width long, part string")
+    assert sorted(map(tuple, discovery.done_spans(units, ["0", "1", "2..25"], ["day"]).select("day", "start", "end").collect())) == [("d", 0, 14), ("d", 20, 24)]
