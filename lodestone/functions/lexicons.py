@@ -122,6 +122,16 @@ PACK_SHRINKS = ["tree", "design", "test", "source", "entry", "workflow", "manife
 COMMON_LOGINS = "test tests code docs data none null true false unknown tree files file main master build tool tools utils core home blog site demo example examples sample project github python java rust node linux android apple google server client config source open free hello world game games chat mail email image video audio music text json html http react swift model release readme licence license shell script library package module plugin theme design notes wiki help support security version install setup guide learn work team labs cloud mobile desktop windows terminal editor browser light dark fast simple small tiny mini micro super meta next time date task todo list graph chart table form input output stream cache store shop crypto token wallet user users admin owner repo bytes".split()
 UNSHOWN = "\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}\\x{E0000}-\\x{E007F}\\x{E0100}-\\x{E01EF}"
 
+#: Names of owners and repositories, of packages of each kind, of Go modules and of scripts; scripts that maintain a project; the lines of code of a README that are looked at.
+NWO = r"^[A-Za-z0-9][A-Za-z0-9-]{0,38}/(?!\.\.?$)[A-Za-z0-9._-]{1,100}$"
+NPM_NAME = r"^(?:@[a-z0-9][a-z0-9._~-]*/)?[a-z0-9][a-z0-9._~-]*$"
+CRATE_NAME = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$"
+PY_SPEC = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(\[[\w,.-]+\])?((?:[=!~<>]=|[<>])[\w.*+!-]+)?$"
+GO_SPEC = r"^([A-Za-z0-9._~/-]+)@(latest|v\d[0-9A-Za-z.+-]*)$"
+SCRIPT_NAME = r"^[A-Za-z0-9:_][A-Za-z0-9:._-]*$"
+HOUSEKEEPING = r"(?i)^(test|lint|format|fmt|typecheck|check|clean|pre|post|publish|release|version)"
+MOST_COMMANDS = 400
+
 
 def anchor(text: str) -> str:
     """A stretch of a pattern, in lower case, that any match must hold; empty if the pattern has none outside its brackets."""

@@ -24,9 +24,9 @@ FACTS = """nwo string, owner string, name string, description string, licence st
 languages array<struct<name:string,bytes:long>>, releases struct<count:long,recent:array<struct<tag:string,publishedAt:string,prerelease:boolean>>>, tags long,
 ownerInfo struct<login:string,type:string,createdAt:string,publicRepos:long,contributionYears:array<int>,sponsorsListing:boolean>, commits struct<total:long,recent:array<struct<headline:string,at:string,authorLogin:string>>>,
 root array<struct<name:string,type:string>>, workflows array<struct<name:string,text:string>>, readme struct<name:string,bytes:long,text:string,fenceLines:long>,
-packageJson struct<testScript:string,deps:int,devDeps:int,peerDeps:int,optionalDeps:int,scripts:array<string>>, manifest struct<path:string,text:string>,
+packageJson struct<testScript:string,deps:int,devDeps:int,peerDeps:int,optionalDeps:int,scripts:array<string>,name:string>, manifest struct<path:string,text:string>,
 tree struct<count:long,truncated:boolean,entries:array<struct<path:string,type:string,size:long>>>, activity struct<pushDays:long,firstAt:string,lastAt:string>, gain4w long,
-outsiders array<struct<login:string,accountCreatedAt:string,at:string>>, funding array<string>, rollup string, agentsMdBytes long, claudeMdBytes long"""
+outsiders array<struct<login:string,accountCreatedAt:string,at:string>>, funding array<string>, rollup string, agentsMdBytes long, claudeMdBytes long, hasIssues boolean, hasDiscussions boolean"""
 
 #: Points of each signal, its kind and, for penalties of which only the worst counts, its group.
 SIGNALS = {

@@ -74,14 +74,14 @@ def entries(v: Column) -> Column:
 
 
 def package_summary(body: Column) -> Column:
-    """struct(testScript, deps, devDeps, peerDeps, optionalDeps, scripts) of a package.json; null if it isn't a JSON object. Scripts stand in order of name, 200 at most."""
+    """struct(testScript, deps, devDeps, peerDeps, optionalDeps, scripts, name) of a package.json; null if it isn't a JSON object. Scripts stand in order of name, 200 at most."""
 
     def read(v: Column) -> Column:
         size = lambda k: F.coalesce(F.size(F.map_keys(F.try_variant_get(v, f"$.{k}", "map<string,variant>"))), F.lit(0)).cast("int")
         known = F.map_filter(F.try_variant_get(v, "$.scripts", "map<string,variant>"), lambda _, x: kind(x) == "STRING")
         names = F.slice(F.array_sort(F.coalesce(F.map_keys(known), F.array().cast("array<string>"))), 1, 200)
         sizes = [size(k).alias(n) for k, n in (("dependencies", "deps"), ("devDependencies", "devDeps"), ("peerDependencies", "peerDeps"), ("optionalDependencies", "optionalDeps"))]
-        return F.when(is_object(v), F.struct(F.substring(text(v, ".scripts.test"), 1, 500).alias("testScript"), *sizes, names.alias("scripts")))
+        return F.when(is_object(v), F.struct(F.substring(text(v, ".scripts.test"), 1, 500).alias("testScript"), *sizes, names.alias("scripts"), F.substring(text(v, ".name"), 1, 214).alias("name")))
 
     return bound(F.try_parse_json(F.regexp_replace(body, "^\\x{FEFF}", "")), read)
 
@@ -137,7 +137,7 @@ def from_nodes(rows: DataFrame, node: str, fetched_at: str, repair: str | None =
         "stars": count(n, ".stargazerCount"), "forks": count(n, ".forkCount"), "diskKB": count(n, ".diskUsage"), "lang": text(n, ".primaryLanguage.name"), "homepageUrl": filled(n, ".homepageUrl"), "codeBytes": F.col("__langs.codeBytes"),
         "languages": F.col("__langs.languages"), "releases": releases(at(n, ".releases")), "tags": count(n, ".tags.totalCount"), "ownerInfo": F.when(is_object(at(n, ".owner")), owner), "commits": commits(at(n, ".defaultBranchRef")),
         "root": entries(at(n, ".root")), "workflows": F.transform(entries(at(n, ".wf")), lambda e: F.struct(e["name"], F.lit(None).cast("string").alias("text"))), "readme": readme(F.col("__found"), text(F.col("__r"), ".name")),
-        "packageJson": F.when(is_object(at(n, ".pkg")), package_summary(text(n, ".pkg.text"))), "rollup": F.when(rollup.isin(ROLLUPS), rollup), "agentsMdBytes": size_of(at(n, ".agents")), "claudeMdBytes": size_of(at(n, ".claude")),
+        "packageJson": F.when(is_object(at(n, ".pkg")), package_summary(text(n, ".pkg.text"))), "rollup": F.when(rollup.isin(ROLLUPS), rollup), "agentsMdBytes": size_of(at(n, ".agents")), "claudeMdBytes": size_of(at(n, ".claude")), "hasIssues": flag(n, ".hasIssuesEnabled"), "hasDiscussions": flag(n, ".hasDiscussionsEnabled"),
     }
     empty = rows.sparkSession.createDataFrame([], FACTS).schema
     facts = [F.when(name.isNotNull(), made[f.name]).cast(f.dataType).alias(f.name) if f.name in made else F.lit(None).cast(f.dataType).alias(f.name) for f in empty]

@@ -108,3 +108,15 @@ RESCORED = [
     "3 14 3 look look", "3 14 1 look look", "3 14 3 look rising", "3 14 3 look gone", "3 14 3 look quarantine", "3 14 3 look institutional", "5 16 5 look look", "1 14 1 low doubted", "3 14 3 look doubted",
     "-2 13 -2 low low", "13 14 12.60639187 gem proven", "13 14 13.02714187 gem proven", "7 14 6.43764187 gem promising",
 ]
+
+NPM = {"packageJson": {"name": "@octo/tool", "scripts": ["dev", "test", "start"]}}
+#: Code of a README, facts, and the ladder of support by hand: the command, then the other rungs.
+LADDERS = [
+    ("npm i -g @octo/tool", NPM | {"tags": 1}, "npm install -g @octo/tool", "star releases"),
+    ("npm test\nnpm run dev -- --port 3000", NPM | {"hasIssues": True, "homepageUrl": "https://demo.x/y"}, "npm run dev", "demo star feedback"),
+    ("cargo install my-tool --locked", {"manifest": {"path": "Cargo.toml", "text": "[package]\nname = 'my_tool'\n"}}, "cargo install my-tool --locked", "star"),
+    ("pip install -U 'my_tool[all]>=1.0'", {"manifest": {"path": "pyproject.toml", "text": "[tool.poetry]\nname = 'My.Tool'\n"}}, "pip install my_tool", "star"),
+    ("go install github.com/octo/tool/cmd/x@latest", {"funding": ["javascript:x", "https://patreon.com/z"]}, "go install github.com/octo/tool/cmd/x@latest", "star sponsor"),
+    ("go install github.com/octo/toolbox@latest", {"ownerInfo": {"sponsorsListing": True}}, None, "star sponsor"),
+    ("npm install other", NPM, None, "star"),
+]

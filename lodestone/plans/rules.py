@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as s
-from lodestone.operators import catalogue, census, discovery, explain, folds, lifecycle, views
+from lodestone.operators import catalogue, census, discovery, explain, folds, lifecycle, support, views
 from lodestone.plans import rule_cases as cases
 from lodestone.plans.tables import QUERIES, SQL, t
 
@@ -294,10 +294,11 @@ def named_expectations(spark, d):
     return rows.select("c_custkey", lifecycle.expectation_problems(lane, F.lit("gem"), F.col("c_acctbal"), F.col("gates"), F.col("actions"), F.col("e")).alias("problems"))
 
 
-@query("SELECT unnest(generate_series(0, 23)) AS k, TIMESTAMP '2024-01-31 23:00:00' - to_hours(unnest(generate_series(0, 23))) AS hour")
+@query("SELECT user_id, k, date_trunc('hour', last_at - INTERVAL 75 MINUTE) - to_hours(k) AS hour FROM (SELECT user_id, max(ts) AS last_at FROM events GROUP BY user_id), (SELECT unnest(generate_series(0, 23)) AS k)")
 def complete_hours(spark, d):
-    """The newest hours that are over for a quarter of an hour."""
-    return spark.range(1).select(F.posexplode(census.complete_hours(F.lit("2024-02-01 00:20:00").cast("timestamp"), 24)).alias("k", "hour")).select(F.col("k").cast("long").alias("k"), "hour")
+    """The newest whole hours before each user's last event."""
+    last = t(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("at"))
+    return last.select("user_id", F.posexplode(census.complete_hours(F.col("at"), 24)).alias("k", "hour")).withColumn("k", F.col("k").cast("long"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') || '-' || extract(hour FROM ts) AS name FROM events")
@@ -305,9 +306,12 @@ def hour_names(spark, d):
     return t(spark, d, "events").select("event_id", census.hour_name(F.col("ts")).alias("name"))
 
 
-@query("SELECT k, (DATE '2024-01-31' - 3 - k::INT)::VARCHAR AS day FROM (SELECT unnest(generate_series(0, 5)) AS k)")
+@query("SELECT user_id, k, (last_at::DATE - 3 - k::INT)::VARCHAR AS day FROM (SELECT user_id, max(ts) AS last_at FROM events GROUP BY user_id), (SELECT unnest(generate_series(0, 5)) AS k)")
 def census_days(spark, d):
-    return spark.range(1).select(F.posexplode(census.planned_days(F.lit("2024-01-31").cast("date"), 3, 5)).alias("k", "day")).select(F.col("k").cast("long").alias("k"), F.col("day").cast("string").alias("day"))
+    """The days to look at again, from three days before each user's last event on."""
+    last = t(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("at"))
+    days = last.select("user_id", F.posexplode(census.planned_days(F.to_date("at"), 3, 5)).alias("k", "day"))
+    return days.select("user_id", F.col("k").cast("long").alias("k"), F.col("day").cast("string").alias("day"))
 
 
 @query("SELECT n_nationkey, k, (DATE '2024-01-31')::TIMESTAMP + to_hours(((CASE WHEN n_nationkey <= 23 THEN n_nationkey ELSE 0 END + k) % 24)::INT) AS hour FROM nation, (SELECT unnest(generate_series(0, 23)) AS k)")
@@ -623,3 +627,17 @@ def scanned_spans(spark, d):
     """What is scanned when some parts of split windows are missing."""
     done = _windows(spark, d).where(~F.coalesce((F.col("part") == "1") & (F.col("low") % 3 == 0), F.lit(False))).withColumn("day", F.floor(F.col("low") / 86_400))
     return discovery.done_spans(done, [k for k, _, _ in discovery.value_parts(0, 25)], ["day"]).select("day", "start", "end")
+
+
+def _ladders_sql() -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(command)}, {quoted(' '.join((['try'] if command else []) + rungs.split()))})" for i, (_, _, command, rungs) in enumerate(cases.LADDERS))
+    return f"SELECT c_custkey, command, rungs FROM customer JOIN (VALUES {values}) v(case_no, command, rungs) ON c_custkey % {len(cases.LADDERS)} = case_no"
+
+
+@query(_ladders_sql())
+def support_ladders(spark, d):
+    """Commands that check out against a repository's own files, and the rungs that apply."""
+    given = [("", facts | {"nwo": "octo/tool"} | cases.readme(f"words\n```sh\n{code}\n```\n")) for code, facts, _, _ in cases.LADDERS]
+    found = _facts(spark, d, given).withColumn("l", support.ladder())
+    return found.select("c_custkey", F.get("l", F.lit(0))["command"].alias("command"), F.array_join(F.transform("l", lambda x: x["kind"]), " ").alias("rungs"))

@@ -44,7 +44,7 @@ def test_nodes(read):
     assert all(found[i]["problem"] and found[i]["nwo"] is None and found[i]["stars"] is None for i in (1, 2, 3))
     y, z = found[4], found[5]
     assert y["commits"] == {"total": 0, "recent": []} and y["workflows"] is None and y["root"] is None and y["ownerInfo"] is None
-    assert y["packageJson"] == {"testScript": "x", "deps": 1, "devDeps": 0, "peerDeps": 0, "optionalDeps": 0, "scripts": ["a", "test"]}
+    assert y["packageJson"] == {"testScript": "x", "deps": 1, "devDeps": 0, "peerDeps": 0, "optionalDeps": 0, "scripts": ["a", "test"], "name": None}
     assert z["readme"] == {"name": "readme.rst", "bytes": 5, "text": "hello", "fenceLines": 0} and z["packageJson"] is None and z["commits"] is None and z["root"] == []
 
 
