@@ -120,3 +120,15 @@ LADDERS = [
     ("go install github.com/octo/toolbox@latest", {"ownerInfo": {"sponsorsListing": True}}, None, "star sponsor"),
     ("npm install other", NPM, None, "star"),
 ]
+
+#: Markdown, and its blocks in a line, by hand.
+MARKDOWN = [
+    ("# Title *with* emphasis\n\nSub\n===\n\nOther\n---", "heading1:Title with emphasis|heading1:Sub|heading2:Other"),
+    ("A **bold** `code` [link](https://a.example/x) ![alt](i.png) <https://b.example> https://c.example.\n<b>x</b> and \\*escaped\\*", "paragraph:A bold code link<https://a.example/x> [image: alt] https://b.example<https://b.example> https://c.example<https://c.example>. <b>x</b> and *escaped*"),
+    ("- one\n- two [ref][r]\n  continued\n\n3. three\n4. four\n\n[r]: https://ref.example", "list:one;two ref<https://ref.example> continued|list3:three;four"),
+    ("> quoted\n> > nested\nplain\n\n---\n| a | b |\n|---|---|\n| 1 | 2 |\n", "quote:quoted nested|paragraph:plain|rule:|paragraph:a / b|paragraph:1 / 2"),
+    ("```js\nconst x = 1;\n```\n\n    indented\n\n    code\n\nend", "codejs:const x = 1;|code:indented\n\ncode|paragraph:end"),
+    ("~~~\nunclosed ``` fence", "code:unclosed ``` fence"),
+    ("[x](javascript:alert(1)) [no][ref] ``a ` b`` snake_case_name _em_", "paragraph:x<javascript:alert(1)> [no][ref] a ` b snake_case_name em"),
+    ("", ""),
+]

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import markdown
 from lodestone.functions import scalars as s
 from lodestone.operators import catalogue, census, discovery, explain, folds, lifecycle, support, views
 from lodestone.plans import rule_cases as cases
@@ -641,3 +642,22 @@ def support_ladders(spark, d):
     given = [("", facts | {"nwo": "octo/tool"} | cases.readme(f"words\n```sh\n{code}\n```\n")) for code, facts, _, _ in cases.LADDERS]
     found = _facts(spark, d, given).withColumn("l", support.ladder())
     return found.select("c_custkey", F.get("l", F.lit(0))["command"].alias("command"), F.array_join(F.transform("l", lambda x: x["kind"]), " ").alias("rungs"))
+
+
+def _markdown_sql() -> str:
+    values = ", ".join(f"({i}, '{said}')" for i, (_, said) in enumerate(cases.MARKDOWN))
+    return f"SELECT c_custkey, outline FROM customer JOIN (VALUES {values}) v(case_no, outline) ON c_custkey % {len(cases.MARKDOWN)} = case_no"
+
+
+@query(_markdown_sql())
+def readme_blocks(spark, d):
+    """Markdown of many shapes as plain blocks."""
+    texts = F.array(*[F.lit(md) for md, _ in cases.MARKDOWN])
+    rows = t(spark, d, "customer").select("c_custkey", texts[(F.col("c_custkey") % len(cases.MARKDOWN)).cast("int")].alias("text"))
+    return rows.withColumn("b", markdown.safe_blocks(F.col("text"))).select("c_custkey", F.replace(markdown.outline(F.col("b")), F.lit(" | "), F.lit(" / ")).alias("outline"))
+
+
+@query("SELECT doc_id, text IS NOT NULL AND trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' AS says FROM documents")
+def document_blocks(spark, d):
+    """Whole documents as blocks: one that says something has a block."""
+    return t(spark, d, "documents").select("doc_id", (F.size(markdown.safe_blocks(F.col("text"))) > 0).alias("says"))
