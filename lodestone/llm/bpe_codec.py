@@ -5,8 +5,10 @@ and keeps, for each occurrence, the word's place in the list. Both are packed an
 A shuffle brings the parts of one hash together, so that each distinct word of the corpus is met by one task, which encodes it
 once (unless over KEPT_WORDS of them meet there) and answers every part with its words' ids, in their order. A second shuffle
 brings the answers of a chunk together, and they are joined with its occurrences, which stay where they were written: the ids of
-its texts are a gather by position. Decoding looks ids up in the table of ids and pieces, which the vocabulary bounds, once for
-each of the list, and gathers their bytes likewise. `decode` does the same for ids from elsewhere.
+its texts are a gather by position. `decode` lists each distinct id of a chunk once, and joins the lists, part by part, with a table
+of ids and pieces; texts are gathers of the pieces by place. `digests` holds both directions in one pass: its ids are at hand when a
+chunk is put together, so it takes their pieces from the vocabulary's table in the task, which a join would only carry there again
+(see the README for figures).
 
 Shuffled are packed lists of the distinct words of each chunk and their ids, never occurrences.
 
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer
@@ -177,6 +179,11 @@ def _unpacked(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
+def n_parts(spark: SparkSession) -> int:
+    """How many parts the lists of distinct units are in."""
+    return min(65_535, max(16, tasks(spark)))
+
+
 def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], key: Callable, name: str) -> DataFrame:
     """chunk, lists (packed parts of its distinct units, by key), kept (its rows, and how many units each has), parts_of and places.
 
@@ -186,7 +193,7 @@ def _chunks(rows: DataFrame, units: Callable[[pa.Array], tuple[pa.Array, np.ndar
     rows: kept columns, then what is cut into units. The table is bucketed by chunk, so that what is joined with it comes to it.
     """
     spark, most = rows.sparkSession, CHUNK_BYTES
-    parts = min(65_535, max(16, tasks(spark)))
+    parts = n_parts(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
@@ -365,21 +372,43 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return _by_row(chunks, _answers(chunks, _word_ids(tokenizer_path)), make, kept, added)
 
 
+def piece_table(spark: SparkSession, tokenizer_path: str, parts: int) -> DataFrame:
+    """part and pieces: the bytes of the ids part, part + parts, part + 2 * parts and so on, in order. The vocabulary bounds it."""
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held(byte_pieces, tokenizer_path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[i] for i in batch.column(0).to_pylist()], pa.binary())], ["id", "piece"])
+
+    rows = spark.range(len(held(byte_pieces, tokenizer_path))).mapInArrow(spelt, "id long, piece binary")
+    listed = rows.groupBy((F.col("id") % parts).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("own"))
+    return listed.select("part", F.col("own.piece").alias("pieces"))
+
+
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id and text of each row of ids, by a join with the table of ids and pieces; null ids decode to the empty text, unknown ones to nothing."""
+    """id and text of each row of ids, by a join of the chunks' distinct ids with the table of ids and pieces; null ids decode to the empty text, unknown ones to nothing."""
+    spark, parts = encoded.sparkSession, n_parts(encoded.sparkSession)
     kept = _kept(encoded, [id_col]).schema
     rows = encoded.select(F.col(f"`{id_col}`"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("__ids"))
     chunks = _chunks(rows, _ids_in, int, "ids")
+    asked = chunks.select("chunk", F.posexplode("lists").alias("part", "data")).where("data IS NOT NULL")
 
-    def pieces() -> Callable[[pa.Array], pa.Array]:
-        known = held(byte_pieces, tokenizer_path)
-        return lambda ids: pa.array([known[i] if 0 <= i < len(known) else b"" for i in ids.to_pylist()], pa.binary())
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.column(3)[k].as_py() or []
+                ids = _unpacked(batch.column(2)[k].as_py()).column(0).to_pylist()
+                found = pa.array([own[i // parts] if 0 <= i < parts * len(own) else b"" for i in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([_packed([found], ["data"])], pa.binary())], ["chunk", "part", "data"])
 
-    def make(answers: pa.Array | None) -> Callable:
-        flat, starts = _flat(answers.to_pylist() if answers is not None else [])
+    met = asked.join(piece_table(spark, tokenizer_path, parts), "part", "left").select("chunk", "part", "data", "pieces")
+    answers = met.mapInArrow(spelt, "chunk long, part int, data binary").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("answers"))
+
+    def make(found: pa.Array | None) -> Callable:
+        flat, starts = _flat(found.to_pylist() if found is not None else [])
         return lambda places, lengths: [pa.array([x.tobytes().decode("utf-8", "replace") for x in _gathered(flat, starts, places, lengths)], pa.string())]
 
-    return _by_row(chunks, _answers(chunks, pieces), make, kept, StructType().add("text", "string"))
+    return _by_row(chunks, answers, make, kept, StructType().add("text", "string"))
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

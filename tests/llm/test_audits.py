@@ -215,3 +215,18 @@ def test_registered_queries_equal_plain_versions(spark, sf, name):
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = plain_divergence(rows, 10, 10) if name == "op11_divergence" else plain_collocations(rows, 3, 10, 2_000)
     assert sorted(map(tuple, __spark_entry__.queries()[name](spark, sf).collect())) == want
+
+
+def test_decoding_joins_ids_with_pieces(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import bpe_codec
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    table = {i: p for r in bpe_codec.piece_table(spark, path, 16).collect() for i, p in zip(range(r["part"], 10**6, 16), r["pieces"])}
+    assert len(table) == 50_257 and all(bytes(table[i]).decode("utf-8", "replace") == library.decode([i], skip_special_tokens=False) for i in (0, 17, 300, 50_255, 50_256))
+    rows = [(1, library.encode("naïve 漢字 <|endoftext|>").ids), (2, []), (3, None), (4, [0, -5, 60_000, 1]), (None, [50_256])]
+    found = {r["doc_id"]: r["text"] for r in bpe_codec.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), path).collect()}
+    assert found == {1: "naïve 漢字 <|endoftext|>", 2: "", 3: "", 4: '!"', None: "<|endoftext|>"}
