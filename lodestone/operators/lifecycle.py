@@ -32,6 +32,33 @@ def merged_seed(now: Column, requeue_days: int = 7) -> Column:
     )
 
 
+def merged_candidates(stored: DataFrame, seeds: DataFrame, key: str, now: Column, live: list[str], requeue_days: int = 7) -> DataFrame:
+    """stored candidates and the seeds that meet them, whole: live values, sources, state and times; with change: new, reopened, merged or kept.
+
+    stored: key, the live fields (pushed_at among them), sources, state, reason, prior, next_at, seen_at, looked_at (null: never looked
+    at). seeds: key, the live fields, source, and the prefilter's pre_state, pre_reason, pre_prior and pre_next_at; unique by key. A live
+    value that a seed lacks stays; a source is added once, at the end. One join by key.
+    """
+    c, n = stored.alias("c"), seeds.alias("n")
+    joined = c.join(n, F.col(f"c.{key}") == F.col(f"n.{key}"), "full")
+    known, met = F.col(f"c.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
+    pre = [f"pre_{x}" for x in ("state", "reason", "prior", "next_at")]
+    rows = joined.select(
+        F.coalesce(f"c.{key}", f"n.{key}").alias(key), known.alias("__known"), met.alias("__met"), *[F.coalesce(f"n.{f}", f"c.{f}").alias(f"__{f}") for f in live], F.col("n.source").alias("__source"), F.coalesce("c.sources", F.array().cast("array<string>")).alias("sources"),
+        "c.state", "c.reason", "c.prior", F.col("c.next_at").alias("__next_at"), F.col("c.seen_at").alias("__seen_at"), F.coalesce("c.looked_at", "c.seen_at").alias("looked_at"), F.col("c.looked_at").alias("__looked_at"), F.col("c.pushed_at").alias("pushed_at"), F.col("n.pushed_at").alias("seed_pushed_at"), *[f"n.{x}" for x in pre],
+    )
+    merged = merged_seed(now, requeue_days)
+    first = F.struct(F.col("pre_state").alias("state"), F.col("pre_reason").alias("reason"), F.col("pre_prior").cast("int").alias("prior"), F.when(F.col("pre_state") == "deferred", F.col("pre_next_at")).alias("next_at"), F.lit(False).alias("reopened"))
+    same = F.struct(F.col("state").alias("state"), F.col("reason").alias("reason"), F.col("prior").cast("int").alias("prior"), F.col("__next_at").alias("next_at"), F.lit(False).alias("reopened"))
+    # What isn't opened again keeps its own time.
+    own = F.when(merged["reopened"], merged).otherwise(merged.withField("next_at", F.col("__next_at")))
+    rows = rows.withColumn("__m", F.when(~F.col("__known"), first).when(F.col("__met"), own).otherwise(same))
+    change = F.when(~F.col("__known"), "new").when(F.col("__m.reopened"), "reopened").when(F.col("__met"), "merged").otherwise("kept")
+    listed = F.when(F.col("__source").isNull() | F.array_contains("sources", F.col("__source")), F.col("sources")).otherwise(F.concat("sources", F.array("__source")))
+    seen = F.when(~F.col("__known") | F.col("__m.reopened"), now).otherwise(F.col("__seen_at"))
+    return rows.select(key, *[F.col(f"__{f}").alias(f) for f in live], listed.alias("sources"), "__m.state", "__m.reason", "__m.prior", "__m.next_at", seen.alias("seen_at"), F.col("__looked_at").alias("looked_at"), change.alias("change"))
+
+
 def settled_state(gates: Column, actions: Column) -> Column:
     """struct(state, reason) after enrichment: dropped by the first gate that drops, quarantined by the first that does, else enriched."""
     named = F.arrays_zip(gates.alias("gate"), actions.alias("action"))

@@ -661,3 +661,27 @@ def readme_blocks(spark, d):
 def document_blocks(spark, d):
     """Whole documents as blocks: one that says something has a block."""
     return t(spark, d, "documents").select("doc_id", (F.size(markdown.safe_blocks(F.col("text"))) > 0).alias("says"))
+
+
+_MERGE = """c AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'deferred' WHEN 1 THEN 'queued' WHEN 2 THEN 'enriched' WHEN 3 THEN 'dropped' WHEN 4 THEN 'gone' ELSE 'quarantined' END AS state, CASE WHEN c_custkey % 6 = 3 THEN CASE WHEN c_custkey % 4 = 1 THEN 'owner-cap' ELSE 'g.spam.words' END END AS reason, c_custkey % 5 AS prior,
+CASE WHEN c_custkey % 6 = 0 THEN TIMESTAMP '2024-03-01' END AS next_at, TIMESTAMP '2024-01-05' AS pushed_at, c_custkey % 30 AS stars, ['census'] AS sources, TIMESTAMP '2024-02-01' - to_days((c_custkey % 11)::INT) AS seen_at, CASE WHEN c_custkey % 4 <> 0 THEN TIMESTAMP '2024-02-01' - to_days((c_custkey % 10)::INT) END AS looked_at FROM customer WHERE c_custkey % 3 <> 2),
+n AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN TIMESTAMP '2024-01-20' END AS pushed_at, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END AS stars, CASE WHEN c_custkey % 2 = 0 THEN 'census' ELSE 'archive' END AS source, CASE WHEN c_nationkey % 4 = 0 THEN 'deferred' WHEN c_nationkey % 4 = 1 THEN 'dropped' ELSE 'queued' END AS pre_state, CASE WHEN c_nationkey % 4 = 0 THEN 'no-language-yet' WHEN c_nationkey % 4 = 1 THEN 'attention' END AS pre_reason, c_nationkey % 5 AS pre_prior, TIMESTAMP '2024-02-08' AS pre_next_at FROM customer WHERE c_custkey % 5 <> 0)"""
+
+
+@query(f"""WITH {_MERGE}, j AS (SELECT coalesce(c.k, n.k) AS c_custkey, c.k IS NOT NULL AS known, n.k IS NOT NULL AS met, c.*, n.pushed_at AS np, n.stars AS ns, source, pre_state, pre_reason, pre_prior, pre_next_at FROM c FULL JOIN n ON c.k = n.k),
+o AS (SELECT *, known AND met AND (state IN ('deferred', 'gone') OR coalesce(reason = 'owner-cap', false)) AS anew, known AND met AND state = 'enriched' AND coalesce(np > pushed_at, false) AND date_diff('day', coalesce(looked_at, seen_at), TIMESTAMP '2024-02-01') >= 7 AS again FROM j)
+SELECT c_custkey, coalesce(np, pushed_at)::VARCHAR AS pushed_at, coalesce(ns, stars) AS stars, array_to_string(CASE WHEN source IS NULL OR list_contains(coalesce(sources, []), source) THEN coalesce(sources, []) ELSE list_append(coalesce(sources, []), source) END, ',') AS sources, CASE WHEN NOT known OR anew THEN pre_state WHEN again THEN 'queued' ELSE state END AS state, CASE WHEN NOT known OR anew THEN pre_reason WHEN again THEN 'pushed' ELSE reason END AS reason,
+(CASE WHEN NOT known OR anew THEN pre_prior WHEN met AND state = 'queued' THEN greatest(prior, pre_prior) WHEN again THEN pre_prior + 2 ELSE prior END)::INT AS prior, CASE WHEN NOT known OR anew THEN CASE WHEN pre_state = 'deferred' THEN pre_next_at::VARCHAR END WHEN again THEN NULL ELSE next_at::VARCHAR END AS next_at, CASE WHEN NOT known OR anew OR again THEN '2024-02-01 00:00:00' ELSE seen_at::VARCHAR END AS seen_at, CASE WHEN NOT known THEN 'new' WHEN anew OR again THEN 'reopened' WHEN met THEN 'merged' ELSE 'kept' END AS change FROM o""")
+def merge_candidates(spark, d):
+    """Seeds merged into stored candidates, whole: live values, sources, states, times and what changed."""
+    x, k, nk = t(spark, d, "customer"), F.col("c_custkey"), F.col("c_nationkey")
+    day = lambda text: F.lit(text).cast("timestamp")
+    state = F.element_at(F.array(*map(F.lit, ("deferred", "queued", "enriched", "dropped", "gone", "quarantined"))), (k % 6 + 1).cast("int"))
+    back = lambda n: day("2024-02-01") - F.make_dt_interval(days=(k % n).cast("int"))
+    stored = x.where(k % 3 != 2).select(k, day("2024-01-05").alias("pushed_at"), (k % 30).alias("stars"), F.array(F.lit("census")).alias("sources"), state.alias("state"), F.when(k % 6 == 3, F.when(k % 4 == 1, "owner-cap").otherwise("g.spam.words")).alias("reason"), (k % 5).alias("prior"), F.when(k % 6 == 0, day("2024-03-01")).alias("next_at"), back(11).alias("seen_at"), F.when(k % 4 != 0, back(10)).alias("looked_at"))
+    pre = F.when(nk % 4 == 0, "deferred").when(nk % 4 == 1, "dropped").otherwise("queued")
+    why = F.when(nk % 4 == 0, "no-language-yet").when(nk % 4 == 1, "attention")
+    seeds = x.where(k % 5 != 0).select(k, F.when(F.col("c_acctbal") > 0, day("2024-01-20")).alias("pushed_at"), F.when(nk % 2 == 0, nk.cast("long")).alias("stars"), F.when(k % 2 == 0, "census").otherwise("archive").alias("source"), pre.alias("pre_state"), why.alias("pre_reason"), (nk % 5).alias("pre_prior"), day("2024-02-08").alias("pre_next_at"))
+    found = lifecycle.merged_candidates(stored, seeds, "c_custkey", day("2024-02-01"), ["pushed_at", "stars"])
+    times = {c: F.col(c).cast("string") for c in ("pushed_at", "next_at", "seen_at")}
+    return found.withColumns({"sources": F.array_join("sources", ",")} | times).drop("looked_at")
