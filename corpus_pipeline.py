@@ -35,10 +35,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     inner = docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()])
 
     def judged(rows: DataFrame, keep: list[str]) -> DataFrame:
-        return language_id.predict(rows, languages, prototypes, keep, text_col=own["text"]).withColumn("letters", language_id.length_class(F.col(own["text"])))
+        return language_id.predict(rows, languages, prototypes, keep, text_col=own["text"], length_col="letters")
 
     teaching = inner.where(F.col(own["doc_id"]).isNotNull() & ~language_id.held_out(own["doc_id"]) & F.col(own["lang"]).isNotNull())
-    cuts = language_id.cutoffs(judged(teaching, [own["lang"], own["text"]]), F.col(own["lang"]).cast("string") == F.col("lang_pred"), "letters")
+    cuts = language_id.cutoffs(judged(teaching, [own["lang"]]), F.col(own["lang"]).cast("string") == F.col("lang_pred"), "letters")
     return judged(inner, list(own.values())).where(language_id.accepted(cuts, "letters")).select([F.col(n).alias(c) for c, n in own.items()])
 
 

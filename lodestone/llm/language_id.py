@@ -61,8 +61,8 @@ class Encoder:
             self.vectors[at] = bound
         return at
 
-    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Places and counts of a text's distinct n-grams; None without letters."""
+    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Places and counts of a text's distinct n-grams, and how many letters it has; None without letters."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
         distinct = np.unique(points) if len(points) < 2_000_000 else np.flatnonzero(np.bincount(points)).astype(np.uint32)
         letters = np.array([c for c in distinct.tolist() if chr(c).isalpha()], dtype=np.uint32)
@@ -71,6 +71,7 @@ class Encoder:
         code = np.zeros(int(distinct[-1]) + 1, dtype=np.int64)
         code[letters] = np.arange(1, len(letters) + 1)
         row = code[points]
+        n_letters = int(np.count_nonzero(row))
         row = row[(row > 0) | (np.append(1, row[:-1]) > 0)]
         row = np.concatenate([[0], row[int(row[0] == 0) :], [0] * max(1, self.n - len(row) - 1)])
         base = len(letters) + 1
@@ -80,10 +81,15 @@ class Encoder:
         found, counts = np.unique(joined, return_counts=True)
         original = np.append(0, letters)
         digits = np.stack([original[found // base ** (self.n - 1 - k) % base] for k in range(self.n)], axis=1)
-        return np.fromiter((self.gram(tuple(d)) for d in digits.tolist()), np.int64, len(digits)), counts
+        return np.fromiter((self.gram(tuple(d)) for d in digits.tolist()), np.int64, len(digits)), counts, n_letters
 
     def encode(self, texts: list[str], rows: int = 64) -> Iterator[tuple[int, np.ndarray]]:
         """(place in texts, unit vector) of each text that has letters."""
+        for i, v, _ in self.counted(texts, rows):
+            yield i, v
+
+    def counted(self, texts: list[str], rows: int = 64) -> Iterator[tuple[int, np.ndarray, int]]:
+        """encode(), with how many letters each text has."""
         for start in range(0, len(texts), rows):
             if len(self.place) > KEPT_GRAMS:
                 self._forget()
@@ -95,8 +101,8 @@ class Encoder:
             counts[np.repeat(np.arange(len(found)), [len(g[0]) for _, g in found]), at] = np.concatenate([g[1] for _, g in found])
             bundled = counts @ self.vectors[used].astype(np.float32)
             norms = np.linalg.norm(bundled, axis=1, keepdims=True)
-            for (i, _), v in zip(found, bundled / np.where(norms > 0, norms, 1), strict=True):
-                yield i, v
+            for (i, g), v in zip(found, bundled / np.where(norms > 0, norms, 1), strict=True):
+                yield i, v, g[2]
 
 
 def encoder(n: int, dimensions: int) -> Encoder:
@@ -129,12 +135,17 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", n
     return [r["lang"] for r in rows], prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep: list[Column | str], text_col: str = "text", n: int = 3) -> DataFrame:
-    """The kept columns, lang_pred, score (cosine, from 0) and margin (over the next language) of each row."""
+def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep: list[Column | str], text_col: str = "text", n: int = 3, length_col: str | None = None) -> DataFrame:
+    """The kept columns, lang_pred, score (cosine, from 0) and margin (over the next language) of each row.
+
+    length_col, if named, is a text's length class: the whole part of log2 of its letters, null without letters or where nothing
+    was learnt. Scores grow with length, so texts are compared within a class.
+    """
     kept = docs.select(*keep)
-    if len(set(kept.columns) | {"lang_pred", "score", "margin", "__text"}) < len(kept.columns) + 4:
-        raise ValueError("kept columns must differ from lang_pred, score and margin")
-    dimensions, model, n_kept, names = prototypes.shape[1], prototypes.astype(np.float32), len(kept.columns), [*kept.columns, "lang_pred", "score", "margin"]
+    added = ["lang_pred", "score", "margin", *([length_col] if length_col else [])]
+    if len({*kept.columns, *added, "__text"}) < len(kept.columns) + len(added) + 1:
+        raise ValueError("kept columns must differ from those that are added")
+    dimensions, model, n_kept, names = prototypes.shape[1], prototypes.astype(np.float32), len(kept.columns), [*kept.columns, *added]
     # A text that is kept as it is goes to Python once.
     as_it_is = any(isinstance(k, str) and k == text_col for k in keep)
     at = kept.columns.index(text_col) if as_it_is else n_kept
@@ -145,21 +156,18 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
             for k in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(k, ROWS)
                 texts = [t or "" for t in batch.column(at).to_pylist()]
-                lang, score, margin = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-                for i, v in encoder(n, dimensions).encode(texts) if languages else ():
+                lang, score, margin, length = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [None] * len(texts)
+                for i, v, letters in encoder(n, dimensions).counted(texts) if languages else ():
                     cosines = np.clip(model @ v, 0, 1)
                     best = int(cosines.argmax())
                     lang[i], score[i] = languages[best], float(cosines[best])
                     margin[i] = float(cosines[best] - np.delete(cosines, best).max(initial=0.0))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names)
+                    length[i] = letters.bit_length() - 1
+                made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(length, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made[: len(added)]], names)
 
     schema = StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double").add("margin", "double")
-    return source.mapInArrow(run, schema)
-
-
-def length_class(text: Column) -> Column:
-    """The whole part of log2 of a text's letters; null without letters. Scores grow with length, so texts are compared within a class."""
-    return F.floor(F.log2(F.nullif(F.length(F.regexp_replace(text, r"\P{L}+", "")), F.lit(0)))).cast("int")
+    return source.mapInArrow(run, schema.add(length_col, "integer") if length_col else schema)
 
 
 def cutoffs(judged: DataFrame, clean: Column, class_col: str, share: float = 0.01, slack: float = 0.5) -> list[tuple[int, float, float]]:
