@@ -48,3 +48,12 @@ def test_odd_texts(spark):
     rows = spark.createDataFrame(list(enumerate(hostile)), "i int, t string").select("i", markdown.safe_blocks(F.col("t")).alias("b")).orderBy("i").collect()
     assert [bool(r["b"]) for r in rows] == [True] * 8 + [False, False, True] and rows[2]["b"][0]["runs"][0]["text"] == "�nul"
     assert {b["type"] for r in rows for b in r["b"]} <= {"heading", "paragraph", "code", "list", "quote", "rule"} and len(rows[10]["b"][0]["runs"][0]["text"]) <= markdown.MOST_BYTES
+
+
+def test_few_texts_at_a_time(spark):
+    """Blocks leave the task in small batches, in the order of the rows, nulls among them."""
+    n = 5 * markdown.ROWS + 7
+    rows = spark.range(0, n, 1, 1).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("# t"), "id")).alias("t")).select("id", markdown.safe_blocks(F.col("t")).alias("b"))
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString() and markdown.ROWS <= 1_000
+    found = {r["id"]: [x["text"] for b in r["b"] for x in b["runs"]] for r in rows.collect()}
+    assert found == {i: [f"t{i}"] if i % 3 else [] for i in range(n)}
