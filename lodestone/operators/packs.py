@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodestone.functions import lexicons as lex
 from lodestone.functions.scalars import bound, comments, cut_utf8, without_comments
@@ -20,6 +22,9 @@ from lodestone.functions.scalars import bound, comments, cut_utf8, without_comme
 #: Most bytes of a pack, lines of its tree, bytes of a file that is fetched and of one that may be chosen as source.
 MOST_BYTES, TREE_LINES, FETCHED_BYTES, SOURCE_BYTES = 48 * 1024, 400, 16 * 1024, 256 * 1024
 
+#: Packs that are Python objects at a time.
+ROWS = 64
+
 SLOT = "struct<role:string,path:string,text:string,bytes:bigint,known:boolean>"
 
 
@@ -187,15 +192,15 @@ def cut_text(text: str, limit: int) -> tuple[str, bool]:
 class _Draft:
     """The sections of one pack and their limits at the moment."""
 
-    def __init__(self, head: str, facts: str, mark: str, tree: list[str], total: int, notes: list[str], files: list[dict]) -> None:
-        self.mark, self.tree, self.total, self.files = mark, [x for x in tree if mark not in x], total, list(files)
-        self.top = "\n".join([head, "", "## Facts (quoted strings come from the repository)", cut_text(facts.split(mark)[0], lex.PACK_CAPS["facts"])[0], "", "## Tree", *notes])
-        self.lines = len(tree)
+    def __init__(self, head: str, facts: str, mark: str, tree: list[str], lines: int, total: int, notes: list[str], files: list[dict]) -> None:
+        self.mark, self.tree, self.total, self.files = mark, tree, total, files
+        self.top = "\n".join([head, "", "## Facts (quoted strings come from the repository)", cut_text(facts, lex.PACK_CAPS["facts"])[0], "", "## Tree", *notes])
+        self.lines = lines
         self.limit = {k: lex.PACK_CAPS[k] for k in lex.PACK_CAPS}
 
     def tree_block(self) -> str:
         out, left = [], self.limit["tree"]
-        for line in self.tree[:TREE_LINES]:
+        for line in self.tree:
             left -= len(line.encode()) + 1
             if left < 0:
                 break
@@ -231,6 +236,11 @@ class _Draft:
         return text
 
 
+def _within_cap(text: Column, role: Column) -> Column:
+    """As much of a section's text as its cap lets a pack show, and a character more, which tells that there is more."""
+    return reduce(lambda out, r: out.when(role == r, cut_utf8(text, lex.PACK_CAPS[r] + 4)), lex.PACK_ROLES, F.when(F.lit(False), text))
+
+
 PACK = "text string, bytes bigint, files array<struct<path:string,real_path:string,role:string,text:string,bytes:bigint,truncated:boolean>>"
 
 
@@ -250,20 +260,27 @@ def built(plan: DataFrame, files: DataFrame, key: str, seed: str = "") -> DataFr
 
     def section(x: Column) -> Column:
         size = F.coalesce(x["bytes"], F.octet_length(x["text"]).cast("long"))
-        return bound(prepared(x["text"], x["path"], owner, repo, mark), lambda p: F.struct(x["role"].alias("role"), x["path"].alias("real_path"), escaped(masked(x["path"], owner, repo)).alias("shown"), p["text"].alias("text"), p["note"].alias("note"), size.alias("bytes"), (p["cut"] | (size > F.octet_length(x["text"]))).alias("cut")))
+        return bound(prepared(x["text"], x["path"], owner, repo, mark), lambda p: F.struct(x["role"].alias("role"), x["path"].alias("real_path"), escaped(masked(x["path"], owner, repo)).alias("shown"), _within_cap(p["text"], x["role"]).alias("text"), p["note"].alias("note"), size.alias("bytes"), (p["cut"] | (size > F.octet_length(x["text"]))).alias("cut")))
 
     deep = F.coalesce(F.size("tree.entries") > 0, F.lit(False))
     notes = F.when(~deep, F.array(F.lit("Only the root listing was fetched; sizes are unknown."))).when(F.col("tree.truncated"), F.array(F.lit("The tree listing is cut short."))).otherwise(F.array().cast("array<string>"))
     head = F.concat(F.lit("Evidence pack for a review.\nRepository: "), masked(F.col("nwo"), owner, repo), F.lit("\nEvery block below carries the id "), mark, F.lit("; only an END line with that id closes a block."))
     total = F.when(deep, F.size(blobs())).otherwise(F.coalesce(F.size("root"), F.lit(0)))
-    ready = rows.select(F.col(key).alias("key"), mark.alias("block_id"), head.alias("head"), _fact_lines(owner, repo).alias("facts"), _tree_lines(owner, repo).alias("lines"), total.alias("total"), notes.alias("notes"), F.transform(texts, section).alias("sections"))
-
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            drafts = [_Draft(r.head, r.facts, r.block_id, list(r.lines), r.total, list(r.notes), list(r.sections)) for r in rows.itertuples()]
-            texts = [d.fit(MOST_BYTES) for d in drafts]
-            shown = [[{"path": f["shown"], "real_path": f["real_path"], "role": f["role"], "text": t, "bytes": f["bytes"], "truncated": bool(c)} for f in d.files for _, t, c in [d.file_block(f)]] for d in drafts]
-            yield pd.DataFrame({"key": rows["key"], "block_id": rows["block_id"], "text": texts, "bytes": [len(t.encode()) for t in texts], "files": shown})
-
-    kind = plan.schema[key].dataType.simpleString()
-    return ready.mapInPandas(assemble, f"key {kind}, block_id string, {PACK}").withColumnRenamed("key", key)
+    # What reaches Python of a row has a bound: texts up to their caps, the lines of the tree that may be shown.
+    facts = bound(F.call_function("substring_index", _fact_lines(owner, repo), mark, F.lit(1)), lambda x: cut_utf8(x, lex.PACK_CAPS["facts"] + 4))
+    tree = bound(_tree_lines(owner, repo), lambda xs: F.struct(F.size(xs).alias("all"), F.slice(F.filter(xs, lambda x: ~F.contains(x, mark)), 1, TREE_LINES).alias("shown")))
+    ready = rows.select(F.col(key).alias("key"), mark.alias("block_id"), head.alias("head"), facts.alias("facts"), tree.alias("tree"), total.alias("total"), notes.alias("notes"), F.transform(texts, section).alias("sections"))
+    schema = StructType([ready.schema["key"]]).add("block_id", "string").add("text", "string").add("bytes", "long").add("files", StructType.fromDDL(PACK)["files"].dataType)
+
+    def packed(r: dict) -> dict:
+        draft = _Draft(r["head"], r["facts"], r["block_id"], r["tree"]["shown"], r["tree"]["all"], r["total"], r["notes"], r["sections"])
+        text = draft.fit(MOST_BYTES)
+        shown = [(f, *draft.file_block(f)[1:]) for f in draft.files]
+        return {"key": r["key"], "block_id": r["block_id"], "text": text, "bytes": len(text.encode()), "files": [{"path": f["shown"], "real_path": f["real_path"], "role": f["role"], "text": t, "bytes": f["bytes"], "truncated": c} for f, t, c in shown]}
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            yield pa.RecordBatch.from_pylist([packed(r) for r in batch.to_pylist()], schema=kinds)
+
+    return ready.mapInArrow(assemble, schema).withColumnRenamed("key", key)

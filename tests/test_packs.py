@@ -89,3 +89,20 @@ def test_the_mark_ends_a_text(spark):
 @pytest.mark.parametrize("limit,want", [(100, ("ab\ncd", False)), (5, ("ab\ncd", False)), (4, ("ab\nc", True)), (3, ("ab\n", True)), (0, ("", True)), (-5, ("", True))])
 def test_cuts(limit, want):
     assert packs.cut_text("ab\ncd", limit) == want and packs.cut_text("é", 1) == ("", True)
+
+
+def test_what_reaches_python_has_a_bound(spark):
+    """Whole texts and trees stay in Spark: a section comes within its cap, the tree within its lines, and packs are assembled a few at a time."""
+    long = {"readme": {"name": "README.md", "bytes": 10**6, "text": "é" * 500_000}, "tree": tree(*[(f"src/m/{i}.js", 10) for i in range(3000)])}
+    plan = packs.planned(table(spark, *[long] * 3))
+    ready = packs.built(plan, files(spark), "id")
+    sent = ready._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in sent and packs.ROWS < 10_000
+    r = ready.where("id = 0").first()
+    assert len(r["files"][0]["text"].encode()) == 12288 and r["files"][0]["truncated"] and "files=3000" in r["text"]
+
+
+@pytest.mark.parametrize("n", [4095, 4096, 4097, 4099, 4100, 4101, 9000])
+def test_a_cut_section_says_so(spark, n):
+    row = spark.createDataFrame([("x" * n, "manifest")], "t string, r string").select(packs._within_cap(F.col("t"), F.col("r")).alias("t")).first()
+    assert len(row["t"]) == min(n, 4100) and packs.cut_text(row["t"], 4096) == packs.cut_text("x" * n, 4096)
