@@ -237,3 +237,13 @@ def test_scan_windows(spark):
     assert [k for k, _, _ in discovery.value_parts(3, 3)] == ["3"] and [k for k, _, _ in discovery.value_parts(0, 1)] == ["0", "1"]
     units = spark.createDataFrame([("d", 0, 10, None), ("d", 10, 5, "0"), ("d", 10, 5, "1"), ("d", 10, 5, "2..25"), ("d", 15, 5, "0"), ("d", 20, 5, None), ("e", 0, 5, "0")], "day string, low long, width long, part string")
     assert sorted(map(tuple, discovery.done_spans(units, ["0", "1", "2..25"], ["day"]).select("day", "start", "end").collect())) == [("d", 0, 14), ("d", 20, 24)]
+
+
+def test_letters_are_counted_in_runs(spark):
+    """The same numbers as a match a letter, which took a match for each."""
+    texts = [None, "", "a1b2 caf\u00e9", "\u0436\u0437 x \u4e2d\u6587\U00020000 \U0001d400\u2167\u00aa", "\u0639\u0631 \u0001\n"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    counts = s.script_letters(F.col("t"))
+    found = rows.select(*[c.alias(k) for k, c in counts.items()], *[F.regexp_count("t", F.lit(f"[{v}]")).alias(f"want_{k}") for k, v in s.SCRIPTS.items()]).collect()
+    assert all(r[k] == r[f"want_{k}"] for r in found for k in counts)
+    assert "regexp_count" not in rows.select(s.script_of(F.col("t")), *counts.values())._jdf.queryExecution().optimizedPlan().toString()
