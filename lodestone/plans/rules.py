@@ -28,12 +28,17 @@ def _expected(rows: list[tuple[str, str]]) -> str:
     return f"SELECT c_custkey, rule, outcome FROM customer JOIN (VALUES {values}) v(case_no, rule, outcome) ON c_custkey % {len(rows)} = case_no"
 
 
+def _keys(spark, d, n: int):
+    """Each customer's key and the number of its case, dealt to all tasks: a table of keys is one small file, and judging a row is long work."""
+    keys = t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % n).cast("int").alias("at"))
+    return keys.repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+
+
 def _facts(spark, d, given: list[tuple[str, dict]]):
     """Each customer with the facts of one case."""
     lines = [(i, rule, json.dumps({"nwo": "me/name", "owner": "me", "name": "name"} | facts)) for i, (rule, facts) in enumerate(given)]
     facts = spark.createDataFrame(lines, "at int, rule string, line string").select("at", "rule", F.from_json("line", catalogue.FACTS).alias("f")).select("at", "rule", "f.*")
-    keys = t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(lines)).cast("int").alias("at"))
-    return keys.join(F.broadcast(facts), "at")  # a hundred rows
+    return _keys(spark, d, len(lines)).join(F.broadcast(facts), "at")  # a hundred rows
 
 
 def _judged(spark, d, given):
@@ -72,8 +77,7 @@ def _score_cases(spark, d):
     verdict = "struct<status:string,category:string,categoryConfidence:double,scores:array<double>,claims:array<struct<supports:string>>,flags:array<string>,injectionSeen:boolean>"
     lines = [(i, json.dumps({"nwo": "me/name", "owner": "me", "name": "name"} | facts)) for i, (facts, _) in enumerate(cases.SCORE_CASES)]
     facts = spark.createDataFrame(lines, "at int, line string").select("at", F.from_json("line", f"{catalogue.FACTS}, verdict {verdict}, gone boolean").alias("f")).select("at", "f.*")
-    keys = t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(lines)).cast("int").alias("at"))
-    return catalogue.scored(keys.join(F.broadcast(facts), "at"), F.lit(cases.NOW), verdict=F.col("verdict"), gone=F.col("gone"), allow=["big"])  # a dozen rows
+    return catalogue.scored(_keys(spark, d, len(lines)).join(F.broadcast(facts), "at"), F.lit(cases.NOW), verdict=F.col("verdict"), gone=F.col("gone"), allow=["big"])  # a dozen rows
 
 
 def _outcome(*columns):

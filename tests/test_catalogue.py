@@ -86,3 +86,15 @@ def test_readers(spark):
     assert [tuple(x) for x in said(readers.clone_addresses, "git clone git@github.com:a/b.git\nGIT  clone https://github.com/c/d\ngit clone https://gitlab.com/e/f")] == [("a", "b"), ("c", "d")]
     steps = readers.workflow_steps("jobs:\n  one:\n    continue-on-error: true\n    steps:\n    - run: pytest -q # all\n    - name: x\n      working-directory: 'sub'\n      run: >\n        npm\n        test\n  two:\n    steps:\n      - uses: a\n        with:\n          run: no\n")
     assert [(s["job"], s["run"], s["lenient"], s["folder"]) for s in steps] == [("one", "pytest -q", True, ""), ("one", "npm test", True, "sub")]
+
+
+def test_commands_are_plain_rows():
+    """A frame for each step cost a repository more than all rules."""
+    step = {"run": "cd x && npm test || true; # no\n# pytest\npytest | tee log", "lenient": False, "folder": ""}
+    assert readers.commands_of(step) == [("cd x && npm test || true; # no", c, i, "") for c, i in (("cd x", True), ("npm test", True), ("true", False), ("# no", False))] + [("pytest | tee log", c, False, "") for c in ("pytest", "tee log")]
+
+
+def test_keys_are_dealt_to_all_tasks(spark, sf):
+    from lodestone.plans import rules
+
+    assert rules._keys(spark, sf, 3).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
