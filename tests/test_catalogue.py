@@ -98,3 +98,13 @@ def test_keys_are_dealt_to_all_tasks(spark, sf):
     from lodestone.plans import rules
 
     assert rules._keys(spark, sf, 3).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_patterns_are_spared(spark):
+    """A text without the marks that a pattern needs isn't searched for it; what is found stays the same."""
+    texts = [None, "", "plain words", "see WwW.a.example/x", "[r]: http://b.example", "a <b> = c ]( d", "```\nhttp://no.example\n```\n[x](http://yes.example)"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    found = rows.select(F.transform(readers.links(F.col("t")), lambda x: x["url"]).alias("u"), readers.prose(F.col("t")).alias("p"), readers.code_parts(F.col("t")).alias("c")).collect()
+    assert [r["u"] for r in found] == [[], [], [], ["WwW.a.example/x"], ["http://b.example"], [], ["http://yes.example"]]
+    assert [r["c"] for r in found] == [None, [], [], [], [], [], ["http://no.example"]] and found[0]["p"] is None and found[5]["p"] == texts[5]
+    assert "CASE WHEN" in rows.select(readers.prose(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
