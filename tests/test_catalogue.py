@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import readers
+from lodestone.functions import readers, scalars
 from lodestone.operators import catalogue
 from lodestone.plans.rule_cases import CASES, GATE_CASES, ITEM_CASES, NOW, REMARKS
 
@@ -108,3 +108,29 @@ def test_patterns_are_spared(spark):
     assert [r["u"] for r in found] == [[], [], [], ["WwW.a.example/x"], ["http://b.example"], [], ["http://yes.example"]]
     assert [r["c"] for r in found] == [None, [], [], [], [], [], ["http://no.example"]] and found[0]["p"] is None and found[5]["p"] == texts[5]
     assert "CASE WHEN" in rows.select(readers.prose(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_stay_compiled(spark):
+    """A filter has all that it reads interpreted: gates are listed without one, and stored signals and items are found by their places."""
+    rows = spark.createDataFrame([(0,), (1,), (2,)], "n int")
+    shut = rows.select(catalogue.closed({"a": F.col("n") > 0, "b": F.lit(None).cast("boolean"), "c": F.col("n") < 2}).alias("g"))
+    assert [r["g"] for r in shut.collect()] == [["c"], ["a", "c"], ["a"]]
+    stored = "signals array<struct<id:string,status:string,hit:boolean,weight:double>>, items array<struct<id:string,status:string,strength:double>>, gates array<string>, stars long, forks long, gain4w long"
+    said = [("q.ci", "ok", True, 1.0), None, ("s.webui", "ok", True, -2.0), ("q.ci", "na", None, 1.0), ("no.such", "ok", True, 9.0), (None, "ok", True, 9.0), ("q.licence", "ok", True, 1.0)]
+    old = spark.createDataFrame([(said, [("k.time", "ok", 0.25), ("k.time", "ok", 0.9)], [], 0, 0, 0), ([], [], ["g.spam.words"], 0, 0, 0), (None, None, None, None, None, None)], stored)
+    found = catalogue.rescored(old, catalogue.Weights())
+    assert [(r["points"], r["points_max"], r["k"]) for r in found.collect()] == [(0.0, 13.0, 0.25), (0.0, 13.0, 0.0), (0.0, 13.0, 0.0)]
+    for frame in (shut, found):
+        assert "filter(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_texts_are_spared(spark):
+    """What a text can't hold isn't looked for; what it holds is found as before."""
+    texts = ["plain", "", None, "a\u200b\u200c\u200db\u00ad", "ümläut", "see x.y (z)", "GIT CLONE https://github.com/a/b", "\U0001f600\u200b"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    found = rows.select(scalars.invisible_run(F.col("t")).alias("n"), F.size(readers.links(F.col("t"))).alias("l")).collect()
+    assert [r["n"] for r in found] == [0, 0, None, 3, 0, 0, 0, 1] and [r["l"] for r in found] == [0, 0, 0, 0, 0, 0, 1, 0]
+    paths = ["tests/", "./a/Tests.java", "a/x.spec.ts", "vendor/test_a.py", "test_a.py", "test_a.py/", "a.tests/b", "attest.py", "", "/", None]
+    kept = spark.createDataFrame([(x,) for x in paths], "p string").select(readers.is_test_path(F.col("p")).alias("k"))
+    assert [r["k"] for r in kept.collect()] == [True, True, True, False, True, False, True, False, False, False, False]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
