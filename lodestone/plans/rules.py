@@ -658,13 +658,13 @@ def readme_blocks(spark, d):
     """Markdown of many shapes as plain blocks."""
     texts = F.array(*[F.lit(md) for md, _ in cases.MARKDOWN])
     rows = t(spark, d, "customer").select("c_custkey", texts[(F.col("c_custkey") % len(cases.MARKDOWN)).cast("int")].alias("text"))
-    return rows.withColumn("b", markdown.safe_blocks(F.col("text"))).select("c_custkey", F.replace(markdown.outline(F.col("b")), F.lit(" | "), F.lit(" / ")).alias("outline"))
+    return rows.withColumn("b", markdown.safe_blocks(F.col("text"), None)).select("c_custkey", F.replace(markdown.outline(F.col("b")), F.lit(" | "), F.lit(" / ")).alias("outline"))
 
 
 @query("SELECT doc_id, text IS NOT NULL AND trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' AS says FROM documents")
 def document_blocks(spark, d):
     """Whole documents as blocks: one that says something has a block."""
-    return t(spark, d, "documents").select("doc_id", (F.size(markdown.safe_blocks(F.col("text"))) > 0).alias("says"))
+    return t(spark, d, "documents").select("doc_id", (F.size(markdown.safe_blocks(F.col("text"), None)) > 0).alias("says"))
 
 
 _MERGE = """c AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'deferred' WHEN 1 THEN 'queued' WHEN 2 THEN 'enriched' WHEN 3 THEN 'dropped' WHEN 4 THEN 'gone' ELSE 'quarantined' END AS state, CASE WHEN c_custkey % 6 = 3 THEN CASE WHEN c_custkey % 4 = 1 THEN 'owner-cap' ELSE 'g.spam.words' END END AS reason, c_custkey % 5 AS prior,

@@ -1,8 +1,11 @@
 """Markdown as plain blocks: nesting, marks within lines, odd and hostile texts."""
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import catalog
 from lodestone.functions import markdown
 from lodestone.functions.markdown import Reader, run
 
@@ -57,3 +60,49 @@ def test_few_texts_at_a_time(spark):
     assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString() and markdown.ROWS <= 1_000
     found = {r["id"]: [x["text"] for b in r["b"] for x in b["runs"]] for r in rows.collect()}
     assert found == {i: [f"t{i}"] if i % 3 else [] for i in range(n)}
+
+
+def test_whole_documents(spark, tmp_path):
+    """What stands behind the first 32 KB counts, as in the SQL."""
+    texts = ["\n" * 40_000 + "end", " " * 70_000 + "\n\t", "é" + " " * 50_000, "\t \n" * 30_000 + "`" * 3, None, "", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["says"] for r in catalog.queries()["document_blocks"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found == dict(con.execute(catalog.oracle_sql()["document_blocks"]).fetchall()) == dict(enumerate([True, False, True, True, False, False, True]))
+
+
+def test_a_long_text(spark):
+    """All of it is read, and a label defined at its end is known at its start; blocks leave in parts, texts in smaller slices."""
+    n = 2 * markdown.HELD + 5
+    long = "[top][r]\n\n" + "word " * 20_000 + "\n\n" + "# h\n" * n + "\n[r]: https://end.example"
+    rows = spark.createDataFrame([(0, "a"), (1, long), (2, None), (3, long + "\n\n> last"), (4, "b")], "i int, t string").coalesce(1)
+    found = [r["b"] for r in rows.select("i", markdown.safe_blocks(F.col("t"), None).alias("b")).orderBy("i").collect()]
+    assert [len(b) for b in found] == [1, n + 2, 0, n + 3, 1] and found[1] == found[3][:-1] and found[3][-1]["type"] == "quote"
+    assert found[1][0]["runs"][0]["url"] == "https://end.example" and found[1][1]["runs"][0]["text"] == ("word " * 20_000).strip() and found[1][-1]["runs"][0]["text"] == "h"
+
+
+def test_slices():
+    texts = pa.array(["a"] * (markdown.ROWS + 1) + [None, "b" * markdown.ROWS_BYTES, "c", None, "d" * 2 * markdown.ROWS_BYTES])
+    slices = [x.to_pylist() for x in markdown.few(texts)]
+    assert [len(x) for x in slices] == [markdown.ROWS, 2, 1, 2, 1] and sum(slices, []) == texts.to_pylist() and list(markdown.few(texts[:0])) == []
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("a " + "`" * 300_000, None), ("a `` " + "x ` " * 100_001 + "y", "a `" + "x x " * 50_000 + "x y"), ("a " + "[" * 300_000, None), ("a " + "[\\]" * 100_000, "a " + "[]" * 100_000), ("**a " * 100_000 + "b", None), ("~~a __b " * 50_000 + "c", None),
+        ("\\*" * 200_000, "*" * 200_000), ("a ![b](c) " * 50_000 + "d", "a [image: b] " * 50_000 + "d"), ("[a](" + " " * 300_000 + "x", None), ("[a](x (" * 50_000, None), ("[a](b " + "( " * 100_000 + "c", None), ("# a" + " " * 300_000 + "b", "a" + " " * 300_000 + "b"),
+    ],
+    ids=range(12),
+)
+def test_hostile_and_long(text, want):
+    """Marks that nothing closes, or many of them, in long texts: the time of each grows with the text."""
+    said = "".join(r["text"] for b in blocks(text) for r in b["runs"])
+    assert said == (text if want is None else want)
+
+
+def test_long_items_and_addresses():
+    assert blocks("- a\n" + "  b\n" * 100_000)[0]["items"] == [[run("text", "a" + " b" * 100_000)]]
+    assert markdown.runs_of("http://x" + ")" * 200_000, {}) == [run("link", "http://x", "http://x"), run("text", ")" * 200_000)]
+    assert blocks("a|b\n" + " " * 200_000 + "x-|") == [{"type": "paragraph", "runs": [run("text", "a|b x-|")]}]
